@@ -22,6 +22,7 @@ from cohortlens.operators.facts import calendar_cells, cell_aggregates, in_commu
 from cohortlens.operators.measures import MEASURES, Measure
 from cohortlens.operators.series import as_series, ordered
 from cohortlens.sources import fixture
+from cohortlens.sources.sinks import materialize
 from cohortlens.spec import FIXTURE, CohortSpec
 
 OVERALL = "Overall"
@@ -34,11 +35,17 @@ class Community:
         raw_submissions: DataFrame,
         spec: CohortSpec,
         skew_safe: bool = True,
+        materialize: bool = False,
     ):
+        """``materialize``: write the cleaned posts and the users table once to the shared
+        scratch folder (``spark.checkpoint.dir``) on first use and read them back, so the
+        raw logs are parsed and cleaned once per Community instead of once per branch of
+        each plan, and a lost executor re-reads files instead of recomputing upstream."""
         self.raw_comments = raw_comments
         self.raw_submissions = raw_submissions
         self.spec = spec
         self.skew_safe = skew_safe
+        self.materialize = materialize
 
     @classmethod
     def from_fixture(cls, spark: SparkSession, sf_dir: str, spec: CohortSpec = FIXTURE, **kw) -> "Community":
@@ -51,7 +58,8 @@ class Community:
     @cached_property
     def posts(self) -> DataFrame:
         """Cleaned comments UNION ALL cleaned submissions, inside the observation window."""
-        return apply_window(clean_posts(self.raw_comments, self.raw_submissions), self.spec)
+        posts = apply_window(clean_posts(self.raw_comments, self.raw_submissions), self.spec)
+        return materialize(posts, "posts") if self.materialize else posts
 
     @property
     def comments(self) -> DataFrame:
@@ -59,7 +67,8 @@ class Community:
 
     @cached_property
     def users(self) -> DataFrame:
-        return users_dim(self.posts, self.spec)
+        users = users_dim(self.posts, self.spec)
+        return materialize(users, "users") if self.materialize else users
 
     @cached_property
     def subreddits(self) -> DataFrame:

@@ -18,7 +18,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def _on_community(fn, **kw) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return fn(Community.from_fixture(spark, sf_dir), **kw)
+        return fn(Community.from_fixture(spark, sf_dir, materialize=True), **kw)
 
     run.__name__ = getattr(fn, "__name__", "query")
     run.__doc__ = fn.__doc__

@@ -18,6 +18,21 @@ from cohortlens.spec import FIXTURE, YEAR_S
 ORIGIN = FIXTURE.origin
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Give a scan at least one partition per core.
+
+    The driver's files are single row groups, so each scan is one task and all per-row
+    work before the first shuffle would run on one core. When a scan has fewer
+    partitions than the cluster has cores, hash-partition it on ``key`` over the cores
+    (hash, not round-robin: no per-task sort is needed to make retries deterministic).
+    A large input (many splits) is left untouched, so this adds no shuffle at scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores, key)
+    return df
+
+
 def _author(custkey: Column) -> Column:
     n = custkey.cast("string")
     return (
@@ -34,8 +49,11 @@ def _author(custkey: Column) -> Column:
 
 def kept_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders inside their customer's membership span, with author, community and time."""
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
-        "o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority"
+    o = spread(
+        spark.read.parquet(f"{sf_dir}/orders.parquet").select(
+            "o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority"
+        ),
+        "o_orderkey",
     )
     t = epoch_seconds("o_orderdate")
     cust = F.col("o_custkey")
@@ -75,8 +93,11 @@ def raw_submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def raw_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """body, author, created_utc, subreddit — one row per line item of a kept order."""
-    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
-        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity"
+    li = spread(
+        spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
+            "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity"
+        ),
+        "l_orderkey",
     )
     part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name")
     orders = kept_orders(spark, sf_dir).select("o_orderkey", "t", "author", "subreddit")
