@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 SERIES_COLUMNS = ("x", "series", "y")
 
 
-def as_series(df: DataFrame, x: Column, series: Column, y: Column, *extra: str) -> DataFrame:
+def as_series(df: DataFrame, x: Column, series: Column, y: Column, *extra: str | Column) -> DataFrame:
     """Project to the typed series contract (plus optional key columns first)."""
     return df.select(
         *extra,

@@ -114,6 +114,7 @@ class Community:
         label: str = OVERALL,
         method: str = "cells",
         order: bool = True,
+        keep_month: bool = False,
     ) -> DataFrame:
         """One measure as series ``(x, series, y)``; ``by='survival'`` adds ``cohort``.
 
@@ -126,6 +127,7 @@ class Community:
         overlap: keep user months every member of a cohort can reach:
                  user_month <= 12*(end_year - cohort) (``strict``: <)
         method:  'cells' (pre-aggregated, default) or 'direct' (COUNT DISTINCT on posts)
+        keep_month: also return the integer month index as column ``month``
         """
         m = MEASURES[measure] if isinstance(measure, str) else measure
         spec = self.spec
@@ -150,11 +152,12 @@ class Community:
             src = src.where(flt)
 
         x = calendar_x(month, spec) if clock == "calendar" else user_x(month)
+        keys = [F.col(month).alias("month")] if keep_month else []
         cap = F.lit(True) if max_user_month is None else F.col(month) <= F.lit(max_user_month)
 
         if by is None:
             g = src.groupBy(month).agg(y.alias("y")).where(cap)
-            out = as_series(g, x, F.lit(label), F.col("y"))
+            out = as_series(g, x, F.lit(label), F.col("y"), *keys)
         elif by == "cohort":
             selected = list(cohorts or spec.selected_cohorts)
             in_sel = F.col("u_year").isin(selected)
@@ -174,7 +177,7 @@ class Community:
                 g = g.where(is_overall | keep)
             g = g.where(cap)
             series = F.when(is_overall, F.lit(OVERALL)).otherwise(F.col("u_year").cast("string"))
-            out = as_series(g, x, series, F.col("y"))
+            out = as_series(g, x, series, F.col("y"), *keys)
         elif by == "survival":
             chosen = list(cohorts or spec.survival_cohorts)
             g = (
@@ -183,7 +186,9 @@ class Community:
                 .agg(y.alias("y"))
                 .where(cap)
             )
-            out = as_series(g.withColumnRenamed("u_year", "cohort"), x, F.col("u_survival"), F.col("y"), "cohort")
+            out = as_series(
+                g.withColumnRenamed("u_year", "cohort"), x, F.col("u_survival"), F.col("y"), "cohort", *keys
+            )
         else:
             raise ValueError(f"unknown grouping {by!r}")
         return ordered(out) if order else out

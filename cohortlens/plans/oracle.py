@@ -168,6 +168,204 @@ FROM meta GROUP BY user_month HAVING user_month <= {S.max_user_month}""",
     "q13_ratio_survival": _survival(CPS, "meta", S.ratio_survival_cohorts),
 }
 
+# ---- building blocks, sources and sinks ------------------------------------------
+
+RAW_UNION = """
+SELECT CAST(length(body) AS BIGINT) AS body_size, author, created_utc, subreddit,
+       1 AS comment, 0 AS submission FROM raw_comments
+UNION ALL
+SELECT CAST(length(title) + length(selftext) AS BIGINT) AS body_size, author, created_utc,
+       subreddit, 0 AS comment, 1 AS submission FROM raw_submissions"""
+
+FIRST_SEL, END_START = S.year_start(S.first_cohort), S.year_start(S.end_year)
+
+BLOCKS = {
+    "clean_posts": with_base() + "SELECT * FROM posts",
+    "posts_union": with_base() + RAW_UNION,
+    "users_dim": with_base() + "SELECT * FROM users",
+    "subreddits_dim": with_base() + "SELECT * FROM subreddits",
+    "enrich_posts": with_base() + "SELECT * EXCLUDE (survival) FROM meta",
+    "window_filter": with_base()
+    + f"SELECT * FROM posts WHERE created_utc >= {FIRST_SEL} AND created_utc < {END_START}",
+    "scan_union_shards": with_base()
+    + f"SELECT * FROM posts WHERE {B} + (created_utc - {O}) // {Y} BETWEEN {S.first_cohort} AND {S.end_year}",
+    "json_ingest": with_base() + "SELECT * FROM comments",
+    "materialize_roundtrip": with_base() + "SELECT * FROM users",
+    "stream_ingest": with_base() + "SELECT * FROM submissions",
+}
+
+# ---- derived analyses --------------------------------------------------------------
+
+REASON = """CASE WHEN created_utc IS NULL THEN 'null_time'
+         WHEN author IS NULL OR author = '[deleted]' THEN 'deleted_author'
+         WHEN right(author, 4) = '_bot' OR right(author, 3) = 'Bot' THEN 'bot_suffix'
+         WHEN contains(lower(author), 'transcriber')
+           OR contains(lower(author), 'automoderator') THEN 'bot_word' END"""
+
+YEAR_OF = f"{B} + cal_month // 12"
+
+DERIVED = {
+    "cohort_year_matrix": with_base()
+    + f"""
+SELECT {YEAR_OF} AS year, CAST(u_year AS VARCHAR) AS cohort, {LEN} AS y
+FROM {CMETA} GROUP BY {YEAR_OF}, u_year
+UNION ALL
+SELECT {YEAR_OF} AS year, 'Overall' AS cohort, {LEN} AS y
+FROM {CMETA} GROUP BY {YEAR_OF}""",
+    "dataset_totals": with_base(
+        f"""reasons AS (
+  SELECT 1 AS comment, 0 AS submission, {REASON} AS reason FROM raw_comments
+  UNION ALL
+  SELECT 0 AS comment, 1 AS submission, {REASON} AS reason FROM raw_submissions)"""
+    )
+    + """
+SELECT CAST(sum(comment) AS BIGINT) AS raw_comments,
+       CAST(sum(submission) AS BIGINT) AS raw_submissions,
+       count(*) FILTER (WHERE reason IS NULL AND comment = 1) AS clean_comments,
+       count(*) FILTER (WHERE reason IS NULL AND submission = 1) AS clean_submissions,
+       count(*) FILTER (WHERE reason = 'null_time') AS dropped_null_time,
+       count(*) FILTER (WHERE reason = 'deleted_author') AS dropped_deleted_author,
+       count(*) FILTER (WHERE reason = 'bot_suffix') AS dropped_bot_suffix,
+       count(*) FILTER (WHERE reason = 'bot_word') AS dropped_bot_word,
+       (SELECT count(*) FROM users) AS n_users,
+       (SELECT count(subreddit) FROM subreddits) AS n_subreddits
+FROM reasons""",
+    "active_fraction": with_base(
+        f"""firsts AS (
+  SELECT 'users' AS kind, (min_created_utc - {O}) // {M} AS m, count(*) AS n FROM users GROUP BY 2
+  UNION ALL
+  SELECT 'subreddits' AS kind, (min_created_utc - {O}) // {M} AS m, count(*) AS n
+  FROM subreddits GROUP BY 2)""",
+        """act AS (
+  SELECT 'users' AS kind, cal_month AS m, count(DISTINCT author) AS a FROM meta GROUP BY cal_month
+  UNION ALL
+  SELECT 'subreddits' AS kind, cal_month AS m, count(DISTINCT subreddit) AS a
+  FROM meta GROUP BY cal_month)""",
+        """allm AS (
+  SELECT kind, m, sum(n) AS n, sum(a) AS a
+  FROM (SELECT kind, m, n, 0 AS a FROM firsts UNION ALL SELECT kind, m, 0 AS n, a FROM act)
+  GROUP BY kind, m)""",
+        """cum AS (
+  SELECT kind, m, a,
+         sum(n) OVER (PARTITION BY kind ORDER BY m ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS c
+  FROM allm)""",
+    )
+    + f"""
+SELECT {B} + CAST(m AS DOUBLE) / 12 AS x,
+       CASE WHEN kind = 'users' THEN 'Active fraction of users'
+            ELSE 'Active fraction of subreddits' END AS series,
+       CAST(a AS DOUBLE) / CAST(c AS DOUBLE) AS y
+FROM cum WHERE a > 0""",
+    "cohort_share": with_base(
+        f"""g AS (
+  SELECT {YEAR_OF} AS year, u_year AS cohort, CAST(sum(comment) AS BIGINT) AS n_comments,
+         count(DISTINCT author) AS n_users
+  FROM meta GROUP BY {YEAR_OF}, u_year)"""
+    )
+    + """
+SELECT year, cohort, n_comments,
+       CAST(n_comments AS DOUBLE)
+         / NULLIF(CAST(sum(n_comments) OVER (PARTITION BY year) AS DOUBLE), 0) AS comment_share,
+       n_users,
+       CAST(n_users AS DOUBLE) / CAST(sum(n_users) OVER (PARTITION BY year) AS DOUBLE) AS user_share
+FROM g""",
+    "heavy_authors": with_base(f"ru AS ({RAW_UNION})")
+    + """
+SELECT author, count(*) AS n_posts FROM ru WHERE author IS NOT NULL
+GROUP BY author ORDER BY n_posts DESC, author ASC LIMIT 20""",
+    "simpson_check": with_base(
+        f"""q AS (
+  SELECT {CAL_X} AS x, CAST(u_year AS VARCHAR) AS series, {LEN} AS y
+  FROM {CMETA} WHERE {IN_SEL} GROUP BY u_year, cal_month
+  UNION ALL
+  SELECT {CAL_X} AS x, 'Overall' AS series, {LEN} AS y FROM {CMETA} GROUP BY cal_month)""",
+        "sl AS (SELECT series, regr_slope(y, x) AS slope FROM q GROUP BY series)",
+        "ov AS (SELECT CAST(sign(slope) AS INTEGER) AS overall_trend FROM sl WHERE series = 'Overall')",
+    )
+    + """
+SELECT series, round(slope, 6) AS slope, CAST(sign(slope) AS INTEGER) AS trend, ov.overall_trend,
+       CAST(sign(slope) AS INTEGER) * ov.overall_trend < 0 AS reversal
+FROM sl, ov WHERE series <> 'Overall'""",
+    "cohort_retention": with_base(
+        "sizes AS (SELECT year AS u_year, count(*) AS size FROM users GROUP BY year)",
+        f"""act AS (
+  SELECT u_year, user_month, count(DISTINCT author) AS a FROM meta WHERE {IN_SEL}
+  GROUP BY u_year, user_month HAVING {OVERLAP})""",
+    )
+    + f"""
+SELECT {USER_X} AS x, CAST(u_year AS VARCHAR) AS series, CAST(a AS DOUBLE) / CAST(size AS DOUBLE) AS y
+FROM act JOIN sizes USING (u_year)""",
+    "survival_distribution": with_base(
+        f"""g AS (SELECT year AS cohort, time_active // {Y} AS survival, count(*) AS n_users
+  FROM users GROUP BY year, time_active // {Y})"""
+    )
+    + """
+SELECT cohort, survival, n_users,
+       CAST(n_users AS DOUBLE) / CAST(sum(n_users) OVER (PARTITION BY cohort) AS DOUBLE) AS share
+FROM g""",
+    "low_activity_survivors": with_base(
+        """pa AS (
+  SELECT author, u_year, count(*) AS n, count(DISTINCT cal_month) AS months
+  FROM meta WHERE survival >= 1 GROUP BY author, u_year)"""
+    )
+    + """
+SELECT u_year AS cohort, count(*) AS n_survivors, count(*) FILTER (WHERE n <= 2 * months) AS n_low,
+       CAST(count(*) FILTER (WHERE n <= 2 * months) AS DOUBLE) / CAST(count(*) AS DOUBLE) AS share_low
+FROM pa GROUP BY u_year""",
+    "initial_level_by_survival": with_base()
+    + f"""
+SELECT u_year AS cohort, survival, {PPU} AS posts_per_user,
+       CAST(sum(CASE WHEN comment = 1 THEN body_size END) AS DOUBLE)
+         / NULLIF(CAST(sum(comment) AS DOUBLE), 0) AS comment_length,
+       {CPS} AS comments_per_submission
+FROM meta WHERE user_month = 0 GROUP BY u_year, survival""",
+    "first_year_growth": with_base(
+        f"""q AS (
+  SELECT u_year AS cohort, user_month, CAST(survival AS VARCHAR) AS series, {CPS} AS y
+  FROM meta WHERE u_year IN ({", ".join(str(y) for y in S.ratio_survival_cohorts)})
+  GROUP BY u_year, survival, user_month)"""
+    )
+    + """
+SELECT cohort, series, max(CASE WHEN user_month = 0 THEN y END) AS y0,
+       max(CASE WHEN user_month = 12 THEN y END) AS y12,
+       max(CASE WHEN user_month = 12 THEN y END)
+         / NULLIF(max(CASE WHEN user_month = 0 THEN y END), 0) AS growth
+FROM q GROUP BY cohort, series""",
+    "entry_vs_prior_overall": with_base(
+        f"""q AS (SELECT cal_month AS month, CAST(u_year AS VARCHAR) AS series, {LEN} AS y
+  FROM {CMETA} WHERE {IN_SEL} GROUP BY u_year, cal_month)""",
+        f"ov AS (SELECT cal_month + 1 AS month, {LEN} AS y_prior_overall FROM {CMETA} GROUP BY cal_month)",
+        "entry AS (SELECT series, min(month) AS month, arg_min(y, month) AS y_entry FROM q GROUP BY series)",
+    )
+    + f"""
+SELECT series, {B} + CAST(entry.month AS DOUBLE) / 12 AS x, y_entry, y_prior_overall,
+       y_entry - y_prior_overall AS diff
+FROM entry LEFT JOIN ov ON entry.month = ov.month""",
+    "cumulative_share": with_base(
+        f"""firsts AS (
+  SELECT 'Cumulative number of users' AS series, (min_created_utc - {O}) // {M} AS m FROM users
+  UNION ALL
+  SELECT 'Cumulative number of subreddits' AS series, (min_created_utc - {O}) // {M} AS m
+  FROM subreddits)""",
+        "counts AS (SELECT series, m, count(*) AS n FROM firsts GROUP BY series, m)",
+    )
+    + f"""
+SELECT {B} + CAST(m AS DOUBLE) / 12 AS x, series,
+       CAST(sum(n) OVER (PARTITION BY series ORDER BY m
+                         ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE)
+       / CAST(sum(n) OVER (PARTITION BY series) AS DOUBLE) AS y
+FROM counts""",
+    "normalize_sum": "SELECT x, series, y / sum(y) OVER (PARTITION BY series) AS y FROM ("
+    + Q["q02_active_monthly"]
+    + ")",
+    "normalize_max": "SELECT x, series, y / max(y) OVER (PARTITION BY series) AS y FROM ("
+    + Q["q05_posts_per_user_cohort_time"]
+    + ")",
+    "normalize_x": "SELECT x / max(x) OVER (PARTITION BY series) AS x, series, y FROM ("
+    + Q["q06_posts_per_user_cohort_utime"]
+    + ")",
+}
+
 
 def oracle_sql() -> dict[str, str]:
-    return dict(Q)
+    return {**BLOCKS, **Q, **DERIVED}

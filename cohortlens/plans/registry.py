@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from cohortlens.plans.analyses import ANALYSES
+from cohortlens.plans.blocks import BLOCKS
+from cohortlens.plans.derived import DERIVED
 from cohortlens.plans.community import Community
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +29,6 @@ def _on_community(fn, **kw) -> Query:
 
 def queries() -> dict[str, Query]:
     out: dict[str, Query] = {}
-    for name, fn in ANALYSES.items():
+    for name, fn in {**BLOCKS, **ANALYSES, **DERIVED}.items():
         out[name] = _on_community(fn)
     return out
