@@ -18,9 +18,21 @@ from cohortlens.plans.community import Community
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+# One saved community per (Spark application, data folder): its base tables are built
+# by the first query that needs them and read by all later ones.
+_COMMUNITIES: dict[tuple[str, str], Community] = {}
+
+
+def community_for(spark: SparkSession, sf_dir: str) -> Community:
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    if key not in _COMMUNITIES:
+        _COMMUNITIES[key] = Community.from_fixture(spark, sf_dir, materialize=True)
+    return _COMMUNITIES[key]
+
+
 def _on_community(fn, **kw) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return fn(Community.from_fixture(spark, sf_dir, materialize=True), **kw)
+        return fn(community_for(spark, sf_dir), **kw)
 
     run.__name__ = getattr(fn, "__name__", "query")
     run.__doc__ = fn.__doc__

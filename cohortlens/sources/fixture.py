@@ -77,10 +77,11 @@ def kept_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def raw_submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_submissions(spark: SparkSession, sf_dir: str, orders: DataFrame | None = None) -> DataFrame:
     """title, selftext, author, created_utc, subreddit — one row per kept order."""
     key = F.col("o_orderkey")
-    return kept_orders(spark, sf_dir).select(
+    orders = kept_orders(spark, sf_dir) if orders is None else orders
+    return orders.select(
         F.col("o_orderpriority").alias("title"),
         F.when(key % 13 == 0, F.lit(None).cast("string"))
         .otherwise(F.repeat(F.col("o_orderstatus"), (key % 50).cast("int")))
@@ -91,7 +92,7 @@ def raw_submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def raw_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_comments(spark: SparkSession, sf_dir: str, orders: DataFrame | None = None) -> DataFrame:
     """body, author, created_utc, subreddit — one row per line item of a kept order."""
     li = spread(
         spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
@@ -100,7 +101,9 @@ def raw_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_orderkey",
     )
     part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name")
-    orders = kept_orders(spark, sf_dir).select("o_orderkey", "t", "author", "subreddit")
+    orders = (kept_orders(spark, sf_dir) if orders is None else orders).select(
+        "o_orderkey", "t", "author", "subreddit"
+    )
     joined = li.join(orders, li.l_orderkey == orders.o_orderkey).join(
         part, F.col("l_partkey") == F.col("p_partkey")
     )
@@ -118,4 +121,5 @@ def raw_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def community(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(raw_comments, raw_submissions) of the fixture community."""
-    return raw_comments(spark, sf_dir), raw_submissions(spark, sf_dir)
+    orders = kept_orders(spark, sf_dir)
+    return raw_comments(spark, sf_dir, orders), raw_submissions(spark, sf_dir, orders)
