@@ -74,7 +74,8 @@ class Community:
 
     @cached_property
     def subreddits(self) -> DataFrame:
-        return subreddits_dim(self.posts)
+        subreddits = subreddits_dim(self.posts)
+        return materialize(subreddits, "subreddits") if self.materialize else subreddits
 
     def meta(self) -> DataFrame:
         """The wide enriched post table (posts ⋈ users ⋈ subreddits + clocks)."""
@@ -102,6 +103,16 @@ class Community:
             .agg(*cell_aggregates())
         )
 
+    @cached_property
+    def community_cells(self) -> DataFrame:
+        """(subreddit, cal_month) cells: the communities active in each month."""
+        cells = (
+            in_community(self.posts)
+            .groupBy("subreddit", cal_month("created_utc", self.spec).alias("cal_month"))
+            .agg(F.count(F.lit(1)).alias("n_posts"))
+        )
+        return materialize(cells, "community-cells") if self.materialize else cells
+
     @cached_property
     def user_cells(self) -> DataFrame:
         """(author, user_month) cells with the author's cohort and survival."""

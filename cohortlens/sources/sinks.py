@@ -56,7 +56,8 @@ def materialize(df: DataFrame, name: str, disposition: str = "empty") -> DataFra
     spark = df.sparkSession
     path = scratch_path(spark, name)
     save(df, path, disposition)
-    return spark.read.parquet(path)
+    # the schema is known: reading it back needs no footer-inference job
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def fetch_columns(df: DataFrame) -> dict:
