@@ -16,7 +16,7 @@ class Measure:
     name: str
     # aggregate over (author, month) cells
     from_cells: Callable[[], Column]
-    # aggregate over enriched posts (the reference-shaped form)
+    # aggregate over enriched posts (per-post form with COUNT DISTINCT)
     direct: Callable[[], Column]
     # comment-only measures look only at comments / cells that contain comments
     comments_only: bool = False

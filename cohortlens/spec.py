@@ -57,7 +57,7 @@ class CohortSpec:
         return replace(self, window=None if start is None else (start, end))
 
 
-# The community log studied by the reference (data from Oct 2007 to Dec 2014,
+# The published study of a large discussion site (data from Oct 2007 to Dec 2014,
 # cohorts 2008..2013, survival splits for 2010..2012 and 2008..2011).
 REDDIT = CohortSpec(
     origin=1167609600,  # 2007-01-01 00:00:00 UTC
