@@ -43,10 +43,16 @@ def _user_attrs(users: DataFrame) -> DataFrame:
     )
 
 
-def attach_users(posts: DataFrame, users: DataFrame, skew_safe: bool = True) -> DataFrame:
-    """Add u_min_created_utc, u_year, u_time_active, u_survival to every post."""
+def attach_users(posts: DataFrame, users: DataFrame, skew: dict | None = None) -> DataFrame:
+    """Add u_min_created_utc, u_year, u_time_active, u_survival to every post.
+
+    ``skew``: keyword arguments of the salted join (``{}`` for its defaults); None joins
+    plainly."""
     u = _user_attrs(users)
-    joined = salted_join(posts, u, "author", "n_posts") if skew_safe else posts.join(u, "author")
+    if skew is None:
+        joined = posts.join(u, "author")
+    else:
+        joined = salted_join(posts, u, "author", "n_posts", **skew)
     return joined.drop("n_posts")
 
 
@@ -55,17 +61,17 @@ def enrich_posts(
     users: DataFrame,
     subreddits: DataFrame,
     spec: CohortSpec,
-    skew_safe: bool = True,
+    skew: dict | None = None,
 ) -> DataFrame:
     """The wide post table: posts ⋈ users ⋈ subreddits plus both clocks."""
-    with_user = attach_users(posts, users, skew_safe)
+    with_user = attach_users(posts, users, skew)
     s = subreddits.select(
         "subreddit", F.col("min_created_utc").alias("s_min_created_utc"), F.col("n_posts").alias("s_posts")
     )
-    if skew_safe:
-        joined = salted_join(with_user, s, "subreddit", "s_posts")
-    else:
+    if skew is None:
         joined = with_user.join(s, "subreddit")
+    else:
+        joined = salted_join(with_user, s, "subreddit", "s_posts", **skew)
     cm = cal_month("created_utc", spec)
     um = user_month("created_utc", "u_min_created_utc", spec)
     return joined.select(

@@ -55,9 +55,10 @@ def calendar_cells(posts: DataFrame, users: DataFrame, spec: CohortSpec) -> Data
     return cells.join(u, "author")
 
 
-def user_cells(posts: DataFrame, users: DataFrame, spec: CohortSpec, skew_safe: bool = True) -> DataFrame:
-    """author, u_year, u_survival, user_month + cell measures."""
-    per_post = attach_users(in_community(posts), users, skew_safe)
+def user_cells(posts: DataFrame, users: DataFrame, spec: CohortSpec, skew: dict | None = None) -> DataFrame:
+    """author, u_year, u_survival, user_month + cell measures (``skew``: salted-join
+    arguments, None for a plain join)."""
+    per_post = attach_users(in_community(posts), users, skew)
     return per_post.groupBy(
         "author",
         "u_year",

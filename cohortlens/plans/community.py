@@ -36,6 +36,8 @@ class Community:
         spec: CohortSpec,
         skew_safe: bool = True,
         materialize: bool = False,
+        rows_per_task: int = 4_000_000,
+        max_hot: int = 10_000,
     ):
         """``materialize``: save the base tables (cleaned posts, users, calendar and user
         cells) to the shared scratch folder (``spark.checkpoint.dir``) on first use and read
@@ -48,6 +50,9 @@ class Community:
         self.spec = spec
         self.skew_safe = skew_safe
         self.materialize = materialize
+        # skew-aware join: keys with more rows than this are spread over several tasks;
+        # at most max_hot keys are treated as hot (that list is what gets broadcast)
+        self.skew = {"rows_per_task": rows_per_task, "max_hot": max_hot} if skew_safe else None
 
     @classmethod
     def from_fixture(cls, spark: SparkSession, sf_dir: str, spec: CohortSpec = FIXTURE, **kw) -> "Community":
@@ -79,7 +84,7 @@ class Community:
 
     def meta(self) -> DataFrame:
         """The wide enriched post table (posts ⋈ users ⋈ subreddits + clocks)."""
-        return enrich_posts(self.posts, self.users, self.subreddits, self.spec, self.skew_safe)
+        return enrich_posts(self.posts, self.users, self.subreddits, self.spec, self.skew)
 
     # ---- pre-aggregated cells ----------------------------------------------------
 
@@ -116,7 +121,7 @@ class Community:
     @cached_property
     def user_cells(self) -> DataFrame:
         """(author, user_month) cells with the author's cohort and survival."""
-        cells = user_cells(self.posts, self.users, self.spec, self.skew_safe)
+        cells = user_cells(self.posts, self.users, self.spec, self.skew)
         return materialize(cells, "user-cells") if self.materialize else cells
 
     # ---- measures ----------------------------------------------------------------
