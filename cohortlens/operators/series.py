@@ -50,6 +50,14 @@ def normalize(df: DataFrame, how: str) -> DataFrame:
     return out
 
 
+def series_order(series: str | Column = "series") -> list[Column]:
+    """Sort keys of series labels: numeric labels (cohort years, survival buckets) by
+    value, so bucket 10 follows 9, then the other labels ('Overall', ...) by text."""
+    s = F.col(series) if isinstance(series, str) else series
+    return [s.try_cast("long").asc_nulls_last(), s.asc()]
+
+
 def ordered(df: DataFrame) -> DataFrame:
     """Final order: by (cohort,) series, then x."""
-    return df.orderBy(*_by(df), "x")
+    keys = [F.col("cohort")] if "cohort" in df.columns else []
+    return df.orderBy(*keys, *series_order(), "x")

@@ -115,3 +115,12 @@ def test_materialized_equals_lazy(spark):
     for name in ("q03_posts_per_user_time", "q09_comment_len_cohort_utime", "q11_ratio_cohort_time"):
         assert rows(ANALYSES[name](a)) == rows(ANALYSES[name](b)), name
     assert a.calendar_cells.where(F.col("n_posts") <= 0).count() == 0
+
+
+def test_series_order_is_numeric(spark):
+    from cohortlens.operators.series import ordered
+
+    df = spark.createDataFrame(
+        [(0.0, s, 1.0) for s in ("10", "9", "Overall", "2", "Cumulative")], "x double, series string, y double"
+    )
+    assert [r.series for r in ordered(df).collect()] == ["2", "9", "10", "Cumulative", "Overall"]
