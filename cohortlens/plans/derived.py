@@ -274,6 +274,7 @@ def active_approx(c: Community, rsd: float = 0.05) -> DataFrame:
 
 DERIVED = {
     "cohort_year_matrix": cohort_year_matrix,
+    "cohort_year_matrix_wide": cohort_year_matrix_wide,
     "dataset_totals": dataset_totals,
     "active_fraction": active_fraction,
     "cohort_share": cohort_share,

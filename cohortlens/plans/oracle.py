@@ -211,6 +211,18 @@ SELECT {YEAR_OF} AS year, CAST(u_year AS VARCHAR) AS cohort, {LEN} AS y
 FROM {CMETA} GROUP BY {YEAR_OF}, u_year
 UNION ALL
 SELECT {YEAR_OF} AS year, 'Overall' AS cohort, {LEN} AS y
+FROM {CMETA} GROUP BY {YEAR_OF}""",
+    "cohort_year_matrix_wide": with_base()
+    + f"""
+SELECT {YEAR_OF} AS year,
+"""
+    + ",\n".join(
+        f"  CAST(sum(body_size) FILTER (WHERE u_year = {y}) AS DOUBLE)"
+        f" / CAST(count(*) FILTER (WHERE u_year = {y}) AS DOUBLE) AS \"{y}\""
+        for y in range(B, S.end_year + 1)
+    )
+    + f""",
+  {LEN} AS "Overall"
 FROM {CMETA} GROUP BY {YEAR_OF}""",
     "dataset_totals": with_base(
         f"""reasons AS (
@@ -280,12 +292,13 @@ GROUP BY author ORDER BY n_posts DESC, author ASC LIMIT 20""",
   UNION ALL
   SELECT {CAL_X} AS x, 'Overall' AS series, {LEN} AS y FROM {CMETA} GROUP BY cal_month)""",
         "sl AS (SELECT series, regr_slope(y, x) AS slope FROM q GROUP BY series)",
-        "ov AS (SELECT CAST(sign(slope) AS INTEGER) AS overall_trend FROM sl WHERE series = 'Overall')",
     )
     + """
-SELECT series, round(slope, 6) AS slope, CAST(sign(slope) AS INTEGER) AS trend, ov.overall_trend,
-       CAST(sign(slope) AS INTEGER) * ov.overall_trend < 0 AS reversal
-FROM sl, ov WHERE series <> 'Overall'""",
+SELECT series, round(slope, 6) AS slope, CAST(sign(slope) AS INTEGER) AS trend,
+       CAST(sign((SELECT slope FROM sl WHERE series = 'Overall')) AS INTEGER) AS overall_trend,
+       CAST(sign(slope) AS INTEGER)
+         * CAST(sign((SELECT slope FROM sl WHERE series = 'Overall')) AS INTEGER) < 0 AS reversal
+FROM sl WHERE series <> 'Overall'""",
     "cohort_retention": with_base(
         "sizes AS (SELECT year AS u_year, count(*) AS size FROM users GROUP BY year)",
         f"""act AS (
