@@ -23,8 +23,13 @@ Query = Callable[[SparkSession, str], DataFrame]
 _COMMUNITIES: dict[tuple[str, str], Community] = {}
 
 
+def _session_key(spark: SparkSession) -> str:
+    app = spark.conf.get("spark.app.id", None)
+    return app or str(id(spark))
+
+
 def community_for(spark: SparkSession, sf_dir: str) -> Community:
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    key = (_session_key(spark), sf_dir.rstrip("/"))
     if key not in _COMMUNITIES:
         _COMMUNITIES[key] = Community.from_fixture(spark, sf_dir, materialize=True)
     return _COMMUNITIES[key]

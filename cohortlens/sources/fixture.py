@@ -27,10 +27,12 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     (hash, not round-robin: no per-task sort is needed to make retries deterministic).
     A large input (many splits) is left untouched, so this adds no shuffle at scale.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores, key)
-    return df
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        splits = df.rdd.getNumPartitions()
+    except Exception:  # a Spark Connect session exposes no RDDs: leave the scan as is
+        return df
+    return df.repartition(cores, key) if splits < cores else df
 
 
 def _author(custkey: Column) -> Column:

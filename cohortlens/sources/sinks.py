@@ -22,13 +22,20 @@ def scratch_root(spark: SparkSession) -> str:
     On a cluster this must name shared storage and is taken from the session as is.
     Only a local session without the setting gets a fresh temporary folder (tests).
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: only the session conf is visible
+        raise RuntimeError("set spark.checkpoint.dir to a shared folder to materialise tables") from None
+    root = sc.getCheckpointDir()
+    if root:
+        return root.rstrip("/")
+    if not sc.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a shared folder to materialise tables")
     root = tempfile.mkdtemp(prefix="cohortlens-")
-    spark.sparkContext.setCheckpointDir(root)
+    sc.setCheckpointDir(root)
     return root
 
 
