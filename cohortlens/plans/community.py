@@ -22,7 +22,7 @@ from cohortlens.operators.facts import calendar_cells, cell_aggregates, in_commu
 from cohortlens.operators.measures import MEASURES, Measure
 from cohortlens.operators.series import as_series, ordered
 from cohortlens.sources import fixture
-from cohortlens.sources.sinks import materialize
+from cohortlens.sources.sinks import materialize, save
 from cohortlens.spec import FIXTURE, CohortSpec
 
 OVERALL = "Overall"
@@ -86,6 +86,27 @@ class Community:
         """The wide enriched post table (posts ⋈ users ⋈ subreddits + clocks)."""
         return enrich_posts(self.posts, self.users, self.subreddits, self.spec, self.skew)
 
+    # ---- saved base tables ---------------------------------------------------------
+
+    BASE_TABLES = ("posts", "users", "subreddits", "calendar_cells", "community_cells", "user_cells")
+
+    def save_tables(self, root: str, disposition: str = "empty") -> None:
+        """Write the base tables under ``root`` (one parquet folder each), so later
+        sessions can run every analysis with ``open_tables`` and no recomputation.
+        ``disposition``: 'empty' (fail if present), 'truncate' or 'append'."""
+        for name in self.BASE_TABLES:
+            save(getattr(self, name), f"{root.rstrip('/')}/{name}", disposition)
+
+    @classmethod
+    def open_tables(cls, spark: SparkSession, root: str, spec: CohortSpec, **kw) -> "Community":
+        """A Community over base tables written by ``save_tables``; the raw logs are not
+        needed (analyses of raw rows — dataset totals, heavy authors — are unavailable)."""
+        c = cls(None, None, spec, **kw)
+        for name in cls.BASE_TABLES:
+            c.__dict__[name] = spark.read.parquet(f"{root.rstrip('/')}/{name}")
+        c.materialize = True  # the tables are saved: analyses read them as such
+        return c
+
     # ---- pre-aggregated cells ----------------------------------------------------
 
     @cached_property

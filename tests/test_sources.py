@@ -59,3 +59,18 @@ def test_fetch_helpers(spark):
     assert list(fetch_columns(df.orderBy("v"))["v"]) == list(range(25))
     pages = list(fetch_pages(df, page_size=10))
     assert [len(p) for p in pages] == [10, 10, 5]
+
+
+def test_save_and_open_base_tables(spark, tmp_path):
+    from cohortlens.plans.analyses import ANALYSES
+    from cohortlens.plans.community import Community
+    from tests.conftest import SMALL, rows
+
+    c = Community.from_fixture(spark, SMALL, materialize=True)
+    root = str(tmp_path / "community")
+    c.save_tables(root)
+    with pytest.raises(Exception):
+        c.save_tables(root)  # 'empty' disposition refuses to overwrite
+    reopened = Community.open_tables(spark, root, c.spec)
+    for name in ("q01_cumulative_growth", "q02_active_monthly", "q06_posts_per_user_cohort_utime", "q11_ratio_cohort_time"):
+        assert rows(ANALYSES[name](reopened)) == rows(ANALYSES[name](c)), name
