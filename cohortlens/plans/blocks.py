@@ -34,6 +34,21 @@ def enrich_posts_block(c: Community) -> DataFrame:
     return c.meta()
 
 
+def calendar_cells_block(c: Community) -> DataFrame:
+    """(author, calendar month) cells with cohort, survival and the four cell measures."""
+    return c.calendar_cells
+
+
+def user_cells_block(c: Community) -> DataFrame:
+    """(author, user month) cells with cohort, survival and the four cell measures."""
+    return c.user_cells
+
+
+def community_cells_block(c: Community) -> DataFrame:
+    """(community, calendar month) cells: posts a community received in the month."""
+    return c.community_cells
+
+
 def window_filter_block(c: Community) -> DataFrame:
     """Posts from the start of the first selected cohort year to the start of end_year."""
     s = c.spec
@@ -87,6 +102,9 @@ BLOCKS = {
     "users_dim": users_dim_block,
     "subreddits_dim": subreddits_dim_block,
     "enrich_posts": enrich_posts_block,
+    "calendar_cells": calendar_cells_block,
+    "user_cells": user_cells_block,
+    "community_cells": community_cells_block,
     "window_filter": window_filter_block,
     "scan_union_shards": scan_union_shards,
     "json_ingest": json_ingest,

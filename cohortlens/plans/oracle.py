@@ -185,6 +185,21 @@ BLOCKS = {
     "users_dim": with_base() + "SELECT * FROM users",
     "subreddits_dim": with_base() + "SELECT * FROM subreddits",
     "enrich_posts": with_base() + "SELECT * EXCLUDE (survival) FROM meta",
+    "calendar_cells": with_base()
+    + """
+SELECT author, cal_month, count(*) AS n_posts, CAST(sum(comment) AS BIGINT) AS n_comments,
+       CAST(sum(submission) AS BIGINT) AS n_submissions,
+       CAST(sum(CASE WHEN comment = 1 THEN body_size END) AS BIGINT) AS sum_comment_size,
+       u_year, survival AS u_survival
+FROM meta GROUP BY author, cal_month, u_year, survival""",
+    "user_cells": with_base()
+    + """
+SELECT author, u_year, survival AS u_survival, user_month, count(*) AS n_posts,
+       CAST(sum(comment) AS BIGINT) AS n_comments, CAST(sum(submission) AS BIGINT) AS n_submissions,
+       CAST(sum(CASE WHEN comment = 1 THEN body_size END) AS BIGINT) AS sum_comment_size
+FROM meta GROUP BY author, u_year, survival, user_month""",
+    "community_cells": with_base()
+    + "SELECT subreddit, cal_month, count(*) AS n_posts FROM meta GROUP BY subreddit, cal_month",
     "window_filter": with_base()
     + f"SELECT * FROM posts WHERE created_utc >= {FIRST_SEL} AND created_utc < {END_START}",
     "scan_union_shards": with_base()
