@@ -37,7 +37,8 @@ def spark():
 def small_community(spark):
     from cohortlens.plans.community import Community
 
-    return Community.from_fixture(spark, SMALL)
+    # saved base tables, built once for the session (the lazy path has its own tests)
+    return Community.from_fixture(spark, SMALL, materialize=True)
 
 
 def rows(df, *cols):
