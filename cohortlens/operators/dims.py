@@ -15,6 +15,18 @@ from cohortlens.spec import CohortSpec
 USER_COLUMNS = ("author", "min_created_utc", "year", "time_active")
 
 
+def _users(agg: DataFrame, spec: CohortSpec) -> DataFrame:
+    time_active = F.col("max_created_utc") - F.col("min_created_utc")
+    return agg.select(
+        "author",
+        "min_created_utc",
+        cohort_year("min_created_utc", spec).alias("year"),
+        time_active.alias("time_active"),
+        survival_years(time_active, spec).alias("survival"),
+        "n_posts",
+    )
+
+
 def users_dim(posts: DataFrame, spec: CohortSpec) -> DataFrame:
     """author, min_created_utc, year (cohort), time_active, plus survival and n_posts.
 
@@ -26,15 +38,18 @@ def users_dim(posts: DataFrame, spec: CohortSpec) -> DataFrame:
         F.max("created_utc").alias("max_created_utc"),
         F.count(F.lit(1)).alias("n_posts"),
     )
-    time_active = F.col("max_created_utc") - F.col("min_created_utc")
-    return agg.select(
-        "author",
-        "min_created_utc",
-        cohort_year("min_created_utc", spec).alias("year"),
-        time_active.alias("time_active"),
-        survival_years(time_active, spec).alias("survival"),
-        "n_posts",
+    return _users(agg, spec)
+
+
+def users_from_cells(author_cells: DataFrame, spec: CohortSpec) -> DataFrame:
+    """The same table as ``users_dim``, from (author, month) cells with first/last post
+    times: one row per author-month instead of one per post."""
+    agg = author_cells.groupBy("author").agg(
+        F.min("min_created_utc").alias("min_created_utc"),
+        F.max("max_created_utc").alias("max_created_utc"),
+        F.sum("n_posts").cast("long").alias("n_posts"),
     )
+    return _users(agg, spec)
 
 
 SUBREDDIT_COLUMNS = ("subreddit", "min_created_utc")
@@ -49,19 +64,9 @@ def subreddits_dim(posts: DataFrame) -> DataFrame:
     )
 
 
-def first_seen(posts: DataFrame) -> DataFrame:
-    """Both first-seen dimensions from a single scan of ``posts``.
-
-    GROUPING SETS ((author), (subreddit)) expands each post into two grouping rows and
-    aggregates them in one job; ``kind`` tells them apart ('user' / 'subreddit').
-    The NULL community keeps its own row, exactly like GROUP BY subreddit.
-    """
-    g = posts.groupingSets([["author"], ["subreddit"]], "author", "subreddit").agg(
-        F.min("created_utc").alias("min_created_utc"),
-        F.grouping("author").alias("g_author"),
-    )
-    return g.select(
-        F.when(F.col("g_author") == 0, F.lit("user")).otherwise(F.lit("subreddit")).alias("kind"),
-        F.when(F.col("g_author") == 0, F.col("author")).otherwise(F.col("subreddit")).alias("name"),
-        "min_created_utc",
+def subreddits_from_cells(community_cells: DataFrame) -> DataFrame:
+    """The same table as ``subreddits_dim``, from (community, month) cells."""
+    return community_cells.groupBy("subreddit").agg(
+        F.min("min_created_utc").alias("min_created_utc"),
+        F.sum("n_posts").cast("long").alias("n_posts"),
     )

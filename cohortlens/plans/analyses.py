@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.functions.clocks import cal_month, calendar_x
-from cohortlens.operators.dims import first_seen
 from cohortlens.operators.facts import in_community
 from cohortlens.operators.series import as_series, cumulative, ordered
 from cohortlens.plans.community import Community
@@ -25,16 +24,11 @@ POSTS_PER_SURVIVING_USER = "Number of posts per surviving user"
 
 
 def first_month_counts(c: Community) -> DataFrame:
-    """kind ('user'/'subreddit'), m (calendar month of first post), n (how many).
-
-    From the saved dimensions when the community has them; otherwise both
-    dimensions come from a single GROUPING SETS scan of the posts."""
-    if c.materialize:
-        fs = c.users.select(F.lit("user").alias("kind"), "min_created_utc").unionByName(
-            c.subreddits.select(F.lit("subreddit").alias("kind"), "min_created_utc")
-        )
-    else:
-        fs = first_seen(c.posts)
+    """kind ('user'/'subreddit'), m (calendar month of first post), n (how many),
+    from the two first-seen dimensions."""
+    fs = c.users.select(F.lit("user").alias("kind"), "min_created_utc").unionByName(
+        c.subreddits.select(F.lit("subreddit").alias("kind"), "min_created_utc")
+    )
     return fs.groupBy("kind", cal_month("min_created_utc", c.spec).alias("m")).agg(
         F.count(F.lit(1)).alias("n")
     )
@@ -50,24 +44,19 @@ def q01_cumulative_growth(c: Community, share: bool = False) -> DataFrame:
 def active_counts(c: Community, approx_rsd: float | None = None) -> DataFrame:
     """m, users, subs: distinct active authors and communities per calendar month.
 
-    With saved cell tables the exact counts come from the (author, month) and
-    (community, month) cells: a month's active authors are its cells, so no distinct
-    count over posts is needed. Otherwise both distinct counts are planned together in
-    one scan of the posts (Expand + partial dedup per (month, value) before the
-    shuffle); ``approx_rsd`` switches to HyperLogLog++ sketches.
+    Exact counts come from the (author, month) and (community, month) cells: a month's
+    active authors are its cells, so no distinct count over posts is needed.
+    ``approx_rsd`` instead sketches both counts (HyperLogLog++) in one scan of the posts.
     """
-    if approx_rsd is None and c.materialize:
+    if approx_rsd is None:
         users = c.calendar_cells_plain.groupBy(F.col("cal_month").alias("m")).agg(F.count(F.lit(1)).alias("users"))
         subs = c.community_cells.groupBy(F.col("cal_month").alias("m")).agg(F.count(F.lit(1)).alias("subs"))
         return users.join(subs, "m", "full").select(
             "m", F.coalesce("users", F.lit(0)).alias("users"), F.coalesce("subs", F.lit(0)).alias("subs")
         )
     p = in_community(c.posts).select("author", "subreddit", cal_month("created_utc", c.spec).alias("m"))
-    if approx_rsd is None:
-        users, subs = F.countDistinct("author"), F.countDistinct("subreddit")
-    else:
-        users = F.approx_count_distinct("author", approx_rsd)
-        subs = F.approx_count_distinct("subreddit", approx_rsd)
+    users = F.approx_count_distinct("author", approx_rsd)
+    subs = F.approx_count_distinct("subreddit", approx_rsd)
     return p.groupBy("m").agg(users.alias("users"), subs.alias("subs"))
 
 

@@ -14,11 +14,18 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.functions.clocks import cal_month, calendar_x, survival_years, user_x
+from cohortlens.functions.clocks import calendar_x, survival_years, user_x
 from cohortlens.operators.clean import apply_window, clean_posts
-from cohortlens.operators.dims import subreddits_dim, users_dim
+from cohortlens.operators.dims import subreddits_from_cells, users_from_cells
 from cohortlens.operators.enrich import enrich_posts
-from cohortlens.operators.facts import calendar_cells, cell_aggregates, in_community, user_cells
+from cohortlens.operators.facts import (
+    CELL_MEASURES,
+    author_month_cells,
+    calendar_cells,
+    community_month_cells,
+    month_cells,
+    user_cells,
+)
 from cohortlens.operators.measures import MEASURES, Measure
 from cohortlens.operators.series import as_series, ordered
 from cohortlens.sources import fixture
@@ -72,14 +79,26 @@ class Community:
     def comments(self) -> DataFrame:
         return self.posts.where(F.col("comment") == 1)
 
+    @cached_property
+    def month_cells(self) -> DataFrame:
+        """One pass over the posts: (author, month) and (community, month) cells."""
+        cells = month_cells(self.posts, self.spec)
+        return materialize(cells, "month-cells", partition_by=["kind"]) if self.materialize else cells
+
+    @property
+    def author_cells(self) -> DataFrame:
+        return author_month_cells(self.month_cells)
+
     @cached_property
     def users(self) -> DataFrame:
-        users = users_dim(self.posts, self.spec)
+        """author, min_created_utc, year, time_active, survival, n_posts (from the cells)."""
+        users = users_from_cells(self.author_cells, self.spec)
         return materialize(users, "users") if self.materialize else users
 
     @cached_property
     def subreddits(self) -> DataFrame:
-        subreddits = subreddits_dim(self.posts)
+        """subreddit, min_created_utc, n_posts; one NULL row for posts without community."""
+        subreddits = subreddits_from_cells(community_month_cells(self.month_cells))
         return materialize(subreddits, "subreddits") if self.materialize else subreddits
 
     def meta(self) -> DataFrame:
@@ -88,7 +107,7 @@ class Community:
 
     # ---- saved base tables ---------------------------------------------------------
 
-    BASE_TABLES = ("posts", "users", "subreddits", "calendar_cells", "community_cells", "user_cells")
+    BASE_TABLES = ("posts", "month_cells", "users", "subreddits", "calendar_cells", "user_cells")
 
     def save_tables(self, root: str, disposition: str = "empty") -> None:
         """Write the base tables under ``root`` (one parquet folder each), so later
@@ -111,33 +130,23 @@ class Community:
 
     @cached_property
     def calendar_cells(self) -> DataFrame:
-        """(author, cal_month) cells with the author's cohort and survival."""
-        cells = calendar_cells(self.posts, self.users, self.spec)
+        """(author, cal_month) cells inside communities, with cohort and survival."""
+        cells = calendar_cells(self.author_cells, self.users)
         return materialize(cells, "calendar-cells") if self.materialize else cells
 
-    @cached_property
+    @property
     def calendar_cells_plain(self) -> DataFrame:
-        """(author, cal_month) cells without user attributes.
+        """(author, cal_month) cells inside communities, without user attributes."""
+        return self.author_cells.where(F.col("in_community")).select("author", "cal_month", *CELL_MEASURES)
 
-        The author join is lossless, so when the joined cells are saved anyway they are
-        reused; otherwise the cells are aggregated from posts without any join."""
-        if self.materialize:
-            return self.calendar_cells.drop("u_year", "u_survival")
-        return (
-            in_community(self.posts)
-            .groupBy("author", cal_month("created_utc", self.spec).alias("cal_month"))
-            .agg(*cell_aggregates())
-        )
-
-    @cached_property
+    @property
     def community_cells(self) -> DataFrame:
         """(subreddit, cal_month) cells: the communities active in each month."""
-        cells = (
-            in_community(self.posts)
-            .groupBy("subreddit", cal_month("created_utc", self.spec).alias("cal_month"))
-            .agg(F.count(F.lit(1)).alias("n_posts"))
+        return (
+            community_month_cells(self.month_cells)
+            .where(F.col("subreddit").isNotNull())
+            .select("subreddit", "cal_month", "n_posts")
         )
-        return materialize(cells, "community-cells") if self.materialize else cells
 
     @cached_property
     def user_cells(self) -> DataFrame:

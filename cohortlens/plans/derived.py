@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from cohortlens.functions.clocks import cal_year, calendar_x, ratio, user_x
 from cohortlens.functions.names import drop_reason
 from cohortlens.operators.clean import union_raw
-from cohortlens.operators.series import as_series, cumulative, normalize, ordered
+from cohortlens.operators.series import as_series, normalize, ordered
 from cohortlens.plans.analyses import (
     active_counts,
     first_month_counts,

@@ -54,7 +54,7 @@ def save(df: DataFrame, path: str, disposition: str = "empty", fmt: str = "parqu
     writer.save(path)
 
 
-def materialize(df: DataFrame, name: str, disposition: str = "empty") -> DataFrame:
+def materialize(df: DataFrame, name: str, disposition: str = "empty", partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` once to shared scratch storage and return a DataFrame reading it.
 
     This cuts the lineage (a lost executor re-reads the files instead of recomputing
@@ -62,7 +62,7 @@ def materialize(df: DataFrame, name: str, disposition: str = "empty") -> DataFra
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    save(df, path, disposition)
+    save(df, path, disposition, partition_by=partition_by)
     # the schema is known: reading it back needs no footer-inference job
     return spark.read.schema(df.schema).parquet(path)
 

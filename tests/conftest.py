@@ -41,6 +41,11 @@ def small_community(spark):
     return Community.from_fixture(spark, SMALL, materialize=True)
 
 
+def _null_first(row):
+    return tuple((v is not None, v if v is not None else 0) for v in row)
+
+
 def rows(df, *cols):
+    """All rows as tuples of ``cols``, sorted (NULLs first), for order-free comparison."""
     cols = cols or tuple(df.columns)
-    return sorted(tuple(r[c] for c in cols) for r in df.collect())
+    return sorted((tuple(r[c] for c in cols) for r in df.collect()), key=_null_first)

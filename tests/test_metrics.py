@@ -124,3 +124,11 @@ def test_series_order_is_numeric(spark):
         [(0.0, s, 1.0) for s in ("10", "9", "Overall", "2", "Cumulative")], "x double, series string, y double"
     )
     assert [r.series for r in ordered(df).collect()] == ["2", "9", "10", "Cumulative", "Overall"]
+
+
+def test_dimensions_from_cells_equal_direct(small_community):
+    from cohortlens.operators.dims import subreddits_dim, users_dim
+
+    c = small_community
+    assert rows(c.users) == rows(users_dim(c.posts, c.spec).select(*c.users.columns))
+    assert rows(c.subreddits) == rows(subreddits_dim(c.posts).select(*c.subreddits.columns))
