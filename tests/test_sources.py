@@ -74,3 +74,28 @@ def test_save_and_open_base_tables(spark, tmp_path):
     reopened = Community.open_tables(spark, root, c.spec)
     for name in ("q01_cumulative_growth", "q02_active_monthly", "q06_posts_per_user_cohort_utime", "q11_ratio_cohort_time"):
         assert rows(ANALYSES[name](reopened)) == rows(ANALYSES[name](c)), name
+
+
+def test_command_line_run_and_reuse(spark, tmp_path):
+    from cohortlens.__main__ import main
+    from cohortlens.plans.analyses import ANALYSES
+    from cohortlens.plans.community import Community
+    from cohortlens.sources import fixture
+    from tests.conftest import SMALL, rows
+
+    comments, submissions = fixture.community(spark, SMALL)
+    comments.write.json(str(tmp_path / "comments"))
+    submissions.write.json(str(tmp_path / "submissions"))
+    only = "q05_posts_per_user_cohort_time,q13_ratio_survival,heavy_authors"
+    args = ["--comments", str(tmp_path / "comments"), "--submissions", str(tmp_path / "submissions"),
+            "--spec", "fixture", "--only", only, "--out", str(tmp_path / "out"), "--tables", str(tmp_path / "tables")]
+    assert main(args) == 0
+    want = ANALYSES["q05_posts_per_user_cohort_time"](Community.from_fixture(spark, SMALL))
+    assert rows(spark.read.parquet(str(tmp_path / "out" / "q05_posts_per_user_cohort_time"))) == rows(want)
+    assert spark.read.parquet(str(tmp_path / "out" / "heavy_authors")).count() == 20
+    again = ["--reuse", "--tables", str(tmp_path / "tables"), "--spec", "fixture", "--only", only,
+             "--out", str(tmp_path / "out2")]
+    assert main(again) == 0
+    assert rows(spark.read.parquet(str(tmp_path / "out2" / "q13_ratio_survival"))) == rows(
+        spark.read.parquet(str(tmp_path / "out" / "q13_ratio_survival"))
+    )
