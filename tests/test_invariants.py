@@ -80,3 +80,19 @@ def test_simpson_reversal_flagged(spark):
     series = df.select("x", "series", "y").unionByName(overall)
     got = {r.series: (r.trend, r.overall_trend, r.reversal) for r in simpson_check(series).collect()}
     assert got == {"A": (1, -1, True), "B": (1, -1, True)}
+
+
+def test_overall_scopes(small_community):
+    c = small_community
+    # Q11: the Overall line covers exactly the months of the selected cohorts
+    q11 = ANALYSES["q11_ratio_cohort_time"](c).collect()
+    overall = {r.x for r in q11 if r.series == "Overall"}
+    cohorts = {r.x for r in q11 if r.series != "Overall"}
+    assert overall == cohorts
+    # Q5 / Q8: the Overall line spans all authors, so it covers every cohort month and
+    # also months before the first selected cohort starts
+    q5 = ANALYSES["q05_posts_per_user_cohort_time"](c).collect()
+    overall5 = {r.x for r in q5 if r.series == "Overall"}
+    cohorts5 = {r.x for r in q5 if r.series != "Overall"}
+    assert cohorts5 < overall5
+    assert min(overall5) < min(cohorts5)
