@@ -29,7 +29,8 @@ from cohortlens.operators.facts import (
 from cohortlens.operators.measures import MEASURES, Measure
 from cohortlens.operators.series import as_series, ordered
 from cohortlens.sources import fixture
-from cohortlens.sources.sinks import materialize, save
+from cohortlens.sources.sinks import materialize as save_and_reread
+from cohortlens.sources.sinks import save
 from cohortlens.spec import FIXTURE, CohortSpec
 
 OVERALL = "Overall"
@@ -46,12 +47,16 @@ class Community:
         rows_per_task: int = 4_000_000,
         max_hot: int = 10_000,
     ):
-        """``materialize``: save the base tables (cleaned posts, users, calendar and user
-        cells) to the shared scratch folder (``spark.checkpoint.dir``) on first use and read
-        them back, like a warehouse job that builds its base tables once and runs every
-        analysis on them. The raw logs are then parsed and cleaned once per Community
-        instead of once per branch of each plan, the analyses read compact cell tables,
-        and a lost executor re-reads files instead of recomputing upstream shuffles."""
+        """Raw comments / submissions (see ``sources.files`` for their schemas) and a spec.
+
+        ``materialize``: save the base tables (cleaned posts, month cells, users,
+        communities, calendar and user cells) to the shared scratch folder
+        (``spark.checkpoint.dir``) on first use and read them back, like a warehouse job
+        that builds its base tables once and runs every analysis on them. The raw logs
+        are then parsed and cleaned once per Community instead of once per branch of each
+        plan, the analyses read compact cell tables, and a lost executor re-reads files
+        instead of recomputing upstream shuffles.
+        ``skew_safe`` / ``rows_per_task`` / ``max_hot``: the salted per-post join."""
         self.raw_comments = raw_comments
         self.raw_submissions = raw_submissions
         self.spec = spec
@@ -73,7 +78,7 @@ class Community:
     def posts(self) -> DataFrame:
         """Cleaned comments UNION ALL cleaned submissions, inside the observation window."""
         posts = apply_window(clean_posts(self.raw_comments, self.raw_submissions), self.spec)
-        return materialize(posts, "posts") if self.materialize else posts
+        return save_and_reread(posts, "posts") if self.materialize else posts
 
     @property
     def comments(self) -> DataFrame:
@@ -83,7 +88,7 @@ class Community:
     def month_cells(self) -> DataFrame:
         """One pass over the posts: (author, month) and (community, month) cells."""
         cells = month_cells(self.posts, self.spec)
-        return materialize(cells, "month-cells", partition_by=["kind"]) if self.materialize else cells
+        return save_and_reread(cells, "month-cells", partition_by=["kind"]) if self.materialize else cells
 
     @property
     def author_cells(self) -> DataFrame:
@@ -93,13 +98,13 @@ class Community:
     def users(self) -> DataFrame:
         """author, min_created_utc, year, time_active, survival, n_posts (from the cells)."""
         users = users_from_cells(self.author_cells, self.spec)
-        return materialize(users, "users") if self.materialize else users
+        return save_and_reread(users, "users") if self.materialize else users
 
     @cached_property
     def subreddits(self) -> DataFrame:
         """subreddit, min_created_utc, n_posts; one NULL row for posts without community."""
         subreddits = subreddits_from_cells(community_month_cells(self.month_cells))
-        return materialize(subreddits, "subreddits") if self.materialize else subreddits
+        return save_and_reread(subreddits, "subreddits") if self.materialize else subreddits
 
     def meta(self) -> DataFrame:
         """The wide enriched post table (posts ⋈ users ⋈ subreddits + clocks)."""
@@ -123,7 +128,6 @@ class Community:
         c = cls(None, None, spec, **kw)
         for name in cls.BASE_TABLES:
             c.__dict__[name] = spark.read.parquet(f"{root.rstrip('/')}/{name}")
-        c.materialize = True  # the tables are saved: analyses read them as such
         return c
 
     # ---- pre-aggregated cells ----------------------------------------------------
@@ -132,7 +136,7 @@ class Community:
     def calendar_cells(self) -> DataFrame:
         """(author, cal_month) cells inside communities, with cohort and survival."""
         cells = calendar_cells(self.author_cells, self.users)
-        return materialize(cells, "calendar-cells") if self.materialize else cells
+        return save_and_reread(cells, "calendar-cells") if self.materialize else cells
 
     @property
     def calendar_cells_plain(self) -> DataFrame:
@@ -152,7 +156,7 @@ class Community:
     def user_cells(self) -> DataFrame:
         """(author, user_month) cells with the author's cohort and survival."""
         cells = user_cells(self.posts, self.users, self.spec, self.skew)
-        return materialize(cells, "user-cells") if self.materialize else cells
+        return save_and_reread(cells, "user-cells") if self.materialize else cells
 
     # ---- measures ----------------------------------------------------------------
 
