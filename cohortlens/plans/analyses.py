@@ -22,6 +22,39 @@ ACTIVE_USERS = "Number of active users"
 ACTIVE_SUBREDDITS = "Number of active subreddits"
 POSTS_PER_SURVIVING_USER = "Number of posts per surviving user"
 
+# Axis labels (x, y) of each analysis, with underscores as in the result
+# column names of the study; ``pretty`` turns them into display text.
+TIME, USER_TIME = "Time_", "Time_in_user_referential"
+PPU, LEN, CPS = "Average_number_of_posts_per_user", "Average_comment_length", "Comments_per_submission"
+AXIS_LABELS = {
+    "q01_cumulative_growth": (TIME, "Cumulative_number"),
+    "q02_active_monthly": (TIME, "Active_number"),
+    "q03_posts_per_user_time": (TIME, PPU),
+    "q04_posts_per_user_utime": (USER_TIME, PPU),
+    "q05_posts_per_user_cohort_time": (TIME, PPU),
+    "q06_posts_per_user_cohort_utime": (USER_TIME, PPU),
+    "q07_posts_per_user_survival": (USER_TIME, PPU),
+    "q08_comment_len_cohort_time": (TIME, LEN),
+    "q09_comment_len_cohort_utime": (USER_TIME, LEN),
+    "q10_comment_len_survival": (USER_TIME, LEN),
+    "q11_ratio_cohort_time": (TIME, CPS),
+    "q12_ratio_cohort_utime": (USER_TIME, CPS),
+    "q13_ratio_survival": (USER_TIME, CPS),
+}
+
+
+def pretty(label: str) -> str:
+    """Display text of a label: underscores become spaces."""
+    return label.replace("_", " ").strip()
+
+
+def with_axis_labels(df: DataFrame, name: str, display: bool = False) -> DataFrame:
+    """The series of analysis ``name`` with x / y renamed to its axis labels."""
+    x, y = AXIS_LABELS[name]
+    if display:
+        x, y = pretty(x), pretty(y)
+    return df.withColumnsRenamed({"x": x, "y": y})
+
 
 def first_month_counts(c: Community) -> DataFrame:
     """kind ('user'/'subreddit'), m (calendar month of first post), n (how many),

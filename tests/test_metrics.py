@@ -132,3 +132,11 @@ def test_dimensions_from_cells_equal_direct(small_community):
     c = small_community
     assert rows(c.users) == rows(users_dim(c.posts, c.spec).select(*c.users.columns))
     assert rows(c.subreddits) == rows(subreddits_dim(c.posts).select(*c.subreddits.columns))
+
+
+def test_axis_labels(small_community):
+    from cohortlens.plans.analyses import AXIS_LABELS, with_axis_labels
+
+    assert set(AXIS_LABELS) == set(ANALYSES)
+    df = with_axis_labels(ANALYSES["q09_comment_len_cohort_utime"](small_community), "q09_comment_len_cohort_utime", display=True)
+    assert df.columns == ["Time in user referential", "series", "Average comment length"]
