@@ -14,7 +14,10 @@ knows how many fact rows each key has (``weight``), so:
    ``total / rows_per_task + max_hot`` extra rows) and the two sides are shuffle-joined on
    (key, salt), so no task receives more than about ``rows_per_task`` rows of one key.
 
-No row is dropped or sampled; the result equals the plain inner join.
+No row is dropped or sampled; the result equals the plain inner join. The two numbers
+the split needs (heaviest weight, total weight) come from one small aggregate over the
+dimension; when no key is heavy — the common case — the join is a plain shuffle join and
+nothing is broadcast.
 """
 
 from __future__ import annotations
@@ -26,11 +29,23 @@ SALT = "_salt"
 N_SALTS = "_n_salts"
 
 
+def hot_threshold(dim: DataFrame, weight: str, rows_per_task: int, max_hot: int) -> tuple[float, int]:
+    """(threshold, heaviest weight): keys with weight > threshold are hot. Since the
+    weights sum to ``total`` and the threshold is at least total / max_hot, at most
+    ``max_hot`` keys can be hot."""
+    heaviest, total = dim.agg(F.max(weight), F.sum(weight)).first()
+    threshold = max(float(rows_per_task), float(total or 0) / max_hot)
+    return threshold, int(heaviest or 0)
+
+
 def hot_keys(dim: DataFrame, key: str, weight: str, rows_per_task: int, max_hot: int) -> DataFrame:
     """(key, _n_salts) for keys heavier than the threshold; at most ``max_hot`` rows."""
-    total = dim.agg(F.sum(weight)).scalar()
-    threshold = F.greatest(F.lit(rows_per_task).cast("double"), total.cast("double") / F.lit(max_hot))
-    return dim.where(F.col(weight) > threshold).select(
+    threshold, _ = hot_threshold(dim, weight, rows_per_task, max_hot)
+    return _hot(dim, key, weight, threshold, rows_per_task)
+
+
+def _hot(dim: DataFrame, key: str, weight: str, threshold: float, rows_per_task: int) -> DataFrame:
+    return dim.where(F.col(weight) > F.lit(threshold)).select(
         key, F.ceil(F.col(weight) / F.lit(rows_per_task)).cast("int").alias(N_SALTS)
     )
 
@@ -45,9 +60,13 @@ def salted_join(
 ) -> DataFrame:
     """Inner join ``big`` with ``dim`` on ``key`` (N:1), splitting heavy keys.
 
-    ``dim`` must have one row per key and a column ``weight`` = rows of ``big`` per key.
+    ``dim`` must have one row per key and a column ``weight`` = rows of ``big`` per key
+    (an upper bound is enough).
     """
-    hot = hot_keys(dim, key, weight, rows_per_task, max_hot)
+    threshold, heaviest = hot_threshold(dim, weight, rows_per_task, max_hot)
+    if heaviest <= threshold:
+        return big.join(dim, key)
+    hot = _hot(dim, key, weight, threshold, rows_per_task)
     # The hot list has at most max_hot rows by construction: broadcasting it is bounded.
     hot_b = F.broadcast(hot)
     content = [c for c in big.columns if c != key]

@@ -52,3 +52,11 @@ def test_salted_join_spreads_the_hot_key(spark):
     assert max(r["count"] for r in per_task) < 1000
     assert "SortMergeJoin" in plan
     assert "BroadcastHashJoin" in plan  # only the bounded hot-key list is broadcast
+
+
+def test_no_hot_key_means_plain_join(spark):
+    big, dim = _frames(spark)
+    joined = salted_join(big, dim, "k", "w", rows_per_task=10_000, max_hot=10)
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "_salt" not in plan
+    assert rows(joined, "k", "v", "w", "first") == rows(big.join(dim, "k"), "k", "v", "w", "first")
