@@ -113,6 +113,23 @@ class Community:
     # ---- saved base tables ---------------------------------------------------------
 
     BASE_TABLES = ("posts", "month_cells", "users", "subreddits", "calendar_cells", "user_cells")
+    # dependency waves of the base tables; the tables inside one wave are independent
+    BUILD_WAVES = (("posts",), ("month_cells",), ("users", "subreddits"), ("calendar_cells", "user_cells"))
+
+    def build(self, parallel: bool = True) -> "Community":
+        """Build every base table now (saved when ``materialize``), wave by wave; the
+        independent tables of a wave are submitted as concurrent Spark jobs from driver
+        threads, so their small stages overlap on the cluster."""
+        from concurrent.futures import ThreadPoolExecutor
+
+        for wave in self.BUILD_WAVES:
+            if parallel and len(wave) > 1:
+                with ThreadPoolExecutor(len(wave)) as pool:
+                    list(pool.map(lambda name: getattr(self, name), wave))
+            else:
+                for name in wave:
+                    getattr(self, name)
+        return self
 
     def save_tables(self, root: str, disposition: str = "empty") -> None:
         """Write the base tables under ``root`` (one parquet folder each), so later

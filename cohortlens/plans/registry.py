@@ -19,7 +19,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 # One saved community per (Spark application, data folder): its base tables are built
-# by the first query that needs them and read by all later ones.
+# once, by the first query, and read by all later ones.
 _COMMUNITIES: dict[tuple[str, str], Community] = {}
 
 
@@ -31,7 +31,7 @@ def _session_key(spark: SparkSession) -> str:
 def community_for(spark: SparkSession, sf_dir: str) -> Community:
     key = (_session_key(spark), sf_dir.rstrip("/"))
     if key not in _COMMUNITIES:
-        _COMMUNITIES[key] = Community.from_fixture(spark, sf_dir, materialize=True)
+        _COMMUNITIES[key] = Community.from_fixture(spark, sf_dir, materialize=True).build()
     return _COMMUNITIES[key]
 
 
