@@ -40,14 +40,27 @@ def epoch_seconds(ts: str | Column) -> Column:
     )
 
 
+def _utc_date(epoch: Column) -> Column:
+    return F.date_from_unix_date(F.floor(epoch / F.lit(SECONDS_PER_DAY)).cast("int"))
+
+
 def cal_month(created: str | Column, spec: CohortSpec) -> Column:
-    """Calendar month index: 30.4375-day bins counted from the spec origin."""
+    """Calendar month index counted from the start of ``base_year``.
+
+    julian:    30.4375-day bins from the spec origin (what the analyses use);
+    gregorian: UTC calendar months, (year - base_year) * 12 + month - 1.
+    """
+    if spec.calendar == "gregorian":
+        d = _utc_date(_col(created))
+        return ((F.year(d) - F.lit(spec.base_year)) * 12 + F.month(d) - 1).cast("long")
     return idiv(_col(created) - F.lit(spec.origin), spec.month_s)
 
 
 def cal_year(cal_month_col: str | Column, spec: CohortSpec) -> Column:
-    """Calendar (Julian) year of a calendar month index: ``(t-origin) div year_s``
-    equals ``cal_month div 12`` because year_s = 12 * month_s."""
+    """Year of a calendar month index. Julian: ``(t-origin) div year_s`` equals
+    ``cal_month div 12`` because year_s = 12 * month_s; Gregorian: the calendar year."""
+    if spec.calendar == "gregorian":
+        return F.lit(spec.base_year) + F.floor(_col(cal_month_col) / F.lit(12)).cast("long")
     return F.lit(spec.base_year) + idiv(cal_month_col, 12)
 
 
@@ -59,8 +72,7 @@ def user_month(created: str | Column, first: str | Column, spec: CohortSpec) ->
 def cohort_year(first: str | Column, spec: CohortSpec) -> Column:
     """Cohort of an author from the epoch second of their first post."""
     if spec.calendar == "gregorian":
-        days = F.floor(_col(first) / F.lit(SECONDS_PER_DAY)).cast("int")
-        return F.year(F.date_from_unix_date(days)).cast("long")
+        return F.year(_utc_date(_col(first))).cast("long")
     if spec.calendar != "julian":
         raise ValueError(f"unknown calendar {spec.calendar!r}")
     return F.lit(spec.base_year).cast("long") + idiv(_col(first) - F.lit(spec.origin), spec.year_s)

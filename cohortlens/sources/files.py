@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortlens.functions.clocks import idiv
+from cohortlens.functions.clocks import cal_month, cal_year
 from cohortlens.spec import CohortSpec
 
 RAW_COMMENT_SCHEMA = T.StructType(
@@ -41,8 +41,9 @@ CORRUPT_COLUMN = "_corrupt_record"
 
 
 def shard_year(created: str, spec: CohortSpec):
-    """Shard key of a raw row: the Julian year of its creation time (NULL stays NULL)."""
-    return F.lit(spec.base_year).cast("long") + idiv(F.col(created) - F.lit(spec.origin), spec.year_s)
+    """Shard key of a raw row: the year of its creation time on the spec's calendar
+    (NULL stays NULL)."""
+    return cal_year(cal_month(created, spec), spec).cast("long")
 
 
 def write_shards(df: DataFrame, path: str, spec: CohortSpec, mode: str = "errorifexists") -> None:

@@ -32,8 +32,10 @@ class CohortSpec:
     last_cohort: int  # last selected cohort (inclusive)
     year_s: int = YEAR_S
     month_s: int = MONTH_S
-    # "julian": cohort = base_year + (first - origin) div year_s (what the analyses use);
-    # "gregorian": cohort = calendar year of the first post in UTC.
+    # "julian": cohort = base_year + (first - origin) div year_s and calendar months are
+    # 30.4375-day bins (what the analyses use); "gregorian": cohort = UTC calendar year of
+    # the first post and the calendar clock counts UTC calendar months. The user clock is
+    # a duration in 30.4375-day months in both.
     calendar: str = "julian"
     # cohorts split by survival in the posts-per-user and comment-length analyses
     survival_cohorts: tuple[int, ...] = ()

@@ -65,3 +65,36 @@ def test_single_post_user(spark):
     posts = spark.createDataFrame([(5, "u", O + 100, "s", 1, 0)], "body_size long, author string, created_utc long, subreddit string, comment int, submission int")
     u = users_dim(posts, REDDIT).first()
     assert (u.time_active, u.survival, u.year, u.n_posts) == (0, 0, 2007, 1)
+
+
+def test_gregorian_calendar_clock(spark):
+    from cohortlens.functions.clocks import cal_year
+
+    greg = replace(REDDIT, calendar="gregorian")
+    t = 1230753600  # 2008-12-31 20:00 UTC
+    row = spark.range(1).select(
+        cal_month(F.lit(t), greg).alias("g"),
+        cal_month(F.lit(t), REDDIT).alias("j"),
+        cal_year(cal_month(F.lit(t), greg), greg).alias("gy"),
+        cal_year(cal_month(F.lit(t), REDDIT), REDDIT).alias("jy"),
+    ).first()
+    assert (row.g, row.gy) == (23, 2008)  # December of the second year
+    assert (row.j, row.jy) == (24, 2009)  # already past two Julian years
+    # the first second of a calendar month starts a new month
+    assert _one(spark, lambda c: cal_month(c, greg), 1201824000) == 13  # 2008-02-01 00:00 UTC
+    assert _one(spark, lambda c: cal_month(c, greg), 1201823999) == 12
+
+
+def test_gregorian_community_runs(spark):
+    from cohortlens.plans.community import Community
+    from cohortlens.sources.files import RAW_COMMENT_SCHEMA, RAW_SUBMISSION_SCHEMA
+
+    greg = replace(REDDIT, calendar="gregorian", window=None)
+    rows_ = [("ab", "u1", 1230753600, "s"), ("abcd", "u1", 1230768000, "s"), ("a", "u2", 1230768000, "s")]
+    c = Community(
+        spark.createDataFrame(rows_, RAW_COMMENT_SCHEMA), spark.createDataFrame([], RAW_SUBMISSION_SCHEMA), greg
+    )
+    users = {r.author: r.year for r in c.users.collect()}
+    assert users == {"u1": 2008, "u2": 2009}
+    got = {(r.series, round((r.x - 2007) * 12)): r.y for r in c.metric("comment_length", "calendar", "cohort", overall=True, cohorts=(2008, 2009)).collect()}
+    assert got == {("2008", 23): 2.0, ("2008", 24): 4.0, ("2009", 24): 1.0, ("Overall", 23): 2.0, ("Overall", 24): 2.5}
