@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +47,7 @@ class Community:
         materialize: bool = False,
         rows_per_task: int = 4_000_000,
         max_hot: int = 10_000,
+        persist: bool = False,
     ):
         """Raw comments / submissions (see ``sources.files`` for their schemas) and a spec.
 
@@ -56,12 +58,16 @@ class Community:
         are then parsed and cleaned once per Community instead of once per branch of each
         plan, the analyses read compact cell tables, and a lost executor re-reads files
         instead of recomputing upstream shuffles.
+        ``persist``: without ``materialize``, keep the base tables in executor memory /
+        disk (``persist``) instead of recomputing them for every plan that uses them;
+        lost blocks are recomputed from lineage.
         ``skew_safe`` / ``rows_per_task`` / ``max_hot``: the salted per-post join."""
         self.raw_comments = raw_comments
         self.raw_submissions = raw_submissions
         self.spec = spec
         self.skew_safe = skew_safe
         self.materialize = materialize
+        self.persist = persist
         # skew-aware join: keys with more rows than this are spread over several tasks;
         # at most max_hot keys are treated as hot (that list is what gets broadcast)
         self.skew = {"rows_per_task": rows_per_task, "max_hot": max_hot} if skew_safe else None
@@ -74,11 +80,19 @@ class Community:
 
     # ---- base tables -------------------------------------------------------------
 
+    def _keep(self, df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
+        """A base table as built: saved and re-read, persisted, or left lazy."""
+        if self.materialize:
+            return save_and_reread(df, name, partition_by=partition_by)
+        if self.persist:
+            return df.persist(StorageLevel.MEMORY_AND_DISK)
+        return df
+
     @cached_property
     def posts(self) -> DataFrame:
         """Cleaned comments UNION ALL cleaned submissions, inside the observation window."""
         posts = apply_window(clean_posts(self.raw_comments, self.raw_submissions), self.spec)
-        return save_and_reread(posts, "posts") if self.materialize else posts
+        return self._keep(posts, "posts")
 
     @property
     def comments(self) -> DataFrame:
@@ -88,7 +102,7 @@ class Community:
     def month_cells(self) -> DataFrame:
         """One pass over the posts: (author, month) and (community, month) cells."""
         cells = month_cells(self.posts, self.spec)
-        return save_and_reread(cells, "month-cells", partition_by=["kind"]) if self.materialize else cells
+        return self._keep(cells, "month-cells", partition_by=["kind"])
 
     @property
     def author_cells(self) -> DataFrame:
@@ -98,13 +112,13 @@ class Community:
     def users(self) -> DataFrame:
         """author, min_created_utc, year, time_active, survival, n_posts (from the cells)."""
         users = users_from_cells(self.author_cells, self.spec)
-        return save_and_reread(users, "users") if self.materialize else users
+        return self._keep(users, "users")
 
     @cached_property
     def subreddits(self) -> DataFrame:
         """subreddit, min_created_utc, n_posts; one NULL row for posts without community."""
         subreddits = subreddits_from_cells(community_month_cells(self.month_cells))
-        return save_and_reread(subreddits, "subreddits") if self.materialize else subreddits
+        return self._keep(subreddits, "subreddits")
 
     def meta(self) -> DataFrame:
         """The wide enriched post table (posts ⋈ users ⋈ subreddits + clocks)."""
@@ -153,7 +167,7 @@ class Community:
     def calendar_cells(self) -> DataFrame:
         """(author, cal_month) cells inside communities, with cohort and survival."""
         cells = calendar_cells(self.author_cells, self.users)
-        return save_and_reread(cells, "calendar-cells") if self.materialize else cells
+        return self._keep(cells, "calendar-cells")
 
     @property
     def calendar_cells_plain(self) -> DataFrame:
@@ -173,7 +187,7 @@ class Community:
     def user_cells(self) -> DataFrame:
         """(author, user_month) cells with the author's cohort and survival."""
         cells = user_cells(self.posts, self.users, self.spec, self.skew)
-        return save_and_reread(cells, "user-cells") if self.materialize else cells
+        return self._keep(cells, "user-cells")
 
     # ---- measures ----------------------------------------------------------------
 

@@ -140,3 +140,13 @@ def test_axis_labels(small_community):
     assert set(AXIS_LABELS) == set(ANALYSES)
     df = with_axis_labels(ANALYSES["q09_comment_len_cohort_utime"](small_community), "q09_comment_len_cohort_utime", display=True)
     assert df.columns == ["Time in user referential", "series", "Average comment length"]
+
+
+def test_persisted_equals_lazy(spark):
+    from tests.conftest import SMALL
+
+    a = Community.from_fixture(spark, SMALL, persist=True)
+    b = Community.from_fixture(spark, SMALL)
+    for name in ("q01_cumulative_growth", "q07_posts_per_user_survival", "q11_ratio_cohort_time"):
+        assert rows(ANALYSES[name](a)) == rows(ANALYSES[name](b)), name
+    assert a.user_cells.is_cached and a.posts.is_cached
