@@ -33,11 +33,12 @@ def ingest(
     checkpoint_dir: str,
     max_files_per_trigger: int | None = None,
     available_now: bool = True,
+    interval: str = "1 minute",
 ) -> StreamingQuery:
     """Start appending cleaned posts to the parquet table at ``sink_dir``.
 
     ``available_now`` processes everything present and stops (a scheduled catch-up run);
-    otherwise the query keeps running and picks up new dumps as they arrive.
+    otherwise the query keeps running and checks for new dumps every ``interval``.
     """
     writer = (
         clean_stream(spark, source_dir, kind, max_files_per_trigger)
@@ -45,5 +46,5 @@ def ingest(
         .outputMode("append")
         .option("checkpointLocation", checkpoint_dir)
     )
-    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
+    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=interval)
     return writer.start(sink_dir)
