@@ -75,27 +75,31 @@ def q01_cumulative_growth(c: Community, share: bool = False) -> DataFrame:
 
 
 def active_counts(c: Community, approx_rsd: float | None = None) -> DataFrame:
-    """m, users, subs: distinct active authors and communities per calendar month.
+    """kind ('users' / 'subreddits'), m, n: distinct active authors and communities per
+    calendar month.
 
     Exact counts come from the (author, month) and (community, month) cells: a month's
-    active authors are its cells, so no distinct count over posts is needed.
-    ``approx_rsd`` instead sketches both counts (HyperLogLog++) in one scan of the posts.
+    active authors are its cells, so no distinct count over posts is needed, and the two
+    per-month counts are simply stacked. ``approx_rsd`` instead sketches both counts
+    (HyperLogLog++) in one scan of the posts.
     """
     if approx_rsd is None:
-        users = c.calendar_cells_plain.groupBy(F.col("cal_month").alias("m")).agg(F.count(F.lit(1)).alias("users"))
-        subs = c.community_cells.groupBy(F.col("cal_month").alias("m")).agg(F.count(F.lit(1)).alias("subs"))
-        return users.join(subs, "m", "full").select(
-            "m", F.coalesce("users", F.lit(0)).alias("users"), F.coalesce("subs", F.lit(0)).alias("subs")
+        users = c.calendar_cells_plain.groupBy(F.col("cal_month").alias("m")).agg(F.count(F.lit(1)).alias("n"))
+        subs = c.community_cells.groupBy(F.col("cal_month").alias("m")).agg(F.count(F.lit(1)).alias("n"))
+        return users.select(F.lit("users").alias("kind"), "m", "n").unionByName(
+            subs.select(F.lit("subreddits").alias("kind"), "m", "n")
         )
     p = in_community(c.posts).select("author", "subreddit", cal_month("created_utc", c.spec).alias("m"))
-    users = F.approx_count_distinct("author", approx_rsd)
-    subs = F.approx_count_distinct("subreddit", approx_rsd)
-    return p.groupBy("m").agg(users.alias("users"), subs.alias("subs"))
+    wide = p.groupBy("m").agg(
+        F.approx_count_distinct("author", approx_rsd).alias("users"),
+        F.approx_count_distinct("subreddit", approx_rsd).alias("subreddits"),
+    )
+    return wide.unpivot("m", ["users", "subreddits"], "kind", "n").select("kind", "m", "n")
 
 
 def q02_active_monthly(c: Community, approx_rsd: float | None = None) -> DataFrame:
     """Active users and active communities per calendar month (>= 1 post in the month)."""
-    g = active_counts(c, approx_rsd).unpivot("m", ["users", "subs"], "kind", "n")
+    g = active_counts(c, approx_rsd)
     series = F.when(F.col("kind") == "users", F.lit(ACTIVE_USERS)).otherwise(F.lit(ACTIVE_SUBREDDITS))
     return ordered(as_series(g, calendar_x("m", c.spec), series, F.col("n")))
 

@@ -87,12 +87,7 @@ def active_fraction(c: Community) -> DataFrame:
         F.col("n").alias("new"),
         F.lit(0).cast("long").alias("active"),
     )
-    act = (
-        active_counts(c)
-        .withColumnRenamed("subs", "subreddits")
-        .unpivot("m", ["users", "subreddits"], "kind", "active")
-        .select("kind", "m", F.lit(0).cast("long").alias("new"), "active")
-    )
+    act = active_counts(c).select("kind", "m", F.lit(0).cast("long").alias("new"), F.col("n").alias("active"))
     g = new.unionByName(act).groupBy("kind", "m").agg(F.sum("new").alias("new"), F.sum("active").alias("active"))
     w = Window.partitionBy("kind").orderBy("m").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     g = g.withColumn("seen", F.sum("new").over(w)).where(F.col("active") > 0)
