@@ -30,9 +30,7 @@ ACTIVE_FRACTION_USERS = "Active fraction of users"
 ACTIVE_FRACTION_SUBREDDITS = "Active fraction of subreddits"
 
 
-def cohort_year_matrix(c: Community) -> DataFrame:
-    """Mean comment length by calendar year x cohort, plus an 'Overall' margin per year,
-    in long form (year, cohort, y); all cohorts. One GROUPING SETS aggregation."""
+def _cohort_year_long(c: Community) -> DataFrame:
     cells = c.calendar_cells.where(F.col("n_comments") > 0).withColumn("year", cal_year("cal_month", c.spec))
     g = cells.groupingSets([["year", "u_year"], ["year"]], "year", "u_year").agg(
         ratio(F.sum("sum_comment_size"), F.sum("n_comments")).alias("y"),
@@ -42,14 +40,20 @@ def cohort_year_matrix(c: Community) -> DataFrame:
         "year",
         F.when(F.col("_overall") == 1, F.lit(OVERALL)).otherwise(F.col("u_year").cast("string")).alias("cohort"),
         "y",
-    ).orderBy("year", "cohort")
+    )
+
+
+def cohort_year_matrix(c: Community) -> DataFrame:
+    """Mean comment length by calendar year x cohort, plus an 'Overall' margin per year,
+    in long form (year, cohort, y); all cohorts. One GROUPING SETS aggregation."""
+    return _cohort_year_long(c).orderBy("year", "cohort")
 
 
 def cohort_year_matrix_wide(c: Community) -> DataFrame:
-    """The same table as printed in the paper: one row per year, one column per cohort."""
-    long = cohort_year_matrix(c)
+    """The same table as printed in the paper: one row per year, one column per cohort
+    (each year x cohort cell holds exactly one value of the long form)."""
     cohorts = [str(y) for y in range(c.spec.base_year, c.spec.end_year + 1)] + [OVERALL]
-    return long.groupBy("year").pivot("cohort", cohorts).agg(F.first("y")).orderBy("year")
+    return _cohort_year_long(c).groupBy("year").pivot("cohort", cohorts).agg(F.max("y")).orderBy("year")
 
 
 def dataset_totals(c: Community) -> DataFrame:
