@@ -12,7 +12,7 @@ def _comments(spark, authors, body="hello", created=T, sub="s"):
 
 def test_dropped_and_kept_authors(spark):
     dropped = ["[deleted]", None, "x_bot", "xBot", "aTRANSCRIBERb", "autoModerator", "AutoModerator7"]
-    kept = ["xBOT", "xbot", "Bot1", "_bot1", "[Deleted]", "user_9bot", "bot", "Bo"]
+    kept = ["xBOT", "xbot", "Bot1", "ABot1", "_bot1", "[Deleted]", "user_9bot", "bot", "Bo"]
     out = clean_comments(_comments(spark, dropped + kept)).collect()
     assert sorted(r.author for r in out) == sorted(kept)
 
