@@ -150,3 +150,18 @@ def test_persisted_equals_lazy(spark):
     for name in ("q01_cumulative_growth", "q07_posts_per_user_survival", "q11_ratio_cohort_time"):
         assert rows(ANALYSES[name](a)) == rows(ANALYSES[name](b)), name
     assert a.user_cells.is_cached and a.posts.is_cached
+
+
+def test_normalize_and_cumulative_share(spark):
+    from cohortlens.operators.series import cumulative, normalize
+
+    df = spark.createDataFrame(
+        [(1.0, "a", 1.0), (2.0, "a", 3.0), (4.0, "a", 4.0), (1.0, "b", 2.0), (2.0, "b", 2.0)],
+        "x double, series string, y double",
+    )
+    xs = {(r.series, r.x, r.y) for r in normalize(df, "x,sum").collect()}
+    assert xs == {("a", 0.25, 0.125), ("a", 0.5, 0.375), ("a", 1.0, 0.5), ("b", 0.5, 0.5), ("b", 1.0, 0.5)}
+    ys = {(r.series, r.x, r.y) for r in normalize(df, "y").collect()}
+    assert ys == {("a", 1.0, 0.25), ("a", 2.0, 0.75), ("a", 4.0, 1.0), ("b", 1.0, 1.0), ("b", 2.0, 1.0)}
+    cs = {(r.series, r.x, r.y) for r in cumulative(df, share=True).collect()}
+    assert cs == {("a", 1.0, 0.125), ("a", 2.0, 0.5), ("a", 4.0, 1.0), ("b", 1.0, 0.5), ("b", 2.0, 1.0)}
