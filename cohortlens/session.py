@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 # Runtime SQL settings: adaptive execution re-plans joins and partition counts from the
-# real shuffle sizes; small partitions are coalesced, skewed join partitions split.
+# real shuffle sizes; small partitions are coalesced, skewed join partitions split. The
+# per-post join feeds an aggregation keyed by the join key, so splitting a skewed
+# partition needs one extra shuffle of partial aggregates: "force" allows that.
 ADAPTIVE = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
 }
 
