@@ -119,17 +119,22 @@ def cohort_share(c: Community) -> DataFrame:
 
 
 def heavy_authors(c: Community, k: int = 20) -> DataFrame:
-    """The k authors with the most raw posts (before cleaning), ties by name.
+    """The k authors with the most raw posts (before cleaning), ties by name, with their
+    share of all raw posts.
 
     A partial aggregate per author, then a top-k that keeps k rows per task before the
-    final merge (TakeOrderedAndProject); the limit is the report itself."""
-    raw = union_raw(c.raw_comments, c.raw_submissions).where(F.col("author").isNotNull())
-    return (
-        raw.groupBy("author")
+    final merge (TakeOrderedAndProject); the limit is the report itself. The total is a
+    scalar subquery."""
+    raw = union_raw(c.raw_comments, c.raw_submissions)
+    total = raw.agg(F.count(F.lit(1))).scalar()
+    top = (
+        raw.where(F.col("author").isNotNull())
+        .groupBy("author")
         .agg(F.count(F.lit(1)).alias("n_posts"))
         .orderBy(F.desc("n_posts"), F.asc("author"))
         .limit(k)
     )
+    return top.select("author", "n_posts", ratio(F.col("n_posts"), total).alias("share"))
 
 
 def simpson_check(series: DataFrame, digits: int = 6) -> DataFrame:

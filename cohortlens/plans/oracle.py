@@ -298,7 +298,9 @@ SELECT year, cohort, n_comments,
 FROM g""",
     "heavy_authors": with_base(f"ru AS ({RAW_UNION})")
     + """
-SELECT author, count(*) AS n_posts FROM ru WHERE author IS NOT NULL
+SELECT author, count(*) AS n_posts,
+       CAST(count(*) AS DOUBLE) / CAST((SELECT count(*) FROM ru) AS DOUBLE) AS share
+FROM ru WHERE author IS NOT NULL
 GROUP BY author ORDER BY n_posts DESC, author ASC LIMIT 20""",
     "simpson_check": with_base(
         f"""q AS (
