@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlens.functions.clocks import calendar_x, survival_years, user_x
-from cohortlens.operators.clean import apply_window, clean_posts
+from cohortlens.operators.clean import POST_COLUMNS, apply_window, clean_posts
 from cohortlens.operators.dims import subreddits_from_cells, users_from_cells
 from cohortlens.operators.enrich import enrich_posts
 from cohortlens.operators.facts import (
@@ -78,6 +78,15 @@ class Community:
         comments, submissions = fixture.community(spark, sf_dir)
         return cls(comments, submissions, spec, **kw)
 
+    @classmethod
+    def from_posts(cls, posts: DataFrame, spec: CohortSpec, **kw) -> "Community":
+        """A Community over an already cleaned post table (e.g. the sink of
+        ``streaming.ingest``); analyses of raw rows (dataset totals, heavy authors) need
+        the raw dumps and are unavailable."""
+        c = cls(None, None, spec, **kw)
+        c.__dict__["posts"] = apply_window(posts.select(*POST_COLUMNS), spec)
+        return c
+
     # ---- base tables -------------------------------------------------------------
 
     def _keep(self, df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:

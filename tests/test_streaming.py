@@ -28,3 +28,21 @@ def test_restart_continues_where_it_stopped(spark, tmp_path):
 
     got = sorted(r.author for r in spark.read.parquet(sink).collect())
     assert got == sorted([f"u{i}" for i in range(5)] + [f"v{i}" for i in range(3)])  # no duplicates
+
+
+def test_analyses_on_an_ingested_post_table(spark, tmp_path):
+    from cohortlens.plans.analyses import ANALYSES
+    from cohortlens.plans.community import Community
+    from cohortlens.sources import fixture
+    from tests.conftest import SMALL, rows
+
+    comments, submissions = fixture.community(spark, SMALL)
+    comments.write.json(str(tmp_path / "c"))
+    submissions.write.json(str(tmp_path / "s"))
+    ingest(spark, str(tmp_path / "c"), "comment", str(tmp_path / "posts" / "c"), str(tmp_path / "k1")).awaitTermination()
+    ingest(spark, str(tmp_path / "s"), "submission", str(tmp_path / "posts" / "s"), str(tmp_path / "k2")).awaitTermination()
+    posts = spark.read.parquet(str(tmp_path / "posts" / "c")).unionByName(spark.read.parquet(str(tmp_path / "posts" / "s")))
+    streamed = Community.from_posts(posts, fixture.FIXTURE)
+    batch = Community.from_fixture(spark, SMALL)
+    for name in ("q05_posts_per_user_cohort_time", "q12_ratio_cohort_utime"):
+        assert rows(ANALYSES[name](streamed)) == rows(ANALYSES[name](batch)), name
