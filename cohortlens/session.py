@@ -17,9 +17,29 @@ ADAPTIVE = {
 }
 
 
-def tune(spark: SparkSession) -> SparkSession:
+TARGET_PARTITION_BYTES = 128 * 1024 * 1024
+
+
+def shuffle_partitions_for(input_bytes: int, cores: int, target_bytes: int = TARGET_PARTITION_BYTES) -> int:
+    """Initial shuffle partition count for an input of ``input_bytes``: about one
+    partition per ``target_bytes`` (so a partition fits in task memory without spilling
+    much), never fewer than the cores. AQE coalesces what turns out smaller."""
+    return max(cores, -(-int(input_bytes) // target_bytes))
+
+
+def tune(spark: SparkSession, input_bytes: int | None = None) -> SparkSession:
+    """Apply the adaptive settings; with ``input_bytes`` (size of the raw input) also
+    size the initial shuffle partitions to it."""
     for k, v in ADAPTIVE.items():
         spark.conf.set(k, v)
+    if input_bytes is not None:
+        try:
+            cores = spark.sparkContext.defaultParallelism
+        except Exception:  # Spark Connect: no context on the client
+            cores = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        n = str(shuffle_partitions_for(input_bytes, cores))
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", n)
     return spark
 
 

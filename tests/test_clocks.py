@@ -98,3 +98,11 @@ def test_gregorian_community_runs(spark):
     assert users == {"u1": 2008, "u2": 2009}
     got = {(r.series, round((r.x - 2007) * 12)): r.y for r in c.metric("comment_length", "calendar", "cohort", overall=True, cohorts=(2008, 2009)).collect()}
     assert got == {("2008", 23): 2.0, ("2008", 24): 4.0, ("2009", 24): 1.0, ("Overall", 23): 2.0, ("Overall", 24): 2.5}
+
+
+def test_shuffle_partitions_for():
+    from cohortlens.session import TARGET_PARTITION_BYTES, shuffle_partitions_for
+
+    assert shuffle_partitions_for(10, cores=8) == 8
+    assert shuffle_partitions_for(100 * 2**40, cores=8000) == 100 * 2**40 // TARGET_PARTITION_BYTES  # 100 TiB
+    assert shuffle_partitions_for(TARGET_PARTITION_BYTES * 10 + 1, cores=2) == 11
