@@ -33,10 +33,26 @@ def test_cells_need_no_count_distinct(small_community):
     assert "count(distinct" in direct.lower() or "Expand" in direct or direct.count("HashAggregate") > 4
 
 
-def test_fixture_scans_are_pruned(small_community):
-    plan = small_community.posts._jdf.queryExecution().executedPlan().toString()
-    schemas = re.findall(r"ReadSchema: (struct<[^>]*>)", small_community.posts._jdf.queryExecution().toString())
+def test_fixture_scans_are_pruned(spark):
+    from cohortlens.plans.community import Community
+
+    posts = Community.from_fixture(spark, SMALL).posts  # lazy: the plan reaches the raw scans
+    plan = posts._jdf.queryExecution().executedPlan().toString()
+    schemas = re.findall(r"ReadSchema: (struct<[^>]*>)", posts._jdf.queryExecution().toString())
     joined = " ".join(schemas)
+    assert "lineitem" in plan and "orders" in plan
+    assert "struct<l_orderkey:bigint,l_partkey:bigint,l_suppkey:bigint,l_linenumber:int,l_quantity:double>" in joined
     # l_extendedprice, l_discount, l_shipdate, o_totalprice, ... never leave the files
     for col in ("l_extendedprice", "l_discount", "l_shipdate", "o_totalprice", "p_brand"):
         assert col not in joined and col not in plan
+
+
+def test_analyses_read_only_saved_tables(spark):
+    from cohortlens.plans.registry import community_for
+
+    c = community_for(spark, SMALL)
+    for name, fn in ANALYSES.items():
+        plan = fn(c)._jdf.queryExecution().executedPlan().toString()
+        locations = re.findall(r"InMemoryFileIndex\(\d+ paths?\)\[([^\]]*)\]", plan)
+        assert locations, name
+        assert all("/root/testdata" not in loc for loc in locations), name
