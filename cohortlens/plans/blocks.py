@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from cohortlens.operators.clean import clean_comments, clean_posts, union_raw, window_filter
+from cohortlens.operators.clean import clean_comments, clean_posts, clean_submissions, union_raw, window_filter
 from cohortlens.operators.dims import SUBREDDIT_COLUMNS, USER_COLUMNS
 from cohortlens.plans.community import Community
-from cohortlens.sources.files import read_json, read_shards, write_shards
+from cohortlens.sources.files import read_csv, read_json, read_shards, write_shards
 from cohortlens.sources.sinks import materialize, scratch_path
 from cohortlens.streaming.ingest import ingest
 
@@ -79,6 +79,19 @@ def json_ingest(c: Community) -> DataFrame:
     return clean_comments(read_json(spark, f"{path}/*.json", "comment"))
 
 
+NULL_MARK = "\\N"
+
+
+def csv_ingest(c: Community) -> DataFrame:
+    """Export raw submissions as CSV (header row, NULLs written as the marker \\N so
+    that empty texts stay empty strings), load them with the fixed raw schema and clean
+    them."""
+    spark = c.raw_submissions.sparkSession
+    path = scratch_path(spark, "submissions-csv")
+    c.raw_submissions.write.mode("errorifexists").option("header", True).option("nullValue", NULL_MARK).csv(path)
+    return clean_submissions(read_csv(spark, f"{path}/*.csv", "submission", null_value=NULL_MARK))
+
+
 def materialize_roundtrip(c: Community) -> DataFrame:
     """Save the users table (fails if the target exists) and read it back."""
     return materialize(users_dim_block(c), "users-saved", disposition="empty")
@@ -108,6 +121,7 @@ BLOCKS = {
     "window_filter": window_filter_block,
     "scan_union_shards": scan_union_shards,
     "json_ingest": json_ingest,
+    "csv_ingest": csv_ingest,
     "materialize_roundtrip": materialize_roundtrip,
     "stream_ingest": stream_ingest,
 }

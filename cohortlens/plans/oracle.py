@@ -205,6 +205,7 @@ FROM meta GROUP BY author, u_year, survival, user_month""",
     "scan_union_shards": with_base()
     + f"SELECT * FROM posts WHERE {B} + (created_utc - {O}) // {Y} BETWEEN {S.first_cohort} AND {S.end_year}",
     "json_ingest": with_base() + "SELECT * FROM comments",
+    "csv_ingest": with_base() + "SELECT * FROM submissions",
     "materialize_roundtrip": with_base() + "SELECT * FROM users",
     "stream_ingest": with_base() + "SELECT * FROM submissions",
 }

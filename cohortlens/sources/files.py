@@ -111,11 +111,14 @@ def read_csv(
     multiline: bool = True,
     mode: str = "PERMISSIVE",
     max_bad_records: int | None = None,
+    null_value: str | None = None,
 ) -> DataFrame:
     """CSV exports: delimiter, quote, encoding, header row, quoted newlines, bad-record cap.
 
     Short (jagged) rows get NULLs for the missing trailing columns in PERMISSIVE mode;
-    compression is picked from the file extension.
+    compression is picked from the file extension. ``null_value`` is the marker of NULL
+    fields (e.g. ``\\N``); without it an empty field reads as NULL, so empty strings
+    cannot be told apart from NULLs.
     """
     schema = schema or SCHEMAS[kind]
     reader = (
@@ -127,6 +130,8 @@ def read_csv(
         .option("multiLine", multiline)
         .option("mode", mode)
     )
+    if null_value is not None:
+        reader = reader.option("nullValue", null_value)
     if max_bad_records is not None:
         schema = T.StructType(schema.fields + [T.StructField(CORRUPT_COLUMN, T.StringType())])
         reader = reader.option("columnNameOfCorruptRecord", CORRUPT_COLUMN)
