@@ -7,7 +7,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cohortlens.llm.common import read
+from cohortlens.llm.common import crc32_of, materialize, read, utf8_bytes
+from cohortlens.llm.mixing import Mix, narrow, weighted_fair_mix
+from cohortlens.llm.sharding import hilbert_shards, text_code
 from cohortlens.llm.simhash import simhash_groups
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,9 +21,67 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 8 shards of equal row counts along a Hilbert curve over source,
+    language and size."""
+    docs = read(spark, sf_dir, "documents", "doc_id", "text", "source", "lang")
+    rows = materialize(docs.select("doc_id", (utf8_bytes(docs["text"]) + 1).alias("size"), crc32_of(docs["text"]).alias("text_crc32"),
+                                   "source", "lang"), "shard-rows")  # the text itself is read once and never shuffled
+    dims = {"source": text_code(rows["source"]), "lang": text_code(rows["lang"]), "size": rows["size"].cast("double")}
+    out = hilbert_shards(rows, dims, F.xxhash64("doc_id", "text_crc32"), rows["size"], n_shards=8, law="rows")
+    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+                      F.lit(None).cast("int").alias("grown_shard"), "hilbert")
+
+
+def op6_fair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed by source: weights 5, 2, 1 repeating, 150% of all words, no source
+    above twice its size."""
+    rows = materialize(narrow(read(spark, sf_dir, "documents", "doc_id", "text", "source")), "mix-rows")
+    out = weighted_fair_mix(None, Mix(weights=(5, 2, 1), share=1.5, repeats=2), rows=rows)
+    return out.select(F.col("__id").alias("doc_id"), F.col("__size").alias("size"), F.col("__source_size").alias("source_size"),
+                      F.col("__target").alias("target"), (F.col("__size") * F.col("__copies")).alias("taken"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_simhash,)}
+    return {f.__name__: f for f in (op2_simhash, op3_hilbert_sharding, op6_fair_mixing)}
+
+
+OP6_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, text, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+         md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':mix') AS k
+  FROM documents),
+s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS ss, row_number() OVER (ORDER BY source ASC NULLS LAST) AS no FROM d GROUP BY source),
+w AS (SELECT *, CASE (no - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w FROM s),
+-- resharing: sources above twice their size are held there and the rest shared again
+r(step, held) AS (
+  SELECT 0, CAST([] AS BIGINT[])
+  UNION ALL
+  SELECT step + 1, (
+    SELECT coalesce(list(w.no ORDER BY w.no), CAST([] AS BIGINT[])) FROM w
+    WHERE list_contains(r.held, w.no) OR 2 * w.ss * (SELECT sum(v.w) FROM w v WHERE NOT list_contains(r.held, v.no))
+      <= w.w * ((SELECT sum(v.ss) * 1.5 FROM w v) - (SELECT coalesce(sum(2 * v.ss), 0) FROM w v WHERE list_contains(r.held, v.no))))
+  FROM r WHERE step <= (SELECT count(*) FROM w)),
+held AS (SELECT held FROM r ORDER BY step DESC LIMIT 1),
+t AS (
+  SELECT w.source, w.ss, w.no, CASE WHEN list_contains(held, w.no) THEN CAST(2 * w.ss AS DOUBLE)
+    ELSE w.w * ((SELECT sum(v.ss) * 1.5 FROM w v) - (SELECT coalesce(sum(2 * v.ss), 0) FROM w v, held WHERE list_contains(held.held, v.no)))
+         / (SELECT sum(v.w) FROM w v, held WHERE NOT list_contains(held.held, v.no)) END AS target
+  FROM w, held),
+f AS (
+  SELECT d.doc_id, d.size, d.k, t.no, t.ss, t.target,
+         sum(d.size) OVER (PARTITION BY t.no ORDER BY d.k, d.doc_id, d.size ROWS UNBOUNDED PRECEDING) AS upto
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+c AS (
+  SELECT f.*, e, sum(size) OVER (ORDER BY (upto + ss * e) / target, no, k, doc_id, size ROWS UNBOUNDED PRECEDING) AS served
+  FROM f, (VALUES (0), (1)) copies(e) WHERE size > 0),
+taken AS (
+  SELECT doc_id, sum(size) AS n FROM c WHERE served <= (SELECT sum(ss) * 1.5 FROM s) GROUP BY doc_id)
+SELECT f.doc_id, f.size, f.ss AS source_size, CAST(f.target AS DOUBLE) AS target, CAST(coalesce(taken.n, 0) AS BIGINT) AS taken
+FROM f LEFT JOIN taken USING (doc_id)
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_fair_mixing": OP6_SQL}
