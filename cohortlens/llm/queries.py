@@ -5,12 +5,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cohortlens.llm.common import crc32_of, materialize, read, utf8_bytes
 from cohortlens.llm.mixing import Mix, narrow, weighted_fair_mix
+from cohortlens.llm.packing import packed_documents
+from cohortlens.llm.records import read_records, write_records
 from cohortlens.llm.sharding import hilbert_shards, text_code
 from cohortlens.llm.simhash import simhash_groups
+from cohortlens.sources.sinks import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -42,8 +46,26 @@ def op6_fair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.col("__target").alias("target"), (F.col("__size") * F.col("__copies")).alias("taken"))
 
 
+def tokenizer_path() -> str:
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 2048 tokens, each ended by id 0."""
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    return packed_documents(docs, tokenizer_path(), capacity=2048, end_id=0)
+
+
+def op9_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as token records, each ended by id 2, written and read back."""
+    path = scratch_path(spark, "token-records")
+    write_records(read(spark, sf_dir, "documents", "doc_id", "text"), path, tokenizer_path(), end_id=2)
+    return read_records(spark, path)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_simhash, op3_hilbert_sharding, op6_fair_mixing)}
+    return {f.__name__: f for f in (op2_simhash, op3_hilbert_sharding, op6_fair_mixing, op7_packing,
+                                     op9_token_records)}
 
 
 OP6_SQL = r"""
