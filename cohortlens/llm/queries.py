@@ -9,6 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cohortlens.llm.common import crc32_of, materialize, read, utf8_bytes
+from cohortlens.llm.langid import identify
 from cohortlens.llm.mixing import Mix, narrow, weighted_fair_mix
 from cohortlens.llm.packing import packed_documents
 from cohortlens.llm.records import read_records, write_records
@@ -63,9 +64,15 @@ def op9_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_records(spark, path)
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The predicted language of every whole document; documents held out are never learned from."""
+    got = identify(read(spark, sf_dir, "documents", "doc_id", "text", "lang"), sample_rows=2000)
+    return got.select("doc_id", "held_out", "lang_pred", "score")
+
+
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (op2_simhash, op3_hilbert_sharding, op6_fair_mixing, op7_packing,
-                                     op9_token_records)}
+                                     op9_token_records, op10_language_id)}
 
 
 OP6_SQL = r"""
