@@ -15,6 +15,7 @@ from cohortlens.llm.packing import packed_documents
 from cohortlens.llm.records import read_records, write_records
 from cohortlens.llm.sharding import hilbert_shards, text_code
 from cohortlens.llm.simhash import simhash_groups
+from cohortlens.llm.urls import fit, judge
 from cohortlens.sources.sinks import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,6 +58,16 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_documents(docs, tokenizer_path(), capacity=2048, end_id=0)
 
 
+# host and path of a url, and what is to be done with it
+URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every page's url, by rule or by the model trained on the labelled url table."""
+    got = judge(read(spark, sf_dir, "pages", "page_id", "url"), URL_RULES, fit(spark))
+    return got.select("page_id", "host", "path", "rule", "verdict", "score")
+
+
 def op9_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as token records, each ended by id 2, written and read back."""
     path = scratch_path(spark, "token-records")
@@ -72,7 +83,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (op2_simhash, op3_hilbert_sharding, op6_fair_mixing, op7_packing,
-                                     op9_token_records, op10_language_id)}
+                                     op8_url_filter, op9_token_records, op10_language_id)}
 
 
 OP6_SQL = r"""
