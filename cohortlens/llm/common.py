@@ -61,18 +61,21 @@ def rows_per_bucket(total: int, most: int = 1_000_000, buckets: int = 4096) -> i
     return max(1, min(most, -(-total // buckets)))
 
 
-def runs(batches: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
-    """The rows of each key, one key after the other, from batches sorted by ``key``
-    (``repartition(key).sortWithinPartitions(key)``): like a grouped map, without the cost
-    of an Arrow stream for each group."""
+def runs(batches: Iterator[pd.DataFrame], *keys: str) -> Iterator[pd.DataFrame]:
+    """The rows of each key, one key after the other, from batches sorted by ``keys``
+    (``repartition(*keys).sortWithinPartitions(*keys)``): like a grouped map, without the
+    cost of an Arrow stream for each group. Keys must not be NULL."""
     held: list[pd.DataFrame] = []
     for pdf in batches:
         if not len(pdf):
             continue
-        k = pdf[key].to_numpy()
-        cuts = [0, *(np.flatnonzero(k[1:] != k[:-1]) + 1).tolist(), len(k)]
+        new = np.zeros(len(pdf) - 1, bool)
+        for key in keys:
+            k = pdf[key].to_numpy()
+            new |= k[1:] != k[:-1]
+        cuts = [0, *(np.flatnonzero(new) + 1).tolist(), len(pdf)]
         for i, j in zip(cuts, cuts[1:]):
-            if held and held[-1][key].iloc[-1] != k[i]:
+            if held and any(held[-1][key].iloc[-1] != pdf[key].iloc[i] for key in keys):
                 yield pd.concat(held, ignore_index=True) if len(held) > 1 else held[0]
                 held = []
             held.append(pdf.iloc[i:j])

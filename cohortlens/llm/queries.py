@@ -9,6 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cohortlens.llm.common import crc32_of, materialize, read, utf8_bytes
+from cohortlens.llm.embedding_dups import near_duplicates
 from cohortlens.llm.langid import identify
 from cohortlens.llm.mixing import Mix, narrow, weighted_fair_mix
 from cohortlens.llm.packing import packed_documents
@@ -21,6 +22,12 @@ from cohortlens.sources.sinks import scratch_path
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_embedding_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings of one label at cosine 0.93 or more."""
+    got = near_duplicates(read(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"), threshold=0.93)
+    return got.select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash groups of all documents: 4-word shingles, at most 4 differing bits."""
     g = simhash_groups(read(spark, sf_dir, "documents", "doc_id", "text"), shingle=4, max_bits=4)
@@ -82,7 +89,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_simhash, op3_hilbert_sharding, op6_fair_mixing, op7_packing,
+    return {f.__name__: f for f in (op1_embedding_dups, op2_simhash, op3_hilbert_sharding, op6_fair_mixing, op7_packing,
                                      op8_url_filter, op9_token_records, op10_language_id)}
 
 
@@ -123,5 +130,22 @@ FROM f LEFT JOIN taken USING (doc_id)
 """
 
 
+OP1_SQL = """
+WITH RECURSIVE e AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+g AS (
+  SELECT * FROM e WHERE label IS NOT NULL AND v IS NOT NULL AND len(v) > 0
+    AND len(list_filter(v, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+p AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM g a JOIN g b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.93),
+reach(a, b) AS (SELECT a, b FROM p UNION SELECT r.a, p.b FROM reach r JOIN p ON r.b = p.a)
+SELECT e.vec_id, (SELECT count(*) FROM p WHERE p.a = e.vec_id) AS n_links,
+       least(e.vec_id, coalesce((SELECT min(b) FROM reach r WHERE r.a = e.vec_id), e.vec_id)) AS component_id,
+       e.vec_id = least(e.vec_id, coalesce((SELECT min(b) FROM reach r WHERE r.a = e.vec_id), e.vec_id)) AS kept
+FROM e
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_fair_mixing": OP6_SQL}
+    return {"op1_embedding_dups": OP1_SQL, "op6_fair_mixing": OP6_SQL}
