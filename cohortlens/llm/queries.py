@@ -16,6 +16,7 @@ from cohortlens.llm.packing import packed_documents
 from cohortlens.llm.records import read_records, write_records
 from cohortlens.llm.sharding import hilbert_shards, text_code
 from cohortlens.llm.simhash import simhash_groups
+from cohortlens.llm.topk import top_k
 from cohortlens.llm.urls import fit, judge
 from cohortlens.sources.sinks import scratch_path
 
@@ -46,6 +47,12 @@ def op3_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.lit(None).cast("int").alias("grown_shard"), "hilbert")
 
 
+def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 best other rows of every embedding whose id is divisible by 50, by integer inner product."""
+    rows = read(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    return top_k(rows, rows["vec_id"] % 50 == 0, k=5, scale=256)
+
+
 def op6_fair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed by source: weights 5, 2, 1 repeating, 150% of all words, no source
     above twice its size."""
@@ -89,7 +96,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_embedding_dups, op2_simhash, op3_hilbert_sharding, op6_fair_mixing, op7_packing,
+    return {f.__name__: f for f in (op1_embedding_dups, op2_simhash, op3_hilbert_sharding, op4_exact_topk, op6_fair_mixing, op7_packing,
                                      op8_url_filter, op9_token_records, op10_language_id)}
 
 
@@ -147,5 +154,18 @@ FROM e
 """
 
 
+OP4_SQL = """
+WITH e AS (
+  SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: floor(256 * x)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM e q JOIN e c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_embedding_dups": OP1_SQL, "op6_fair_mixing": OP6_SQL}
+    return {"op1_embedding_dups": OP1_SQL, "op4_exact_topk": OP4_SQL, "op6_fair_mixing": OP6_SQL}
