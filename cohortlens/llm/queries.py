@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from cohortlens.llm.common import crc32_of, materialize, read, utf8_bytes
 from cohortlens.llm.embedding_dups import near_duplicates
 from cohortlens.llm.langid import identify
+from cohortlens.llm.line_dedup import dedup_lines
 from cohortlens.llm.mixing import Mix, narrow, weighted_fair_mix
 from cohortlens.llm.packing import packed_documents
 from cohortlens.llm.records import read_records, write_records
@@ -53,6 +54,15 @@ def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(rows, rows["vec_id"] % 50 == 0, k=5, scale=256)
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the blocks of lines that an earlier document already has."""
+    got = dedup_lines(read(spark, sf_dir, "documents", "doc_id", "text"))
+    from_docs = F.array_sort(F.array_distinct(F.transform(F.coalesce("__blocks", F.array().cast(
+        "array<struct<first:int,last:int,doc_id:long>>")), lambda b: b["doc_id"])))
+    return got.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__deleted").alias("n_deleted"),
+                      F.col("__empty").alias("removed"), from_docs.alias("duplicate_of"), "text")
+
+
 def op6_fair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed by source: weights 5, 2, 1 repeating, 150% of all words, no source
     above twice its size."""
@@ -96,7 +106,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_embedding_dups, op2_simhash, op3_hilbert_sharding, op4_exact_topk, op6_fair_mixing, op7_packing,
+    return {f.__name__: f for f in (op1_embedding_dups, op2_simhash, op3_hilbert_sharding, op4_exact_topk, op5_line_dedup, op6_fair_mixing, op7_packing,
                                      op8_url_filter, op9_token_records, op10_language_id)}
 
 

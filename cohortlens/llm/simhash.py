@@ -184,24 +184,40 @@ def fingerprint_links(fps: DataFrame, max_bits: int = 4, max_rows: int = MAX_ROW
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, seed: int = 42,
                    max_bits: int = 4) -> DataFrame:
-    """(id, fp long, component_id) of every row.
+    """(id, tkey, fp, root, component_id) of every row: xxhash64 of the text, fingerprint as a
+    signed long, the smallest fingerprint and the smallest id reachable.
 
     Words are runs of non-white-space after lower-casing A-Z; shingles of ``shingle`` words
     count as often as they occur (fewer words: the whole sequence). A fingerprint bit is set
     if it is set in over half of the shingles' XXH64. NULL, empty and word-less texts have
-    fingerprint zero and are linked like any other. component_id is the smallest id reachable
-    through links of at most ``max_bits``; rows with a NULL id are grouped too but never name
-    a component (NULL if no row of the component has an id). Repeated rows and ids keep one
-    result row each. An empty table gives an empty result.
+    fingerprint zero and are linked like any other. Links are ``max_bits`` or fewer differing
+    bits. Rows with a NULL id are grouped too but never name a component (NULL if no row of
+    the component has an id). Repeated rows and ids keep one result row each. An empty
+    table gives an empty result.
     """
     ship(docs.sparkSession)
-    rows = materialize(docs.select(F.col(id_col).alias("id"), fingerprint_column(F.col(text_col), shingle, seed).alias("fp")),
-                       "fingerprints")
+    rows = materialize(docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("tkey"),
+                                   fingerprint_column(F.col(text_col), shingle, seed).alias("fp")), "fingerprints")
     classes = materialize(rows.groupBy("fp").agg(F.min("id").alias("low")), "fingerprint-classes")
     comps = connected_components(fingerprint_links(classes, max_bits))
     linked = classes.join(comps.withColumnRenamed("node", "fp"), "fp")
     lows = linked.groupBy("root").agg(F.min("low").alias("component_id"))
-    linked = hot_join(linked.select("fp", "root"), lows, "root").select("fp", "component_id")
-    named = classes.join(linked.withColumn("in", F.lit(True)), "fp", "left").select(
-        "fp", F.when(F.col("in"), F.col("component_id")).otherwise(F.col("low")).alias("component_id"))
-    return hot_join(rows, named, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    linked = hot_join(linked.select("fp", "root"), lows.withColumn("r", F.col("root")), "root").select("fp", F.col("r").alias("root"), "component_id")
+    named = classes.join(linked, "fp", "left").select(
+        "fp", F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col("low")).otherwise(F.col("component_id")).alias("component_id"))
+    return hot_join(rows, named.withColumn("f", F.col("fp")), "fp").select(
+        F.col("id").alias(id_col), "tkey", F.col("f").alias("fp"), "root", "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_bits: int = 4) -> DataFrame:
+    """The documents of which none of the same SimHash group has a smaller id, one of each
+    group, with the columns of ``docs``. A row without an id stays only if no row of its
+    group has one; of repeated rows one stays."""
+    groups = simhash_groups(docs, id_col, text_col, shingle, max_bits=max_bits)
+    first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("tkey").alias("t"))).alias("k")
+    keep = materialize(groups.groupBy("root").agg(first).select(
+        F.xxhash64("k.id").alias("__k"), F.col("k.t").alias("__t"), F.col("k.id").alias("__i")), "simhash-kept")
+    # both steps deal the texts by the same two keys: one shuffle
+    df = docs.withColumns({"__k": F.xxhash64(id_col), "__t": F.xxhash64(text_col)})
+    same = (df["__k"] == keep["__k"]) & (df["__t"] == keep["__t"]) & df[id_col].eqNullSafe(keep["__i"])
+    return df.join(keep, same, "left_semi").dropDuplicates(["__k", "__t"]).select(*docs.columns)
