@@ -69,7 +69,7 @@ def hilbert_shards(df: DataFrame, dims: dict[str, Column], key: Column, size: Co
     stats = df.agg(F.count(F.lit(1)).alias("n"), F.sum("__size").alias("bytes"),
                    *[F.percentile_approx(c, cuts_at, 10000).alias(c) for c in names]).first()  # one row of bounded size
     n, total = stats["n"], stats["bytes"] or 0
-    step = {c: sum([F.when(F.col(c) > F.lit(v), 1).otherwise(0) for v in sorted(set(stats[c] or []))], F.lit(0)) for c in names}
+    step = {c: sum([F.when(F.col(c) > F.lit(v), 1).otherwise(0) for v in stats[c] or []], F.lit(0)) for c in names}
     cell = F.lit(0)
     for c in names:
         cell = cell * steps + step[c]

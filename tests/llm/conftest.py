@@ -1,0 +1,52 @@
+import pytest
+from pyspark.sql import types as T
+
+DOCS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()),
+                     T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType())])
+ROOT = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="session")
+def make_docs(spark):
+    """documents from (doc_id, text, lang, source) tuples; shorter tuples are filled with None."""
+
+    def make(rows, extra=()):
+        full = [(*r, *[None] * (4 - len(r)), len(r[1]) if len(r) > 1 and r[1] is not None else None) for r in rows]
+        schema = T.StructType(DOCS.fields + [T.StructField(c, T.StringType()) for c in extra])
+        return spark.createDataFrame([(*r, *[f"extra-{c}" for c in extra]) for r in full], schema)
+
+    return make
+
+
+@pytest.fixture(scope="session")
+def docs_dir(spark, make_docs, tmp_path_factory):
+    """A folder with a documents table made of the given rows."""
+
+    def write(rows, extra=()):
+        d = str(tmp_path_factory.mktemp("docs"))
+        make_docs(rows, extra).coalesce(2).write.parquet(f"{d}/documents.parquet")
+        return d
+
+    return write
+
+
+# nulls in every column, empty and blank texts, no words, ties, repeated rows, repeated and NULL ids, a very long text
+LONG = " ".join(f"wort{i % 977} straße{i % 13}" for i in range(60_000)) + "\n" + "z" * 30_000
+ODD = [
+    (1, "the quick brown fox jumps over the lazy dog", "en", "a"), (1, "the quick brown fox jumps over the lazy dog", "en", "a"),
+    (1, "another text under the same id", "en", "b"), (2, None, "en", "a"), (3, "", "de", None), (4, "   \n\t ", None, "b"),
+    (5, "123 456 !!!", "en", "a"), (None, "no id here but words and words", "en", "c"), (None, None, None, None),
+    (6, LONG, "de", "a"), (7, "Ünïcödé ÄÖÜ ß ñ \U0001f600 zero​width \x00 nul", "fr", "é"), (8, "the quick brown fox jumps over the lazy dog", "en", "z"),
+    (9, "<|endoftext|> it's 'tis don't ΑΣ x\x1cy", "en", "a"),
+]
+EXTRA = ("size", "shard", "slot", "target", "score", "host", "fp", "root", "length", "blocks")
+
+
+@pytest.fixture(scope="session")
+def odd():
+    return ODD
+
+
+@pytest.fixture(scope="session")
+def extra_columns():
+    return EXTRA

@@ -1,0 +1,86 @@
+import pytest
+from pyspark.sql import functions as F
+
+from brute import words
+from cohortlens.llm.mixing import Mix, mixed_documents, weighted_fair_mix
+from cohortlens.llm.queries import op6_fair_mixing
+
+
+def targets(docs, weights=(5, 2, 1), share=1.5, repeats=2):
+    size = {}
+    for r in docs:
+        size[r[3]] = size.get(r[3], 0) + len(words(r[1]))
+    order = sorted(size, key=lambda s: (s is None, s or ""))
+    w = {s: weights[k % len(weights)] for k, s in enumerate(order)}
+    budget, held = share * sum(size.values()), {}
+    while True:
+        free = [s for s in order if s not in held]
+        level = (budget - sum(held.values())) / max(1, sum(w[s] for s in free))
+        over = [s for s in free if level * w[s] >= repeats * size[s]]
+        if not over:
+            return size, {**held, **{s: level * w[s] for s in free}}
+        held |= {s: repeats * size[s] for s in over}
+
+
+def check(rows, docs):
+    size, target = targets(docs)
+    source = {}
+    for r in docs:
+        source.setdefault(str(r[0]), []).append(r)
+    assert sorted((str(r["doc_id"]), r["size"]) for r in rows) == sorted((str(r[0]), len(words(r[1]))) for r in docs)
+    taken = {}
+    for r in rows:
+        s = next((s for s in size if size[s] == r["source_size"] and abs(target[s] - r["target"]) < 1e-6 * max(1, target[s])), "?")
+        assert s != "?" and 0 <= r["taken"] <= 2 * r["size"]
+        assert r["taken"] % max(1, r["size"]) == 0
+        taken[s] = taken.get(s, 0) + r["taken"]
+    most = {s: max(len(words(r[1])) for r in docs if r[3] == s) for s in size}
+    for s in size:
+        assert abs(taken[s] - target[s]) <= most[s] + 1e-6
+    assert sum(taken.values()) <= 1.5 * sum(size.values())
+
+
+def test_whole_table(spark):
+    path = "/root/testdata/sf0.001"
+    docs = [tuple(r) for r in spark.read.parquet(f"{path}/documents.parquet").select("doc_id", "text", "lang", "source").collect()]
+    rows = op6_fair_mixing(spark, path).collect()
+    check(rows, docs)
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, op6_fair_mixing(spark, path).collect()))
+
+
+def test_sources_with_many_short_documents(spark, docs_dir):
+    docs = [(i, "w " * (1 + i % 7), "en", ["hot", "b", None, "c"][0 if i % 3 else i % 4]) for i in range(900)]
+    check(op6_fair_mixing(spark, docs_dir(docs)).collect(), docs)
+
+
+def test_odd_rows(spark, odd, docs_dir, extra_columns):
+    rows = op6_fair_mixing(spark, docs_dir(odd, extra_columns)).collect()
+    assert len(rows) == len(odd) and all(r["taken"] in (0, r["size"], 2 * r["size"]) for r in rows)
+    _, target = targets(odd)
+    assert sorted({round(r["target"], 6) for r in rows}) == sorted({round(float(t), 6) for t in target.values()})
+
+
+def test_empty_and_wordless_tables(spark, docs_dir):
+    assert op6_fair_mixing(spark, docs_dir([])).count() == 0
+    rows = op6_fair_mixing(spark, docs_dir([(1, None, "en", "a"), (2, "", "en", None)])).collect()
+    assert [(r["size"], r["source_size"], r["target"], r["taken"]) for r in rows] == [(0, 0, 0.0, 0)] * 2
+
+
+def test_mixed_documents_repeat_and_keep_their_columns(spark, make_docs, odd, extra_columns):
+    docs = make_docs([(i, f"word{i} and more words", "en", "ab"[i % 2]) for i in range(40)], extra_columns)
+    mixed = mixed_documents(docs)
+    assert mixed.columns == docs.columns
+    copies = {r["doc_id"]: r["n"] for r in mixed.groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
+    taken = {r["doc_id"]: r["__copies"] for r in weighted_fair_mix(docs).collect()}
+    assert copies == {k: v for k, v in taken.items() if v}
+    assert mixed_documents(make_docs(odd, extra_columns)).count() > 0
+
+
+@pytest.mark.parametrize("share,repeats", [(0.5, 1), (2.5, 3)])
+def test_other_shares_and_repeats(spark, make_docs, share, repeats):
+    docs = [(i, "w " * (1 + i % 5), "en", "abc"[i % 3]) for i in range(300)]
+    size, target = targets(docs, (1, 1), share, repeats)
+    rows = weighted_fair_mix(make_docs(docs), Mix((1, 1), share, repeats)).collect()
+    for s in size:
+        got = sum(r["__size"] * r["__copies"] for r in rows if r["source"] == s)
+        assert abs(got - target[s]) <= 5 + 1e-6

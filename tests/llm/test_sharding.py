@@ -1,0 +1,71 @@
+import itertools
+import zlib
+
+import pytest
+from pyspark.sql import functions as F
+
+from cohortlens.llm.queries import op3_hilbert_sharding
+from cohortlens.llm.sharding import document_shards, hilbert_index, write_shards
+
+
+@pytest.mark.parametrize("dims,bits", [(2, 1), (2, 3), (3, 2), (3, 3)])
+def test_curve_visits_every_cell_once_one_step_at_a_time(spark, dims, bits):
+    cells = list(itertools.product(range(1 << bits), repeat=dims))
+    df = spark.createDataFrame([(list(c),) for c in cells], "x array<int>")
+    got = {r["h"]: tuple(r["x"]) for r in df.select("x", hilbert_index(F.col("x"), dims, bits).alias("h")).collect()}
+    assert sorted(got) == list(range(len(cells)))
+    for h in range(1, len(cells)):
+        assert sum(abs(a - b) for a, b in zip(got[h], got[h - 1])) == 1
+
+
+def check(rows, docs, n_shards=8):
+    assert len(rows) == len(docs)
+    by = {s: sorted(r["slot"] for r in rows if r["shard"] == s) for s in range(n_shards)}
+    assert all(v == list(range(len(v))) for v in by.values())
+    assert max(map(len, by.values())) - min(map(len, by.values())) <= 1
+    want = sorted((str(r[0]), len((r[1] or "").encode()) + 1, zlib.crc32((r[1] or "").encode())) for r in docs)
+    assert sorted((str(r["doc_id"]), r["size"], r["text_crc32"]) for r in rows) == want
+    order = [r["hilbert"] for r in sorted(rows, key=lambda r: (r["shard"], r["slot"]))]
+    assert order == sorted(order)
+
+
+def test_whole_table(spark):
+    path = "/root/testdata/sf0.001"
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{path}/documents.parquet").collect()]
+    check(op3_hilbert_sharding(spark, path).collect(), docs)
+
+
+def test_odd_rows(spark, odd, docs_dir, extra_columns):
+    rows = op3_hilbert_sharding(spark, docs_dir(odd, extra_columns)).collect()
+    check(rows, odd)
+    assert {r["law"] for r in rows} == {"rows"} and {r["grown_shard"] for r in rows} == {None}
+
+
+def test_empty_table_and_fewer_rows_than_shards(spark, docs_dir):
+    assert op3_hilbert_sharding(spark, docs_dir([])).count() == 0
+    assert op3_hilbert_sharding(spark, docs_dir([(1, "a", "en", "s"), (2, "b", "en", "s")])).count() == 2
+
+
+def test_bytes_law(spark, make_docs):
+    docs = make_docs([(i, "x" * (i % 97), "en", f"s{i % 3}") for i in range(600)])
+    rows = document_shards(docs, 5, law="bytes").collect()
+    sizes = [sum(len(r["text"]) + 1 for r in rows if r["shard"] == s) for s in range(5)]
+    assert max(sizes) - min(sizes) <= 2 * 97
+    assert all(sorted(r["slot"] for r in rows if r["shard"] == s) == list(range(sum(r["shard"] == s for r in rows))) for s in range(5))
+    with pytest.raises(ValueError):
+        document_shards(docs, 5, law="key")
+
+
+def test_hot_source_and_equal_texts_are_cut(spark, make_docs):
+    docs = make_docs([(i, "same text", "en", "hot") for i in range(500)] + [(1000 + i, f"text {i}", "de", f"s{i}") for i in range(100)])
+    counts = document_shards(docs, 8).groupBy("shard").count().collect()
+    assert sorted(r["count"] for r in counts) == [75] * 8
+
+
+def test_files_are_narrow_in_every_dimension(spark, make_docs, tmp_path):
+    docs = make_docs([(i, "x" * (i * 7919 % 1000), ["de", "en", "fr", "it"][i % 4], f"s{i * 31 % 16:02d}") for i in range(2000)])
+    write_shards(docs, str(tmp_path / "s"), 8)
+    back = spark.read.parquet(str(tmp_path / "s"))
+    assert back.count() == 2000 and set(docs.columns) <= set(back.columns)
+    langs = back.groupBy("shard").agg(F.countDistinct("lang").alias("l"), F.countDistinct("source").alias("s")).collect()
+    assert sum(r["l"] for r in langs) < 4 * 8 * 0.8 and sum(r["s"] for r in langs) < 16 * 8 * 0.8
