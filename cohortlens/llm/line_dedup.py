@@ -17,13 +17,14 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from cohortlens.llm.common import materialize, runs, ship
+from cohortlens.llm.common import materialize, ship
 
 MIN_WORDS = 30
 
@@ -110,13 +111,19 @@ def merged(blocks: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _aligned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """For each later document: its aligned blocks with every document it is paired with."""
-    for pdf in runs(batches, "doc", "tkey"):
-        blocks = []
-        for owner, pair in pdf.groupby(["odoc", "okey"], sort=True):
-            found = align(list(zip(pair["first"].tolist(), pair["last"].tolist(), pair["ofirst"].tolist())))
-            blocks += [{"first": a, "last": b, "doc_id": int(owner[0])} for a, b in found]
-        yield pd.DataFrame({"doc": [pdf["doc"].iloc[0]], "tkey": [pdf["tkey"].iloc[0]], "blocks": [blocks]})
+    """For each later document: its aligned blocks with every document it is paired with. The
+    rows come sorted by document, then by the document it is paired with."""
+    cols = ["doc", "tkey", "odoc", "okey", "first", "last", "ofirst"]
+    rows = (r for pdf in batches for r in zip(*[pdf[c].tolist() for c in cols]))
+    out: list[tuple] = []
+    for key, mine in groupby(rows, key=lambda r: r[:2]):
+        blocks = [{"first": a, "last": b, "doc_id": owner[0]} for owner, pair in groupby(mine, key=lambda r: r[2:4])
+                  for a, b in align([r[4:] for r in pair])]
+        out.append((*key, blocks))
+        if len(out) == 1000:
+            yield pd.DataFrame(out, columns=["doc", "tkey", "blocks"])
+            out = []
+    yield pd.DataFrame(out, columns=["doc", "tkey", "blocks"])
 
 
 def common_blocks(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -132,7 +139,8 @@ def common_blocks(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "do
                                        F.col("o.first").alias("ofirst")), "run-owners")
     pairs = found.join(owners, ["w1", "w2"]).where(F.col("doc") > F.col("odoc"))
     keys = ["doc", "tkey"]
-    pairs = pairs.select(*keys, "first", "last", "odoc", "okey", "ofirst").repartition(*keys).sortWithinPartitions(*keys)
+    pairs = (pairs.select(*keys, "first", "last", "odoc", "okey", "ofirst").repartition(*keys)
+             .sortWithinPartitions(*keys, "odoc", "okey"))
     return pairs.mapInPandas(_aligned, BLOCKS)
 
 
