@@ -157,7 +157,8 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_
     """
     blocks = materialize(common_blocks(docs, min_words, id_col, text_col), "line-blocks")
     blocks = blocks.select(F.col("doc").alias("__doc"), F.col("tkey").alias("__tkey"), F.col("blocks").alias("__blocks"))
-    df = docs.join(blocks, (F.col(id_col) == F.col("__doc")) & (F.xxhash64(text_col) == F.col("__tkey")), "left")
+    # always dealt by document, so the plan is the same at every size and only this small side is held in memory
+    df = docs.join(blocks.hint("shuffle_hash"), (F.col(id_col) == F.col("__doc")) & (F.xxhash64(text_col) == F.col("__tkey")), "left")
     lines = F.split(text_col, "\n", -1)
     gone = lambda k: F.exists("__blocks", lambda b: (k >= b["first"]) & (k <= b["last"]))
     left = F.filter(lines, lambda x, k: ~gone(k))
