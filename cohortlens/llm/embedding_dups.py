@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 from cohortlens.llm.common import hot_join, materialize, runs, ship
 from cohortlens.llm.components import connected_components, local_roots
 
+CLOSE = 0.15  # the radius is this at least: unit vectors nearer than it (cosine 0.989) always meet
 SAMPLE = 20_000  # vectors the codebooks and the search radius are fitted on
 MOST_CENTROIDS = 256
 BLOCK = 2048  # vectors of a cell on each side of one comparison task
@@ -105,7 +106,7 @@ def fit_grid(sample: np.ndarray, centroids: int, threshold: float, recall: float
     (a, _), (b, _) = grid.borders(y)
     rows = np.arange(len(x))
     need = np.sqrt(g1[rows, a] ** 2 + g2[rows, b] ** 2)
-    return Grid(grid.first, grid.second, float(np.quantile(need, recall)))
+    return Grid(grid.first, grid.second, max(CLOSE, float(np.quantile(need, recall))))
 
 
 def _vectors(pdf: pd.DataFrame, dims: int) -> np.ndarray:
@@ -174,7 +175,7 @@ def _compare(dims: int, threshold: float):
     return run
 
 
-def near_duplicates(rows: DataFrame, threshold: float = 0.93, recall: float = 0.995, sample_rows: int = SAMPLE,
+def near_duplicates(rows: DataFrame, threshold: float = 0.93, recall: float = 0.999, sample_rows: int = SAMPLE,
                     id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """(id, n_links, component_id) of every row.
 
@@ -185,7 +186,7 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.93, recall: float = 0.
     all linked with each other, compared with others once. Rows with a NULL id count as
     links and never name a component. Repeated rows are separate rows. An empty table gives
     an empty result. No pair below the threshold is linked; ``recall`` is aimed at for pairs
-    right at it, closer ones are found more surely. Codebooks and radius are fitted on about
+    right at it, closer ones are found more surely, those nearer than ``CLOSE`` always. Codebooks and radius are fitted on about
     ``sample_rows`` classes; every vector is indexed. Crowded cells are cut into blocks.
     """
     spark = rows.sparkSession
