@@ -35,17 +35,18 @@ def document_pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_i
         enc = encoder(tokenizer)
         for pdf in batches:
             out: list[tuple] = []
-            for doc, text in zip(pdf["doc_id"].astype(object), pdf["text"]):
+            for doc, none, text in zip(pdf["doc_id"].tolist(), pdf["none"], pdf["text"]):
                 ids = np.append(enc.ids(text), end_id).astype("<u4")
-                doc = None if pd.isna(doc) else doc
+                doc = None if none else doc
                 for k, at in enumerate(range(0, len(ids), capacity)):
                     part = ids[at:at + capacity]
                     out.append((doc, k, at, len(part), zlib.crc32(part.tobytes())))
-            got = pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-            yield got.astype({"doc_id": "Int64"})
+            doc_ids = pd.array([x[0] for x in out], dtype="Int64")
+            yield pd.DataFrame([x[1:] for x in out], columns=["piece", "start", "length", "ids_crc32"]).assign(doc_id=doc_ids)
 
     ship(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, schema)
+    doc = F.col(id_col).cast("long")  # NULLs go beside: pandas would make the ids floats
+    return docs.select(F.coalesce(doc, F.lit(0)).alias("doc_id"), doc.isNull().alias("none"), F.col(text_col).alias("text")).mapInPandas(run, schema)
 
 
 def patterns(units: int = UNITS, depth: int = DEPTH) -> np.ndarray:
@@ -157,8 +158,8 @@ def pack(pieces: DataFrame, capacity: int = 2048, key: Column | None = None) ->
     empty table gives an empty result.
     """
     spark = pieces.sparkSession
-    key = F.xxhash64(*pieces.columns) if key is None else key
     pieces = pieces.drop("sequence_id", "offset")
+    key = F.xxhash64(*pieces.columns) if key is None else key
     hist = np.zeros(capacity + 1, np.int64)
     for r in pieces.groupBy("length").count().collect():  # at most ``capacity`` rows
         if r["length"] is None or not 0 < r["length"] <= capacity:

@@ -73,6 +73,11 @@ def _document(payload: bytes) -> tuple[int | None, np.ndarray]:
     return (doc if has else None), np.frombuffer(payload, dtype=f"<u{width}", offset=DOC.size)
 
 
+def _table(rows: list[tuple]) -> pd.DataFrame:
+    out = pd.DataFrame([r[1:] for r in rows], columns=["start", "n_tokens", "ids_crc32"])
+    return out.assign(doc_id=pd.array([r[0] for r in rows], dtype="Int64"))
+
+
 def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_col: str = "doc_id",
                   text_col: str = "text", files: int | None = None) -> DataFrame:
     """Encode every whole text, append ``end_id``, and write the records in ascending id order.
@@ -98,9 +103,9 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, i
             if out is None and len(pdf):
                 files.create_dir(root, recursive=True)
                 out = files.open_output_stream(f"{own}.rec", buffer_size=1 << 20)
-            for doc, text in zip(pdf["id"].astype(object), pdf["text"]):
+            for doc, none, text in zip(pdf["id"].tolist(), pdf["none"], pdf["text"]):
                 ids = enc.encode(text) + end
-                data = record(None if pd.isna(doc) else doc, ids, enc.dtype.itemsize)
+                data = record(None if none else doc, ids, enc.dtype.itemsize)
                 out.write(data)
                 offsets.append(at)
                 at, n_ids = at + len(data), n_ids + len(ids) // enc.dtype.itemsize
@@ -112,9 +117,11 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, i
             files.move(f"{own}.rec", f"{name}.rec")
             yield pd.DataFrame({"part": [part], "n_docs": [len(offsets)], "n_ids": [n_ids], "n_bytes": [at]})
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = rows.repartitionByRange(files, "id") if files else rows.repartitionByRange("id")
-    rows.sortWithinPartitions("id").mapInPandas(run, MANIFEST).write.parquet(f"{where}/manifest")
+    doc = F.col(id_col).cast("long")  # NULLs go beside: pandas would make the ids floats
+    rows = docs.select(doc.isNotNull().alias("some"), F.coalesce(doc, F.lit(0)).alias("id"), F.col(text_col).alias("text"))
+    rows = rows.repartitionByRange(files, "some", "id") if files else rows.repartitionByRange("some", "id")
+    rows = rows.sortWithinPartitions("some", "id").select("id", (~F.col("some")).alias("none"), "text")
+    rows.mapInPandas(run, MANIFEST).write.parquet(f"{where}/manifest")
     return spark.read.schema(MANIFEST).parquet(f"{where}/manifest")
 
 
@@ -143,11 +150,11 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
                         out.append((doc, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
                         at, start, seen = at + len(payload) + FRAME_BYTES, start + len(ids), seen + 1
                         if len(out) >= 10_000:
-                            yield pd.DataFrame(out, columns=["doc_id", "start", "n_tokens", "ids_crc32"]).astype({"doc_id": "Int64"})
+                            yield _table(out)
                             out = []
                 if seen != n_docs:
                     raise ValueError(f"part {part}: {seen} records, the manifest says {n_docs}")
-                yield pd.DataFrame(out, columns=["doc_id", "start", "n_tokens", "ids_crc32"]).astype({"doc_id": "Int64"})
+                yield _table(out)
 
     return (parts.repartition(max(1, manifest.count())).mapInPandas(run, "doc_id long, start long, n_tokens long, ids_crc32 long"))
 
