@@ -14,27 +14,32 @@ S = FIXTURE
 O, M, Y, B = S.origin, S.month_s, S.year_s, S.base_year
 SEL = ", ".join(str(y) for y in S.selected_cohorts)
 
+# one rule for both streams: a time, and an author who is neither deleted nor a bot by name
+KEEP = """created_utc IS NOT NULL AND author NOT IN ('[deleted]')
+    AND NOT (author LIKE '%\\_bot' ESCAPE '\\' OR author LIKE '%Bot')
+    AND NOT regexp_matches(author, '(?i)transcriber|automoderator')"""
+
 BASE = f"""
 o AS (
-  SELECT o_orderkey, o_custkey, o_orderstatus, o_orderpriority,
-         CAST(epoch(o_orderdate) AS BIGINT) AS t
-  FROM orders),
+  SELECT o_orderkey, o_custkey, o_orderstatus, o_orderpriority, t,
+    CAST(o_custkey AS VARCHAR) || '_' || CASE
+      WHEN t >= {O} + (o_custkey % 7 + 1 + (o_custkey // 7) % 7) * {YEAR_S} THEN '2'
+      WHEN t >= {O} + (o_custkey % 7) * {YEAR_S} THEN '1' ELSE '0' END AS account
+  FROM (SELECT *, CAST(epoch(o_orderdate) AS BIGINT) AS t FROM orders)),
 ko AS (
   SELECT o_orderkey, o_orderstatus, o_orderpriority, t,
     CASE WHEN o_custkey % 97 = 3 THEN '[deleted]'
-         WHEN o_custkey % 89 = 4 THEN 'user_' || CAST(o_custkey AS VARCHAR) || '_bot'
-         WHEN o_custkey % 83 = 5 THEN 'user_' || CAST(o_custkey AS VARCHAR) || 'Bot'
-         WHEN o_custkey % 79 = 6 THEN 'MyTranscriber' || CAST(o_custkey AS VARCHAR)
-         WHEN o_custkey % 73 = 7 THEN 'AutoModerator' || CAST(o_custkey AS VARCHAR)
+         WHEN o_custkey % 89 = 4 THEN 'user_' || account || '_bot'
+         WHEN o_custkey % 83 = 5 THEN 'user_' || account || 'Bot'
+         WHEN o_custkey % 79 = 6 THEN 'MyTranscriber' || account
+         WHEN o_custkey % 73 = 7 THEN 'AutoModerator' || account
          WHEN o_custkey % 71 = 8 THEN NULL
-         WHEN o_custkey % 67 = 9 THEN 'user_' || CAST(o_custkey AS VARCHAR) || 'bot'
-         ELSE 'user_' || CAST(o_custkey AS VARCHAR) END AS author,
+         WHEN o_custkey % 67 = 9 THEN 'user_' || account || 'bot'
+         ELSE 'user_' || account END AS author,
     CASE WHEN o_orderkey % 211 = 0 THEN NULL
          ELSE 'sub_' || CAST((((t - {O}) // 86400) * (o_orderkey % 100 + 1)) // 1000 AS VARCHAR)
     END AS subreddit
-  FROM o
-  WHERE t >= {O} + (o_custkey % 7) * {YEAR_S}
-    AND t < {O} + (o_custkey % 7 + 1 + (o_custkey // 7) % 7) * {YEAR_S}),
+  FROM o),
 raw_submissions AS (
   SELECT o_orderpriority AS title,
          CASE WHEN o_orderkey % 13 = 0 THEN NULL
@@ -54,19 +59,11 @@ raw_comments AS (
 comments AS (
   SELECT CAST(length(body) AS BIGINT) AS body_size, author, created_utc, subreddit,
          1 AS comment, 0 AS submission
-  FROM raw_comments
-  WHERE created_utc IS NOT NULL AND author <> '[deleted]'
-    AND NOT right(author, 4) = '_bot' AND NOT right(author, 3) = 'Bot'
-    AND NOT contains(lower(author), 'transcriber')
-    AND NOT contains(lower(author), 'automoderator')),
+  FROM raw_comments WHERE {KEEP}),
 submissions AS (
   SELECT CAST(length(title) + length(selftext) AS BIGINT) AS body_size, author, created_utc,
          subreddit, 0 AS comment, 1 AS submission
-  FROM raw_submissions
-  WHERE created_utc IS NOT NULL AND author <> '[deleted]'
-    AND NOT (right(author, 4) = '_bot' OR right(author, 3) = 'Bot')
-    AND NOT contains(lower(author), 'transcriber')
-    AND NOT contains(lower(author), 'automoderator')),
+  FROM raw_submissions WHERE {KEEP}),
 posts AS (SELECT * FROM comments UNION ALL SELECT * FROM submissions),
 users AS (
   SELECT author, min(created_utc) AS min_created_utc,
@@ -179,6 +176,16 @@ SELECT CAST(length(title) + length(selftext) AS BIGINT) AS body_size, author, cr
 
 FIRST_SEL, END_START = S.year_start(S.first_cohort), S.year_start(S.end_year)
 
+
+
+def in_window(sql: str) -> str:
+    """The same query over posts of an observation window only."""
+    every = "posts AS (SELECT * FROM comments UNION ALL SELECT * FROM submissions)"
+    assert every in sql
+    return sql.replace(every, every[:-1].replace("SELECT * FROM comments", "SELECT * FROM (SELECT * FROM comments", 1)
+                       + ") AS p WHERE created_utc BETWEEN 820476000 AND 915145199)")
+
+
 BLOCKS = {
     "clean_posts": with_base() + "SELECT * FROM posts",
     "posts_union": with_base() + RAW_UNION,
@@ -203,9 +210,16 @@ FROM meta GROUP BY author, u_year, survival, user_month""",
     "window_filter": with_base()
     + f"SELECT * FROM posts WHERE created_utc >= {FIRST_SEL} AND created_utc < {END_START}",
     "scan_union_shards": with_base()
-    + f"SELECT * FROM posts WHERE {B} + (created_utc - {O}) // {Y} BETWEEN {S.first_cohort} AND {S.end_year}",
-    "json_ingest": with_base() + "SELECT * FROM comments",
-    "csv_ingest": with_base() + "SELECT * FROM submissions",
+    # all shards of the study, from its first year (1995) to its last (2001), on its own clock
+    + "SELECT * FROM posts WHERE created_utc >= 788918400 AND created_utc < 788918400 + 7 * 31557600",
+    "json_ingest": with_base() + "SELECT * FROM posts",
+    "csv_ingest": with_base() + "SELECT * FROM posts",
+    "json_bad_records": with_base() + "SELECT * FROM comments WHERE created_utc % 7 <> 0 AND created_utc % 11 <> 0",
+    "csv_bad_records": with_base() + "SELECT * FROM submissions WHERE created_utc % 7 <> 0 AND created_utc % 11 <> 0",
+    "write_dispositions": with_base() + "SELECT * FROM users UNION ALL SELECT * FROM users",
+    "enrich_posts_salted": with_base() + "SELECT * EXCLUDE (survival) FROM meta",
+    "q02_active_monthly_window": in_window(Q["q02_active_monthly"]),
+    "q05_posts_per_user_cohort_time_window": in_window(Q["q05_posts_per_user_cohort_time"]),
     "materialize_roundtrip": with_base() + "SELECT * FROM users",
     "stream_ingest": with_base() + "SELECT * FROM submissions",
 }
@@ -221,6 +235,7 @@ REASON = """CASE WHEN created_utc IS NULL THEN 'null_time'
 YEAR_OF = f"{B} + cal_month // 12"
 
 DERIVED = {
+    "active_approx": f"SELECT x, series, y, TRUE AS within FROM ({Q['q02_active_monthly']})",
     "cohort_year_matrix": with_base()
     + f"""
 SELECT {YEAR_OF} AS year, CAST(u_year AS VARCHAR) AS cohort, {LEN} AS y

@@ -14,6 +14,7 @@ from cohortlens.plans.analyses import ANALYSES
 from cohortlens.plans.blocks import BLOCKS
 from cohortlens.plans.derived import DERIVED
 from cohortlens.plans.community import Community
+from cohortlens.session import input_bytes, tune
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,6 +32,7 @@ def _session_key(spark: SparkSession) -> str:
 def community_for(spark: SparkSession, sf_dir: str) -> Community:
     key = (_session_key(spark), sf_dir.rstrip("/"))
     if key not in _COMMUNITIES:
+        tune(spark, input_bytes(spark, *[f"{key[1]}/{t}.parquet" for t in ("orders", "lineitem", "part")]))
         _COMMUNITIES[key] = Community.from_fixture(spark, sf_dir, materialize=True).build()
     return _COMMUNITIES[key]
 

@@ -27,6 +27,13 @@ def shuffle_partitions_for(input_bytes: int, cores: int, target_bytes: int = TAR
     return max(cores, -(-int(input_bytes) // target_bytes))
 
 
+def input_bytes(spark: SparkSession, *paths: str) -> int:
+    """Total size of the files under ``paths`` (folders, files or wildcards): from the file
+    listing alone, no content is read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(list(paths))
+    return int(files.agg({"length": "sum"}).first()[0] or 0)
+
+
 def tune(spark: SparkSession, input_bytes: int | None = None) -> SparkSession:
     """Apply the adaptive settings; with ``input_bytes`` (size of the raw input) also
     size the initial shuffle partitions to it."""

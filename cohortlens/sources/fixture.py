@@ -1,10 +1,11 @@
 """A two-stream community log derived from the driver's order tables.
 
-Orders become submissions and line items become comments; customers become authors.
-Joining and leaving times are staggered per customer so every cohort and survival
-bucket is populated, and a few customers get deleted / bot-like / missing names so the
-cleaning rules have work to do. The mapping is a pure projection + two equi-joins,
-so it scales with the input tables and keeps parquet pushdown and pruning.
+Every order becomes a submission and every line item a comment; a customer's accounts become
+authors. A customer has up to three accounts, used before, during and after a membership
+span that is staggered per customer, so every cohort and survival bucket is populated and no
+row is left out; a few customers get deleted / bot-like / missing names so the cleaning
+rules have work to do. The mapping is a pure projection + two equi-joins, so it scales with
+the input tables and keeps parquet pushdown and pruning.
 """
 
 from __future__ import annotations
@@ -19,24 +20,17 @@ ORIGIN = FIXTURE.origin
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Give a scan at least one partition per core.
+    """Deal a scan out by ``key``, for the side of a join that is streamed.
 
-    The driver's files are single row groups, so each scan is one task and all per-row
-    work before the first shuffle would run on one core. When a scan has fewer
-    partitions than the cluster has cores, hash-partition it on ``key`` over the cores
-    (hash, not round-robin: no per-task sort is needed to make retries deterministic).
-    A large input (many splits) is left untouched, so this adds no shuffle at scale.
+    The driver's files are single row groups, so a scan is one task whatever its size, and
+    all per-row work before the first shuffle would run on one core. Adaptive execution
+    sizes the partitions from the rows that arrive.
     """
-    try:
-        cores = df.sparkSession.sparkContext.defaultParallelism
-        splits = df.rdd.getNumPartitions()
-    except Exception:  # a Spark Connect session exposes no RDDs: leave the scan as is
-        return df
-    return df.repartition(cores, key) if splits < cores else df
+    return df.repartition(key)
 
 
-def _author(custkey: Column) -> Column:
-    n = custkey.cast("string")
+def _author(custkey: Column, account: Column) -> Column:
+    n = F.concat_ws("_", custkey.cast("string"), account.cast("string"))
     return (
         F.when(custkey % 97 == 3, F.lit("[deleted]"))
         .when(custkey % 89 == 4, F.concat(F.lit("user_"), n, F.lit("_bot")))
@@ -49,41 +43,34 @@ def _author(custkey: Column) -> Column:
     )
 
 
-def kept_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders inside their customer's membership span, with author, community and time."""
-    o = spread(
-        spark.read.parquet(f"{sf_dir}/orders.parquet").select(
-            "o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority"
-        ),
-        "o_orderkey",
+def account_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders with author (the customer's account at that time), community and time."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
+        "o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority"
     )
-    t = epoch_seconds("o_orderdate")
-    cust = F.col("o_custkey")
+    cust, t = F.col("o_custkey"), F.col("t")
     t_join = F.lit(ORIGIN) + (cust % 7) * YEAR_S
     t_leave = F.lit(ORIGIN) + (cust % 7 + 1 + idiv(cust, 7) % 7) * YEAR_S
+    account = F.when(t < t_join, 0).when(t < t_leave, 1).otherwise(2)
     key = F.col("o_orderkey")
-    day = idiv(F.col("t") - F.lit(ORIGIN), 86400)
-    return (
-        o.withColumn("t", t)
-        .where((F.col("t") >= t_join) & (F.col("t") < t_leave))
-        .select(
-            "o_orderkey",
-            "o_orderstatus",
-            "o_orderpriority",
-            "t",
-            _author(cust).alias("author"),
-            F.when(key % 211 == 0, F.lit(None).cast("string"))
-            .otherwise(F.concat(F.lit("sub_"), idiv(day * (key % 100 + 1), 1000).cast("string")))
-            .alias("subreddit"),
-        )
+    day = idiv(t - F.lit(ORIGIN), 86400)
+    return o.withColumn("t", epoch_seconds("o_orderdate")).select(
+        "o_orderkey",
+        "o_orderstatus",
+        "o_orderpriority",
+        "t",
+        _author(cust, account).alias("author"),
+        F.when(key % 211 == 0, F.lit(None).cast("string"))
+        .otherwise(F.concat(F.lit("sub_"), idiv(day * (key % 100 + 1), 1000).cast("string")))
+        .alias("subreddit"),
     )
 
 
 def raw_submissions(spark: SparkSession, sf_dir: str, orders: DataFrame | None = None) -> DataFrame:
-    """title, selftext, author, created_utc, subreddit — one row per kept order."""
+    """title, selftext, author, created_utc, subreddit — one row per order."""
     key = F.col("o_orderkey")
-    orders = kept_orders(spark, sf_dir) if orders is None else orders
-    return orders.select(
+    orders = account_orders(spark, sf_dir) if orders is None else orders
+    return spread(orders, "o_orderkey").select(
         F.col("o_orderpriority").alias("title"),
         F.when(key % 13 == 0, F.lit(None).cast("string"))
         .otherwise(F.repeat(F.col("o_orderstatus"), (key % 50).cast("int")))
@@ -95,7 +82,7 @@ def raw_submissions(spark: SparkSession, sf_dir: str, orders: DataFrame | None =
 
 
 def raw_comments(spark: SparkSession, sf_dir: str, orders: DataFrame | None = None) -> DataFrame:
-    """body, author, created_utc, subreddit — one row per line item of a kept order."""
+    """body, author, created_utc, subreddit — one row per line item."""
     li = spread(
         spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
             "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity"
@@ -103,7 +90,7 @@ def raw_comments(spark: SparkSession, sf_dir: str, orders: DataFrame | None = No
         "l_orderkey",
     )
     part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name")
-    orders = (kept_orders(spark, sf_dir) if orders is None else orders).select(
+    orders = (account_orders(spark, sf_dir) if orders is None else orders).select(
         "o_orderkey", "t", "author", "subreddit"
     )
     joined = li.join(orders, li.l_orderkey == orders.o_orderkey).join(
@@ -123,5 +110,5 @@ def raw_comments(spark: SparkSession, sf_dir: str, orders: DataFrame | None = No
 
 def community(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(raw_comments, raw_submissions) of the fixture community."""
-    orders = kept_orders(spark, sf_dir)
+    orders = account_orders(spark, sf_dir)
     return raw_comments(spark, sf_dir, orders), raw_submissions(spark, sf_dir, orders)

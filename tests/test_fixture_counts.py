@@ -7,24 +7,24 @@ from cohortlens.plans.community import Community
 
 EXPECTED = {
     "/root/testdata/sf0.001": {
-        "raw": (2285, 596),
-        "clean": (1875, 533),
-        "enriched": 2382,
-        "users_subs": (125, 179),
-        "cohort_cal_rows": 185,
-        "cohort_user_rows": (153, 7),
-        "survival_rows_all": 367,
-        "per_cohort": [16, 22, 15, 20, 18, 21, 13],
+        "raw": (6000, 1500),
+        "clean": (5017, 1366),
+        "enriched": 6338,
+        "users_subs": (289, 210),
+        "cohort_cal_rows": 208,
+        "cohort_user_rows": (175, 6),
+        "survival_rows_all": 635,
+        "per_cohort": [108, 43, 24, 29, 26, 32, 27],
     },
     "/root/testdata/sf0.01": {
-        "raw": (23307, 5843),
-        "clean": (21281, 5349),
-        "enriched": 26498,
-        "users_subs": (1239, 236),
+        "raw": (60000, 15000),
+        "clean": (54912, 13748),
+        "enriched": 68309,
+        "users_subs": (2894, 238),
         "cohort_cal_rows": 220,
         "cohort_user_rows": (185, 0),
-        "survival_rows_all": 906,
-        "per_cohort": [151, 182, 194, 187, 185, 192, 148],
+        "survival_rows_all": 928,
+        "per_cohort": [1086, 365, 271, 270, 295, 327, 280],
     },
 }
 
