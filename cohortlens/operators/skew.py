@@ -4,20 +4,22 @@ Some keys (one author, one community) can carry a large share of all rows. A pla
 shuffle join sends all rows of such a key to one task. Here the dimension already
 knows how many fact rows each key has (``weight``), so:
 
-1. hot keys are those with ``weight > max(rows_per_task, total / max_hot)``; since the
-   weights sum to ``total`` there are at most ``max_hot`` of them, which bounds the
-   broadcast of the hot-key list (key + salt count) no matter how large the data is;
-2. each hot key gets ``ceil(weight / rows_per_task)`` salts; fact rows of a hot key pick a
-   salt from a hash of their own columns (deterministic, so a retried task sends every
-   row to the same place), cold keys use salt 0;
-3. the dimension rows of hot keys are replicated once per salt (at most
-   ``total / rows_per_task + max_hot`` extra rows) and the two sides are shuffle-joined on
+1. hot keys are all those with ``weight > rows_per_task``, whatever the total;
+2. each hot key gets ``ceil(weight / rows_per_task)`` salts; fact rows of a hot key take
+   the salts in turn by their position in the scan (so equal rows are spread too), cold
+   keys use salt 0;
+3. the dimension rows of hot keys are replicated once per salt (fewer than
+   ``2 * total / rows_per_task`` extra rows) and the two sides are shuffle-joined on
    (key, salt), so no task receives more than about ``rows_per_task`` rows of one key.
 
-No row is dropped or sampled; the result equals the plain inner join. The two numbers
-the split needs (heaviest weight, total weight) come from one small aggregate over the
-dimension; when no key is heavy — the common case — the join is a plain shuffle join and
-nothing is broadcast.
+The list of hot keys is broadcast up to ``max_hot`` keys. A longer one is joined by
+shuffle, replicated ``LOOKUPS`` times and read by that many parts of each key, so looking
+up the salts is spread as well.
+
+No row is dropped or sampled; the result equals the plain inner join. How many hot keys
+there are is counted over the dimension when the plan is built. The fact side must be a
+scan with narrow steps on top (a saved table): then a retried task numbers its rows the
+same way.
 """
 
 from __future__ import annotations
@@ -27,25 +29,13 @@ from pyspark.sql import functions as F
 
 SALT = "_salt"
 N_SALTS = "_n_salts"
+LOOK = "_look"
+LOOKUPS = 64
 
 
-def hot_threshold(dim: DataFrame, weight: str, rows_per_task: int, max_hot: int) -> tuple[float, int]:
-    """(threshold, heaviest weight): keys with weight > threshold are hot. Since the
-    weights sum to ``total`` and the threshold is at least total / max_hot, at most
-    ``max_hot`` keys can be hot."""
-    heaviest, total = dim.agg(F.max(weight), F.sum(weight)).first()
-    threshold = max(float(rows_per_task), float(total or 0) / max_hot)
-    return threshold, int(heaviest or 0)
-
-
-def hot_keys(dim: DataFrame, key: str, weight: str, rows_per_task: int, max_hot: int) -> DataFrame:
-    """(key, _n_salts) for keys heavier than the threshold; at most ``max_hot`` rows."""
-    threshold, _ = hot_threshold(dim, weight, rows_per_task, max_hot)
-    return _hot(dim, key, weight, threshold, rows_per_task)
-
-
-def _hot(dim: DataFrame, key: str, weight: str, threshold: float, rows_per_task: int) -> DataFrame:
-    return dim.where(F.col(weight) > F.lit(threshold)).select(
+def hot_keys(dim: DataFrame, key: str, weight: str, rows_per_task: int) -> DataFrame:
+    """(key, _n_salts) for all keys heavier than ``rows_per_task``."""
+    return dim.where(F.col(weight) > rows_per_task).select(
         key, F.ceil(F.col(weight) / F.lit(rows_per_task)).cast("int").alias(N_SALTS)
     )
 
@@ -63,26 +53,17 @@ def salted_join(
     ``dim`` must have one row per key and a column ``weight`` = rows of ``big`` per key
     (an upper bound is enough).
     """
-    threshold, heaviest = hot_threshold(dim, weight, rows_per_task, max_hot)
-    if heaviest <= threshold:
-        return big.join(dim, key)
-    hot = _hot(dim, key, weight, threshold, rows_per_task)
-    # The hot list has at most max_hot rows by construction: broadcasting it is bounded.
-    hot_b = F.broadcast(hot)
-    content = [c for c in big.columns if c != key]
-    row_hash = F.xxhash64(*[F.col(c) for c in content]) if content else F.lit(0).cast("long")
-    big_s = big.join(hot_b, key, "left").select(
-        *big.columns,
-        F.when(F.col(N_SALTS).isNull(), F.lit(0))
-        .otherwise(F.pmod(row_hash, F.col(N_SALTS).cast("long")).cast("int"))
-        .alias(SALT),
-    )
-    dim_s = dim.join(hot_b, key, "left").select(
-        *dim.columns,
-        F.explode(
-            F.when(F.col(N_SALTS).isNull(), F.array(F.lit(0))).otherwise(
-                F.sequence(F.lit(0), F.col(N_SALTS) - 1)
-            )
-        ).alias(SALT),
-    )
+    hot = hot_keys(dim, key, weight, rows_per_task)
+    row = F.monotonically_increasing_id()
+    numbered = big.withColumn("_row", row)
+    if hot.count() <= max_hot:
+        looked_up = numbered.join(F.broadcast(hot), key, "left")
+        known = dim.join(F.broadcast(hot), key, "left")
+    else:
+        copies = hot.withColumn(LOOK, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(LOOKUPS - 1).cast("long"))))
+        looked_up = numbered.withColumn(LOOK, F.pmod(F.col("_row"), F.lit(LOOKUPS).cast("long"))).join(copies, [key, LOOK], "left")
+        known = dim.join(hot, key, "left")
+    n_salts = F.coalesce(F.col(N_SALTS), F.lit(1))
+    big_s = looked_up.select(*big.columns, F.pmod(F.col("_row"), n_salts.cast("long")).cast("int").alias(SALT))
+    dim_s = known.select(*dim.columns, F.explode(F.sequence(F.lit(0), n_salts - 1)).alias(SALT))
     return big_s.join(dim_s, [key, SALT]).drop(SALT)

@@ -16,15 +16,11 @@ def _frames(spark):
     return big, dim
 
 
-def test_hot_keys_bounded(spark):
-    big, dim = _frames(spark)
-    hot = hot_keys(dim, "k", "w", rows_per_task=100, max_hot=3).collect()
-    # threshold = max(100, 3000/3) = 1000: only "hot" (1000 rows) is not above it
-    assert hot == []
-    hot = hot_keys(dim, "k", "w", rows_per_task=100, max_hot=10).collect()
+def test_every_heavy_key_is_hot_whatever_the_total(spark):
+    _, dim = _frames(spark)
+    hot = hot_keys(dim, "k", "w", rows_per_task=100).collect()
     assert [(r.k, r[N_SALTS]) for r in hot] == [("hot", 10)]
-    # never more than max_hot keys, whatever the weights
-    assert hot_keys(dim, "k", "w", rows_per_task=1, max_hot=5).count() <= 5
+    assert hot_keys(dim, "k", "w", rows_per_task=30).count() == 51
 
 
 def test_salted_join_equals_plain_join(spark):
@@ -54,9 +50,33 @@ def test_salted_join_spreads_the_hot_key(spark):
     assert "BroadcastHashJoin" in plan  # only the bounded hot-key list is broadcast
 
 
-def test_no_hot_key_means_plain_join(spark):
+def _no_broadcast(spark, build):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = build()
+        return df.where(F.col("k") == "hot").groupBy(F.spark_partition_id().alias("p")).count().collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_more_hot_keys_than_are_broadcast(spark):
+    big, dim = _frames(spark)
+    salted = salted_join(big, dim, "k", "w", rows_per_task=10, max_hot=3)
+    assert rows(salted, "k", "v", "w", "first") == rows(big.join(dim, "k"), "k", "v", "w", "first")
+    per_task = _no_broadcast(spark, lambda: salted_join(big, dim, "k", "w", rows_per_task=10, max_hot=3))
+    assert max(r["count"] for r in per_task) < 500
+
+
+def test_equal_rows_of_a_hot_key_are_spread(spark):
+    big = spark.range(2000).select(F.lit("hot").alias("k"), F.lit(7).alias("v"))
+    dim = big.groupBy("k").agg(F.count(F.lit(1)).alias("w"))
+    per_task = _no_broadcast(spark, lambda: salted_join(big, dim, "k", "w", rows_per_task=100))
+    assert sum(r["count"] for r in per_task) == 2000 and len(per_task) >= 4
+
+
+def test_no_hot_key(spark):
     big, dim = _frames(spark)
     joined = salted_join(big, dim, "k", "w", rows_per_task=10_000, max_hot=10)
-    plan = joined._jdf.queryExecution().executedPlan().toString()
-    assert "Generate" not in plan and "_salt" not in plan
     assert rows(joined, "k", "v", "w", "first") == rows(big.join(dim, "k"), "k", "v", "w", "first")
