@@ -6,6 +6,7 @@ DataFrames, so filters and projections of the caller reach the scan.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortlens.functions.clocks import cal_month, cal_year
+from cohortlens.sources.sinks import materialize
 from cohortlens.spec import CohortSpec
 
 RAW_COMMENT_SCHEMA = T.StructType(
@@ -68,17 +70,19 @@ def read_shards(spark: SparkSession, path: str, years: Iterable[int] | None = No
     return df.drop(SHARD_COLUMN)
 
 
-def _check_bad_records(df: DataFrame, max_bad_records: int | None, any_col: str) -> DataFrame:
-    if max_bad_records is None:
-        return df
-    # Spark refuses scans that reference only the corrupt-record column, so a data
-    # column is aggregated as well; the check is a single distributed pass.
-    bad = df.agg(
-        F.count_if(F.col(CORRUPT_COLUMN).isNotNull()).alias("bad"), F.count(any_col).alias("rows")
-    ).first()["bad"]
+def _within_cap(parsed: DataFrame, max_bad_records: int, name: str) -> DataFrame:
+    """The good rows of a fully parsed input (with the corrupt-record column), if no more than
+    ``max_bad_records`` are bad. The parsed rows are saved first: what is bad is then decided
+    once, over all columns, whatever columns the caller reads later."""
+    saved = materialize(parsed, name)
+    bad = saved.where(F.col(CORRUPT_COLUMN).isNotNull()).count()
     if bad > max_bad_records:
         raise ValueError(f"{bad} malformed records exceed the limit of {max_bad_records}")
-    return df.where(F.col(CORRUPT_COLUMN).isNull()).drop(CORRUPT_COLUMN)
+    return saved.where(F.col(CORRUPT_COLUMN).isNull()).drop(CORRUPT_COLUMN)
+
+
+def _with_corrupt(schema: T.StructType) -> T.StructType:
+    return T.StructType(schema.fields + [T.StructField(CORRUPT_COLUMN, T.StringType())])
 
 
 def read_json(
@@ -88,15 +92,28 @@ def read_json(
     schema: T.StructType | None = None,
     mode: str = "PERMISSIVE",
     max_bad_records: int | None = None,
+    ignore_unknown_values: bool = True,
 ) -> DataFrame:
-    """Newline-delimited JSON dumps (wildcards and compressed files accepted)."""
+    """Newline-delimited JSON dumps (wildcards and compressed files accepted).
+
+    With ``max_bad_records`` a line is bad if it is no JSON object or a value of any column
+    has another type (or, without ``ignore_unknown_values``, if it has fields that the
+    schema lacks); bad lines are left out, more of them than the cap raise an error. Without
+    a cap nothing is checked: what cannot be read is NULL.
+    """
     schema = schema or SCHEMAS[kind]
-    reader = spark.read.option("mode", mode)
-    if max_bad_records is not None:
-        schema = T.StructType(schema.fields + [T.StructField(CORRUPT_COLUMN, T.StringType())])
-        reader = reader.option("columnNameOfCorruptRecord", CORRUPT_COLUMN)
-    df = reader.schema(schema).json(path)
-    return _check_bad_records(df, max_bad_records, schema.fields[0].name)
+    if max_bad_records is None:
+        return spark.read.option("mode", mode).schema(schema).json(path)
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    record = F.from_json("value", _with_corrupt(schema), {"columnNameOfCorruptRecord": CORRUPT_COLUMN, "mode": "PERMISSIVE"})
+    rows = lines.select("value", record.alias("r"))
+    bad = F.col(f"r.{CORRUPT_COLUMN}")
+    if not ignore_unknown_values:
+        known = F.array(*[F.lit(f.name) for f in schema.fields])
+        unknown = F.size(F.array_except(F.json_object_keys("value"), known)) > 0
+        bad = F.coalesce(bad, F.when(unknown, F.col("value")))
+    return _within_cap(rows.select("r.*", bad.alias("_bad")).drop(CORRUPT_COLUMN).withColumnRenamed("_bad", CORRUPT_COLUMN),
+                       max_bad_records, "json-parsed")
 
 
 def read_csv(
@@ -108,32 +125,63 @@ def read_csv(
     quote: str = '"',
     encoding: str = "UTF-8",
     header: bool = True,
-    multiline: bool = True,
+    multiline: bool = False,
     mode: str = "PERMISSIVE",
     max_bad_records: int | None = None,
     null_value: str | None = None,
+    skip_rows: int = 0,
+    allow_jagged_rows: bool = False,
+    ignore_unknown_values: bool = False,
 ) -> DataFrame:
     """CSV exports: delimiter, quote, encoding, header row, quoted newlines, bad-record cap.
 
-    Short (jagged) rows get NULLs for the missing trailing columns in PERMISSIVE mode;
-    compression is picked from the file extension. ``null_value`` is the marker of NULL
-    fields (e.g. ``\\N``); without it an empty field reads as NULL, so empty strings
-    cannot be told apart from NULLs.
+    Files are split over tasks; ``multiline`` (newlines inside quotes) makes each file one
+    task and must be asked for. ``skip_rows`` leaves out that many rows at the start of each
+    file, instead of one with ``header``. Compression is picked from the file extension.
+    ``null_value`` is the marker of NULL fields (e.g. ``\\N``); without it an empty field
+    reads as NULL, so empty strings cannot be told apart from NULLs.
+
+    With ``max_bad_records`` a row is bad if a value of any column has another type, if it
+    has too few fields (unless ``allow_jagged_rows``: the rest are NULL) or too many (unless
+    ``ignore_unknown_values``: they are left out). Bad rows are left out, more of them than
+    the cap raise an error. Without a cap nothing is checked.
     """
     schema = schema or SCHEMAS[kind]
-    reader = (
-        spark.read.option("sep", sep)
-        .option("quote", quote)
-        .option("escape", quote)
-        .option("encoding", encoding)
-        .option("header", header)
-        .option("multiLine", multiline)
-        .option("mode", mode)
-    )
+    options = {"sep": sep, "quote": quote, "escape": quote}
     if null_value is not None:
-        reader = reader.option("nullValue", null_value)
-    if max_bad_records is not None:
-        schema = T.StructType(schema.fields + [T.StructField(CORRUPT_COLUMN, T.StringType())])
-        reader = reader.option("columnNameOfCorruptRecord", CORRUPT_COLUMN)
-    df = reader.schema(schema).csv(path)
-    return _check_bad_records(df, max_bad_records, schema.fields[0].name)
+        options["nullValue"] = null_value
+    reader = spark.read.options(**options, encoding=encoding, header=header and not skip_rows, multiLine=multiline, mode=mode)
+    if max_bad_records is None and not skip_rows:
+        return reader.schema(schema).csv(path)
+    full = _with_corrupt(schema)
+    df = reader.option("columnNameOfCorruptRecord", CORRUPT_COLUMN).schema(full).csv(path)
+    if skip_rows:
+        # rows of a file's first block are numbered in file order
+        at = {"_file": F.col("_metadata.file_path"), "_block": F.col("_metadata.file_block_start"), "_row": F.monotonically_increasing_id()}
+        df = materialize(df.withColumns(at), "csv-rows")
+        first = df.where("_block = 0").groupBy("_file").agg(F.min("_row").alias("_first"))  # one row a file
+        df = df.join(first, "_file", "left").where((F.col("_block") > 0) | (F.col("_row") >= F.col("_first") + skip_rows)).drop(
+            "_file", "_block", "_row", "_first")
+    if allow_jagged_rows or ignore_unknown_values:
+        df = _repaired(df, schema, full, sep, quote, options, allow_jagged_rows, ignore_unknown_values)
+    if max_bad_records is None:
+        return df.drop(CORRUPT_COLUMN)
+    return _within_cap(df, max_bad_records, "csv-parsed")
+
+
+def _repaired(df: DataFrame, schema: T.StructType, full: T.StructType, sep: str, quote: str, options: dict, short: bool, long: bool) -> DataFrame:
+    """Reads rows with too few or too many fields again, filled up or cut to the schema."""
+    n, raw = len(schema.fields), F.col(CORRUPT_COLUMN)
+    s, q = re.escape(sep), re.escape(quote)
+    quoted = f"{q}(?:[^{q}]|{q}{q})*{q}"
+    fields = F.regexp_count(F.regexp_replace(raw, quoted, ""), F.lit(s)) + 1
+    field = f"(?:{quoted}|[^{s}{q}]*)"
+    fixed = F.lit(None).cast("string")
+    if short:
+        fixed = F.when(fields < n, F.concat(raw, F.repeat(F.lit(sep), n - fields))).otherwise(fixed)
+    if long:
+        fixed = F.when(fields > n, F.regexp_extract(raw, f"^((?:{field}{s}){{{n - 1}}}{field})", 1)).otherwise(fixed)
+    again = F.from_csv(fixed, full.simpleString()[7:-1].replace(":", " "), {**options, "columnNameOfCorruptRecord": CORRUPT_COLUMN})
+    df = df.withColumn("_again", F.when(raw.isNotNull() & fixed.isNotNull(), again))
+    good = F.col("_again").isNotNull() & F.col(f"_again.{CORRUPT_COLUMN}").isNull()
+    return df.select(*[F.when(good, F.col(f"_again.{f.name}")).otherwise(F.col(f.name)).alias(f.name) for f in full.fields])
