@@ -16,12 +16,13 @@ import sys
 from cohortlens.plans.analyses import ANALYSES
 from cohortlens.plans.community import Community
 from cohortlens.plans.derived import DERIVED
+from cohortlens.session import input_bytes, tune
 from cohortlens.sources.files import read_csv, read_json, read_shards
 from cohortlens.sources.sinks import save
 from cohortlens.spec import FIXTURE, REDDIT
 
 SPECS = {"reddit": REDDIT, "fixture": FIXTURE}
-RAW_ONLY = {"dataset_totals", "heavy_authors", "active_approx"}
+RAW_ONLY = {"dataset_totals", "heavy_authors"}
 
 
 def _read(spark, fmt: str, path: str, kind: str):
@@ -54,10 +55,12 @@ def main(argv: list[str] | None = None) -> int:
     if args.reuse:
         if not args.tables:
             ap.error("--reuse needs --tables")
+        tune(spark, input_bytes(spark, args.tables))
         community = Community.open_tables(spark, args.tables, spec)
     else:
         if not (args.comments and args.submissions):
             ap.error("--comments and --submissions are required unless --reuse is given")
+        tune(spark, input_bytes(spark, args.comments, args.submissions))
         community = Community(
             _read(spark, args.format, args.comments, "comment"),
             _read(spark, args.format, args.submissions, "submission"),

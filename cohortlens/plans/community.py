@@ -3,8 +3,10 @@
     community = Community(raw_comments, raw_submissions, REDDIT)
     community.metric("comment_length", clock="user", by="cohort", overlap=True)
 
-All members are lazy DataFrames; nothing is computed until an action runs, so a
-caller's extra filters and projections still reach the scans.
+Members are DataFrames, so a caller's extra filters and projections still reach the scans.
+Base tables are saved on first use with ``materialize``, lazy otherwise; the skew-safe
+joins (user cells, enriched posts) count the heavy keys of their dimension when the plan
+is built, so save the base tables before using them on a large log.
 """
 
 from __future__ import annotations
@@ -159,7 +161,8 @@ class Community:
         sessions can run every analysis with ``open_tables`` and no recomputation.
         ``disposition``: 'empty' (fail if present), 'truncate' or 'append'."""
         for name in self.BASE_TABLES:
-            save(getattr(self, name), f"{root.rstrip('/')}/{name}", disposition)
+            parts = ["kind"] if name == "month_cells" else None  # as built: each kind is read alone
+            save(getattr(self, name), f"{root.rstrip('/')}/{name}", disposition, partition_by=parts)
 
     @classmethod
     def open_tables(cls, spark: SparkSession, root: str, spec: CohortSpec, **kw) -> "Community":

@@ -52,7 +52,9 @@ def cohort_year_matrix(c: Community) -> DataFrame:
 def cohort_year_matrix_wide(c: Community) -> DataFrame:
     """The same table as printed in the paper: one row per year, one column per cohort
     (each year x cohort cell holds exactly one value of the long form)."""
-    cohorts = [str(y) for y in range(c.spec.base_year, c.spec.end_year + 1)] + [OVERALL]
+    span = c.users.agg(F.min("year"), F.max("year")).first()  # the cohorts that the data has
+    cohorts = [str(y) for y in range(span[0], span[1] + 1)] if span[0] is not None else []
+    cohorts.append(OVERALL)
     return _cohort_year_long(c).groupBy("year").pivot("cohort", cohorts).agg(F.max("y")).orderBy("year")
 
 
@@ -122,18 +124,13 @@ def heavy_authors(c: Community, k: int = 20) -> DataFrame:
     """The k authors with the most raw posts (before cleaning), ties by name, with their
     share of all raw posts.
 
-    A partial aggregate per author, then a top-k that keeps k rows per task before the
-    final merge (TakeOrderedAndProject); the limit is the report itself. The total is a
-    scalar subquery."""
+    One pass over the raw logs counts posts per author (NULL too); the total and a top-k
+    that keeps k rows per task are then taken from the counts, which a materializing
+    community saves; the limit is the report itself."""
     raw = union_raw(c.raw_comments, c.raw_submissions)
-    total = raw.agg(F.count(F.lit(1))).scalar()
-    top = (
-        raw.where(F.col("author").isNotNull())
-        .groupBy("author")
-        .agg(F.count(F.lit(1)).alias("n_posts"))
-        .orderBy(F.desc("n_posts"), F.asc("author"))
-        .limit(k)
-    )
+    counts = c._keep(raw.groupBy("author").agg(F.count(F.lit(1)).alias("n_posts")), "author-counts")
+    total = counts.agg(F.sum("n_posts")).scalar()
+    top = counts.where(F.col("author").isNotNull()).orderBy(F.desc("n_posts"), F.asc("author")).limit(k)
     return top.select("author", "n_posts", ratio(F.col("n_posts"), total).alias("share"))
 
 
@@ -276,6 +273,14 @@ def active_approx(c: Community, rsd: float = 0.05) -> DataFrame:
     return q02_active_monthly(c, approx_rsd=rsd)
 
 
+def active_approx_check(c: Community, rsd: float = 0.05) -> DataFrame:
+    """The exact active counts, and whether the approximate ones are ``within`` three
+    relative standard deviations of them."""
+    approx = active_approx(c, rsd).select("x", "series", F.col("y").alias("approx"))
+    close = F.abs(F.col("approx") - F.col("y")) <= 3 * rsd * F.col("y")
+    return q02_active_monthly(c).join(approx, ["x", "series"], "left").select("x", "series", "y", F.coalesce(close, F.lit(False)).alias("within"))
+
+
 DERIVED = {
     "cohort_year_matrix": cohort_year_matrix,
     "cohort_year_matrix_wide": cohort_year_matrix_wide,
@@ -294,5 +299,5 @@ DERIVED = {
     "normalize_sum": normalize_sum,
     "normalize_max": normalize_max,
     "normalize_x": normalize_x,
-    "active_approx": active_approx,
+    "active_approx": active_approx_check,
 }
