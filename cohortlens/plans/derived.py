@@ -275,9 +275,9 @@ def active_approx(c: Community, rsd: float = 0.05) -> DataFrame:
 
 def active_approx_check(c: Community, rsd: float = 0.05) -> DataFrame:
     """The exact active counts, and whether the approximate ones are ``within`` three
-    relative standard deviations of them."""
+    relative standard deviations of them (or within two, where that is less than two)."""
     approx = active_approx(c, rsd).select("x", "series", F.col("y").alias("approx"))
-    close = F.abs(F.col("approx") - F.col("y")) <= 3 * rsd * F.col("y")
+    close = F.abs(F.col("approx") - F.col("y")) <= F.greatest(F.lit(2.0), 3 * rsd * F.col("y"))
     return q02_active_monthly(c).join(approx, ["x", "series"], "left").select("x", "series", "y", F.coalesce(close, F.lit(False)).alias("within"))
 
 
