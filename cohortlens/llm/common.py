@@ -56,8 +56,8 @@ def hot_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") ->
     return l.join(r, "__k", how).drop("__k")
 
 
-def rows_per_bucket(total: int, most: int = 1_000_000, buckets: int = 512) -> int:
-    """Rows that one sorted bucket should hold: a 512th of the rows, one million at most."""
+def rows_per_bucket(total: int, most: int = 100_000, buckets: int = 512) -> int:
+    """Rows that one sorted bucket should hold: a 512th of the rows, 100,000 at most (whole texts may be among them)."""
     return max(1, min(most, -(-total // buckets)))
 
 
