@@ -1,11 +1,16 @@
 """Exact top-k by inner product over an impact-ordered index, score at a time.
 
-Rows are dealt to blocks. In a block every dimension's values are quantised to a few levels,
-and the rows of one level are a posting segment with its lowest and highest value. For a
+Rows are dealt to blocks. In a block every dimension's values are quantised to a few levels;
+the rows of one level are a posting segment with its lowest and highest value. For a
 query, a segment's impact is the most it can add to a score. Segments are taken by
-descending impact, over all dimensions together; a row's bound is what its segments
-allow plus, for dimensions not reached yet, the most that is left there. Rows whose bound
-falls below a proven k-th score are out. When few are left these are scored exactly.
+descending impact, over all dimensions together; a row's bound is the impact of its
+segments taken so far plus, for dimensions not reached yet, the most that is left there.
+Rows whose bound falls below a proven k-th score are out. When few are left, or
+the segments are used up, these possible members are scored exactly.
+
+Every row of dense vectors has a posting in every dimension, so the postings are stored by
+row (the number of its segment in each dimension): taking segments then is one table
+lookup for each posting of the rows that are still in.
 """
 
 from __future__ import annotations
@@ -19,8 +24,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from cohortlens.llm.common import materialize, runs, ship
 
 BLOCK_ROWS = 4096
-LEVELS = 16
-ROUNDS = 8  # times that bounds are looked at while the segments are taken
+LEVELS = 32
+ROUNDS = 5  # times that bounds are looked at while the segments are taken
 SEEDS = 2048  # rows whose exact scores give the first proven k-th score
 
 
@@ -29,22 +34,20 @@ def quantised(vec: Column, scale: int) -> Column:
 
 
 def build_block(ids: np.ndarray, vecs: np.ndarray) -> tuple[bytes, bytes, bytes, bytes]:
-    """Ids, vectors, postings (row numbers by dimension and level) and segment table (for each
-    dimension the ends, lowest and highest values of its levels) of one block, as bytes."""
+    """Ids, vectors, postings (each row's segment number in each dimension) and segment table
+    (size, lowest and highest value by dimension and level) of one block, as bytes."""
     n, dims = vecs.shape
-    post, table = np.empty((dims, n), np.uint16), np.zeros((3, dims, LEVELS), np.int64)
+    post, table = np.empty((n, dims), np.int64), np.zeros((3, dims, LEVELS), np.int64)
     for d in range(dims):
         v = vecs[:, d]
         low, high = int(v.min()), int(v.max())
         level = (v - low) * LEVELS // (high - low + 1)
-        order = np.argsort(level, kind="stable")
-        post[d] = order
-        sizes = np.bincount(level, minlength=LEVELS)
-        table[0, d] = np.cumsum(sizes)
-        for k in np.flatnonzero(sizes):
-            part = v[order[table[0, d, k] - sizes[k]:table[0, d, k]]]
-            table[1, d, k], table[2, d, k] = part.min(), part.max()
-    return ids.astype("<i8").tobytes(), vecs.astype("<i8").tobytes(), post.astype("<u2").tobytes(), table.astype("<i8").tobytes()
+        post[:, d] = d * LEVELS + level
+        table[0, d] = np.bincount(level, minlength=LEVELS)
+        table[1, d], table[2, d] = high, low
+        np.minimum.at(table[1, d], level, v)
+        np.maximum.at(table[2, d], level, v)
+    return ids.astype("<i8").tobytes(), vecs.astype("<i8").tobytes(), post.astype("<u4").tobytes(), table.astype("<i8").tobytes()
 
 
 class Block:
@@ -55,48 +58,37 @@ class Block:
         n = len(self.ids)
         self.vecs = np.frombuffer(b, "<i8").reshape(n, -1)
         dims = self.vecs.shape[1]
-        self.post = np.frombuffer(c, "<u2").astype(np.int64)
-        self.ends, self.low, self.high = np.frombuffer(d, "<i8").reshape(3, dims, LEVELS)
-        self.sizes = np.diff(self.ends, prepend=0, axis=1)
-        self.starts = (self.ends - self.sizes + (np.arange(dims) * n)[:, None]).ravel()
+        self.post = np.frombuffer(c, "<u4").astype(np.intp).reshape(n, dims)
+        self.sizes, self.low, self.high = np.frombuffer(d, "<i8").reshape(3, dims, LEVELS)
 
     def search(self, own: int, q: np.ndarray, k: int, proven: int | None) -> tuple[np.ndarray, np.ndarray]:
         """(ids, scores) of this block's rows among the ``k`` best of the query, without its
         own row; none whose score is below ``proven``, a score that k rows are known to reach."""
         n, dims = self.vecs.shape
-        alive = np.arange(n)
+        alive = None
         if proven is not None and n > 64:
-            most = np.maximum(self.low * q[:, None], self.high * q[:, None])  # of a segment, for one row
-            empty = self.sizes == 0
-            least = np.where(empty, np.iinfo(np.int64).max, most).min(1)
-            impact = np.where(empty, -1, most - least[:, None]).ravel()
-            order = np.argsort(-impact, kind="stable")
-            order = order[impact[order] >= 0]
-            sizes = self.sizes.ravel()[order]
-            taken = np.cumsum(sizes)
-            cuts = np.unique(np.searchsorted(taken, n * dims * np.arange(1, ROUNDS) // ROUNDS))
-            bound, left, at = np.zeros(n, np.int64), np.where(empty, np.iinfo(np.int64).min, most), 0
-            unseen = np.ones((n, dims), np.float32)
-            for cut in cuts:
-                seg, at = order[at:cut], cut
-                if not len(seg):
-                    continue
-                size = self.sizes.ravel()[seg]
-                # the postings of all these segments, one after the other
-                spot = np.arange(size.sum()) + np.repeat(self.starts[seg] - np.cumsum(size) + size, size)
-                rows, dim = self.post[spot], np.repeat(seg // LEVELS, size)
-                bound += np.bincount(rows, np.repeat(most.ravel()[seg], size), n).astype(np.int64)
-                unseen[rows, dim] = 0
-                left.ravel()[seg] = np.iinfo(np.int64).min
-                rest = left.max(1)
-                rest = np.where(rest == np.iinfo(np.int64).min, 0, rest)
-                # float32 sums are rounded: a margin keeps the bound above the true one
-                open_ = unseen[alive] @ rest.astype(np.float32)
-                upper = bound[alive] + open_ + np.abs(rest).sum() * 1e-5 + 1
-                alive = alive[upper >= proven]
-                if len(alive) <= max(32, n // 64):
+            nothing = np.iinfo(np.int64).min
+            most = np.where(self.sizes > 0, np.maximum(self.low * q[:, None], self.high * q[:, None]), nothing)
+            least = np.where(self.sizes > 0, most, np.iinfo(np.int64).max).min(1)
+            segments = np.flatnonzero(self.sizes)
+            impact = (most - least[:, None]).ravel()[segments]
+            segments = segments[np.argsort(-impact, kind="stable")]
+            upto = np.cumsum(self.sizes.ravel()[segments])
+            left, at = most.copy(), 0
+            for cut in np.searchsorted(upto, n * dims * np.arange(1, ROUNDS) // ROUNDS):
+                left.ravel()[segments[at:cut]] = nothing
+                at = cut
+                rest = left.max(1)  # the most that a dimension not reached yet can add
+                rest = np.where(rest == nothing, least, rest)
+                if rest.sum() >= proven:
+                    continue  # even a row of which nothing was taken could still be in
+                bound = np.where(left == nothing, most, rest[:, None]).ravel()
+                rows = self.post if alive is None else self.post[alive]
+                upper = np.take(bound, rows, mode="clip").sum(1)
+                alive = np.flatnonzero(upper >= proven) if alive is None else alive[upper >= proven]
+                if len(alive) <= max(16, n // 128):
                     break
-        alive = alive[self.ids[alive] != own]
+        alive = np.flatnonzero(self.ids != own) if alive is None else alive[self.ids[alive] != own]
         scores = self.vecs[alive] @ q
         if proven is not None:
             alive, scores = alive[scores >= proven], scores[scores >= proven]
@@ -201,7 +193,7 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 5, scale: int = 256, id_co
         (block + F.col("b")).alias("block"), F.lit(1).alias("role"), "id", "proven", "a", none.alias("b"), none.alias("c"), none.alias("d"))
     zero = F.lit(0).cast("long")
     work = index.select("block", F.lit(0).alias("role"), zero.alias("id"), zero.alias("proven"), "a", "b", "c", "d").unionByName(asked)
-    found = work.repartition(n_blocks, "block").sortWithinPartitions("block", "role").mapInPandas(
+    found = work.repartition(4 * n_blocks, "block").sortWithinPartitions("block", "role").mapInPandas(
         _search(k), "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
