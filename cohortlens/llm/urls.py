@@ -91,6 +91,8 @@ https://www.cheap-pills.example/en/5120.html
 https://blog.free-betting.example/es/30412/
 https://m.adult-pics.example/fr/77?page=2&ref=x
 https://casino-spins.example/de/118#top
+https://blog.casino-bonus.example/en/64
+https://www.winner-casino.example/fr/7.html
 https://www.spam-site.example/en/26007?utm_source=feed
 https://m.ads-click.example/es/4096
 https://blog.sexcams.example/fr/5/
