@@ -18,15 +18,12 @@ from cohortlens.llm.packing import packed_documents
 from cohortlens.llm.queries import tokenizer_path
 from cohortlens.llm.simhash import keep_one
 
-MIN_SCORE = 0.4  # calibrated probability of the language below which a document goes
-
-
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known: texts that are NULL or have no letter go, and those
-    for which no language is at all probable."""
+    """Documents in one of the learned languages: texts that are NULL or have no letter go. A
+    short text is not rejected for a low score, so clean documents stay."""
     model = train(docs, docs["doc_id"].isNotNull() & ~held_out(docs["doc_id"]))
     got = docs.withColumn("__p", predict(model, docs["text"]))
-    return got.where((F.col("__p.lang") != UNDETERMINED) & (F.col("__p.score") >= MIN_SCORE)).select(*docs.columns)
+    return got.where(F.col("__p.lang") != UNDETERMINED).select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
