@@ -1,3 +1,4 @@
+from cohortlens.functions.cells import json_array_cell, json_cell
 from cohortlens.functions.clocks import (
     cal_month,
     cal_year,
@@ -21,6 +22,8 @@ __all__ = [
     "epoch_seconds",
     "idiv",
     "is_bot_name",
+    "json_array_cell",
+    "json_cell",
     "keep_author",
     "ratio",
     "survival_years",

@@ -8,7 +8,7 @@ that Spark pushes into the parquet scan.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.functions.names import keep_author
@@ -17,32 +17,39 @@ from cohortlens.spec import CohortSpec
 POST_COLUMNS = ("body_size", "author", "created_utc", "subreddit", "comment", "submission")
 
 
-def _keep(df: DataFrame) -> DataFrame:
-    return df.where(F.col("created_utc").isNotNull() & keep_author("author"))
-
-
-def clean_comments(raw: DataFrame) -> DataFrame:
-    """Comments: size = characters of the body (NULL body -> NULL size, row kept)."""
-    return _keep(raw).select(
-        F.length("body").cast("long").alias("body_size"),
+def _as_posts(raw: DataFrame, size: Column, comment: int) -> DataFrame:
+    """A raw stream in the post layout; ``comment`` is 1 for comments, 0 for submissions."""
+    return raw.select(
+        size.cast("long").alias("body_size"),
         "author",
         F.col("created_utc").cast("long").alias("created_utc"),
         "subreddit",
-        F.lit(1).alias("comment"),
-        F.lit(0).alias("submission"),
+        F.lit(comment).alias("comment"),
+        F.lit(1 - comment).alias("submission"),
     )
 
 
-def clean_submissions(raw: DataFrame) -> DataFrame:
+def comments_as_posts(raw: DataFrame) -> DataFrame:
+    """Comments: size = characters of the body (NULL body -> NULL size, row kept)."""
+    return _as_posts(raw, F.length("body"), 1)
+
+
+def submissions_as_posts(raw: DataFrame) -> DataFrame:
     """Submissions: size = characters of title + selftext (NULL if either is NULL)."""
-    return _keep(raw).select(
-        (F.length("title") + F.length("selftext")).cast("long").alias("body_size"),
-        "author",
-        F.col("created_utc").cast("long").alias("created_utc"),
-        "subreddit",
-        F.lit(0).alias("comment"),
-        F.lit(1).alias("submission"),
-    )
+    return _as_posts(raw, F.length("title") + F.length("selftext"), 0)
+
+
+def _keep(posts: DataFrame) -> DataFrame:
+    """The cleaning rules; the optimizer moves them below the projection into the scan."""
+    return posts.where(F.col("created_utc").isNotNull() & keep_author("author"))
+
+
+def clean_comments(raw: DataFrame) -> DataFrame:
+    return _keep(comments_as_posts(raw))
+
+
+def clean_submissions(raw: DataFrame) -> DataFrame:
+    return _keep(submissions_as_posts(raw))
 
 
 def clean_posts(raw_comments: DataFrame, raw_submissions: DataFrame) -> DataFrame:
@@ -52,23 +59,7 @@ def clean_posts(raw_comments: DataFrame, raw_submissions: DataFrame) -> DataFram
 
 def union_raw(raw_comments: DataFrame, raw_submissions: DataFrame) -> DataFrame:
     """Both raw streams in the post layout, before any cleaning rule."""
-    c = raw_comments.select(
-        F.length("body").cast("long").alias("body_size"),
-        "author",
-        F.col("created_utc").cast("long").alias("created_utc"),
-        "subreddit",
-        F.lit(1).alias("comment"),
-        F.lit(0).alias("submission"),
-    )
-    s = raw_submissions.select(
-        (F.length("title") + F.length("selftext")).cast("long").alias("body_size"),
-        "author",
-        F.col("created_utc").cast("long").alias("created_utc"),
-        "subreddit",
-        F.lit(0).alias("comment"),
-        F.lit(1).alias("submission"),
-    )
-    return c.unionByName(s)
+    return comments_as_posts(raw_comments).unionByName(submissions_as_posts(raw_submissions))
 
 
 def window_filter(posts: DataFrame, start: int | None, end: int | None) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from cohortlens.functions.cells import json_array_cell, json_cell
 from cohortlens.operators.clean import clean_comments, clean_posts, clean_submissions, union_raw, window_filter
 from cohortlens.operators.dims import SUBREDDIT_COLUMNS, USER_COLUMNS
 from cohortlens.operators.enrich import enrich_posts
@@ -96,6 +97,20 @@ def csv_ingest(c: Community) -> DataFrame:
                        read_csv(spark, f"{paths[1]}/*.csv", "submission", null_value=NULL_MARK))
 
 
+def json_cells(c: Community) -> DataFrame:
+    """Submissions whose author and community arrive as one JSON object and whose texts as a
+    JSON array, parsed back into columns."""
+    packed = c.raw_submissions.select(
+        "created_utc",
+        F.to_json(F.struct("author", "subreddit")).alias("who"),
+        F.to_json(F.array("title", "selftext")).alias("texts"),
+    )
+    read = packed.select("created_utc", json_cell("who", "author string, subreddit string").alias("w"),
+                         json_array_cell("texts", "string").alias("t"))
+    return read.select("created_utc", F.col("w.author").alias("author"), F.col("w.subreddit").alias("subreddit"),
+                       F.col("t")[0].alias("title"), F.col("t")[1].alias("selftext"))
+
+
 ANY_NUMBER = 1 << 62  # of bad records
 
 
@@ -189,6 +204,7 @@ BLOCKS = {
     "scan_union_shards": scan_union_shards,
     "json_ingest": json_ingest,
     "csv_ingest": csv_ingest,
+    "json_cells": json_cells,
     "json_bad_records": json_bad_records,
     "csv_bad_records": csv_bad_records,
     "materialize_roundtrip": materialize_roundtrip,

@@ -134,7 +134,7 @@ def heavy_authors(c: Community, k: int = 20) -> DataFrame:
     return top.select("author", "n_posts", ratio(F.col("n_posts"), total).alias("share"))
 
 
-def simpson_check(series: DataFrame, digits: int = 6) -> DataFrame:
+def simpson_check(series: DataFrame) -> DataFrame:
     """Trend (least-squares slope of y over x) of every series against the 'Overall'
     series; ``reversal`` flags cohorts whose trend has the opposite sign."""
     slopes = series.groupBy("series").agg(F.regr_slope("y", "x").alias("slope"))
@@ -143,7 +143,7 @@ def simpson_check(series: DataFrame, digits: int = 6) -> DataFrame:
     overall_trend = F.signum(overall).cast("int")
     return slopes.where(F.col("series") != OVERALL).select(
         "series",
-        F.round("slope", digits).alias("slope"),
+        "slope",
         trend.alias("trend"),
         overall_trend.alias("overall_trend"),
         ((trend * overall_trend) < 0).alias("reversal"),
@@ -155,6 +155,12 @@ def simpson_comment_length(c: Community) -> DataFrame:
     return simpson_check(q08_comment_len_cohort_time(c, order=False))
 
 
+def simpson_rounded(c: Community, digits: int = 6) -> DataFrame:
+    """The same with slopes to ``digits`` places, for comparing engines: their least-squares
+    sums differ in the last bits."""
+    return simpson_comment_length(c).withColumn("slope", F.round("slope", digits))
+
+
 def cohort_retention(c: Community) -> DataFrame:
     """Share of each selected cohort's authors active in user month m (overlap window)."""
     spec = c.spec
@@ -288,7 +294,7 @@ DERIVED = {
     "active_fraction": active_fraction,
     "cohort_share": cohort_share,
     "heavy_authors": heavy_authors,
-    "simpson_check": simpson_comment_length,
+    "simpson_check": simpson_rounded,
     "cohort_retention": cohort_retention,
     "survival_distribution": survival_distribution,
     "low_activity_survivors": low_activity_survivors,

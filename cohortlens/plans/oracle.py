@@ -214,6 +214,7 @@ FROM meta GROUP BY author, u_year, survival, user_month""",
     + "SELECT * FROM posts WHERE created_utc >= 788918400 AND created_utc < 788918400 + 7 * 31557600",
     "json_ingest": with_base() + "SELECT * FROM posts",
     "csv_ingest": with_base() + "SELECT * FROM posts",
+    "json_cells": with_base() + "SELECT created_utc, author, subreddit, title, selftext FROM raw_submissions",
     "json_bad_records": with_base() + "SELECT * FROM comments WHERE created_utc % 7 <> 0 AND created_utc % 11 <> 0",
     "csv_bad_records": with_base() + "SELECT * FROM submissions WHERE created_utc % 7 <> 0 AND created_utc % 11 <> 0",
     "write_dispositions": with_base() + "SELECT * FROM users UNION ALL SELECT * FROM users",
