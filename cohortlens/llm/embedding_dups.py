@@ -207,8 +207,8 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.93, recall: float = 0.
         x = _vectors(sample.toPandas(), dims)
         x = x[np.lexsort(x.T)] if len(x) else np.eye(1, dims)
         x /= np.linalg.norm(x, axis=1)[:, None]
-        # about 32 vectors of a label in a cell, as long as the sample supports that many centroids
-        centroids = int(min(MOST_CENTROIDS, max(2, round(np.sqrt(n / (32 * max(1, head["labels"])))))))
+        # about 128 vectors of a label in a cell, as long as the sample supports that many centroids
+        centroids = int(min(MOST_CENTROIDS, max(2, round(np.sqrt(n / (128 * max(1, head["labels"])))))))
         grid = fit_grid(x, centroids, threshold, recall)
         dealt = classes.withColumn("dim", F.size("vec")).select("label", "dim", "cid", "copies", "vec").mapInPandas(
             _deal(grid, dims), classes.select("label", F.lit(1).alias("dim"), "cid", "copies", "vec").schema.add("cell", "long").add("home", "boolean"))
