@@ -154,16 +154,19 @@ def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["lang", "features", "counts"])
 
 
-def train(docs: DataFrame, learn: Column, text_col: str = "text", lang_col: str = "lang", sample_rows: int = 2000) -> Model | None:
+def train(docs: DataFrame, learn: Column, text_col: str = "text", lang_col: str = "lang", sample_rows: int = 2000,
+          max_langs: int = 256) -> Model | None:
     """Fit on the rows where ``learn`` holds, with text and a language; None if there are none.
 
     ``sample_rows`` (about; twice that at most) bounds the labelled documents the weights are
     fitted on: an equal share for every language, chosen by a hash of the text. Document
-    frequencies cover every training document. Texts without a letter teach nothing.
+    frequencies cover every training document. Texts without a letter teach nothing. At most
+    ``max_langs`` languages, those with the most documents, are learned.
     """
     ship(docs.sparkSession)
     rows = docs.where(learn).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null")
-    langs = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a language
+    langs = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs)
+    langs = {r["lang"]: r["n"] for r in langs.collect()}
     if not langs:
         return None
     freq = rows.select("text").mapInPandas(_frequencies, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n"))
@@ -176,7 +179,7 @@ def train(docs: DataFrame, learn: Column, text_col: str = "text", lang_col: str
     names, share = sorted(langs), sample_rows / len(langs)
     part = F.create_map(*[x for k, n in langs.items() for x in (F.lit(k), F.lit(min(1.0, share / n)))])
     u = F.shiftrightunsigned(F.xxhash64("text"), 11) / F.lit(float(1 << 53))
-    sample = rows.where(u < part[F.col("lang")]).limit(2 * sample_rows)
+    sample = rows.where(u < F.try_element_at(part, F.col("lang"))).limit(2 * sample_rows)
     data = sample.mapInPandas(_features, "lang string, features binary, counts binary").toPandas()
     data = data.sort_values(["lang", "features", "counts"])  # the same order whatever the tasks' order
     fit, kept = [], []

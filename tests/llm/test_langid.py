@@ -85,3 +85,9 @@ def test_sample_is_bounded_and_frequencies_are_not(spark, make_docs):
     model = L.train(docs, F.lit(True), sample_rows=40)
     assert model.langs == ["de", "en"]
     assert model.idf.min() == pytest.approx(1.0, abs=1e-6)  # in all 400 documents, not only in the sample
+
+
+def test_only_the_most_frequent_languages_are_learned(spark, make_docs):
+    docs = make_docs([(i, f"text {'abc'[i % 3] * 4}", ["en", "en", "de", "fr"][i % 4] if i else "xx", "a") for i in range(80)])
+    assert L.train(docs, F.lit(True), max_langs=2).langs == ["de", "en"]  # ties by name
+    assert L.train(docs, F.lit(True), max_langs=9).langs == ["de", "en", "fr", "xx"]
