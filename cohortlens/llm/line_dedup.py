@@ -1,21 +1,23 @@
 """Line dedup by pairwise alignment: blocks of lines that an earlier document already has.
 
-Documents overlap when they share a run of whole lines with at least ``min_words`` words.
-The smallest such run from each line on, and the smallest up to each line, are hashed: line
-hashes that are rare by construction, so no frequent line has to be capped, and any shared
-block, however long, shares one of them. Each run is owned by the earliest document
-that holds it, and every later document is paired with the owners of its runs only, so a
-passage in thousands of documents gives thousands of pairs and not millions. A pair is
-aligned like a patience diff: runs that occur once are anchors, the longest chain of anchors
-in the order of both documents is the alignment, and its blocks are deleted from the later
-document. What lies outside the chain (moved or repeated blocks) is aligned again until
-nothing is left.
+Every line with words is hashed, and so are the smallest runs of lines with at least
+``min_words`` words from each line on and up to each line. Each hash is owned by the
+earliest document that holds it, and every later document is paired with the owners of its
+hashes only: no frequent line has to be capped, and a passage in thousands of documents
+gives thousands of pairs and not millions.
+
+The whole line sequences of a pair are aligned like a patience diff: lines that occur once
+in both are anchors, the longest chain of anchors in the order of both is kept, and what
+lies between two anchors is aligned in the same way. Where the aligned lines have at least
+``min_words`` words together, every aligned block is deleted from the later document, however
+short, so scattered edits do not save the text between them. Beyond the alignment, a shared
+run that has ``min_words`` words by itself is deleted wherever it stands (moved or repeated).
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -28,7 +30,9 @@ from cohortlens.llm.common import materialize, ship
 
 MIN_WORDS = 30
 
-WINDOWS = "doc long, tkey long, first int, last int, w1 long, w2 long"
+# first is -1 in the row that holds a document's whole sequence of lines
+WINDOWS = "doc long, tkey long, first int, last int, w1 long, w2 long, run boolean, lines binary"
+LINE = np.dtype([("h1", "<u8"), ("h2", "<u8"), ("words", "<u4")])
 BLOCKS = "doc long, tkey long, blocks array<struct<first:int,last:int,doc_id:long>>"
 
 
@@ -49,18 +53,26 @@ def windows(lines: list[str], min_words: int) -> list[tuple[int, int]]:
     return sorted(found)
 
 
+def _hash(lines: list[str]) -> tuple[int, int]:
+    h = xxhash.xxh3_128_intdigest("\n".join(lines).encode("utf-8", "surrogatepass"))
+    return h >> 64, h & (1 << 64) - 1
+
+
 def _windows(min_words: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out: list[tuple] = []
             for doc, tkey, text in zip(pdf["doc"], pdf["tkey"], pdf["text"]):
                 lines = [x.strip() for x in text.split("\n")]
+                hashes, words = [_hash([x]) for x in lines], [len(x.split()) for x in lines]
+                whole = np.array([(*h, n) for h, n in zip(hashes, words)], dtype=LINE)
+                out.append((doc, tkey, -1, -1, 0, 0, False, whole.tobytes()))
+                out += [(doc, tkey, i, i, *hashes[i], False, None) for i, n in enumerate(words) if 0 < n < min_words]
                 for i, j in windows(lines, min_words):
-                    h = xxhash.xxh3_128_intdigest("\n".join(lines[i:j + 1]).encode("utf-8", "surrogatepass"))
-                    out.append((doc, tkey, i, j, h >> 64, h & (1 << 64) - 1))
-            got = np.array([x[4:] for x in out], dtype=np.uint64).reshape(-1, 2).view(np.int64)
+                    out.append((doc, tkey, i, j, *(hashes[i] if i == j else _hash(lines[i:j + 1])), True, None))
+            got = np.array([x[4:6] for x in out], dtype=np.uint64).reshape(-1, 2).view(np.int64)
             frame = pd.DataFrame([x[:4] for x in out], columns=["doc", "tkey", "first", "last"])
-            yield frame.assign(w1=got[:, 0], w2=got[:, 1])
+            yield frame.assign(w1=got[:, 0], w2=got[:, 1], run=[x[6] for x in out], lines=[x[7] for x in out])
 
     return run
 
@@ -110,20 +122,87 @@ def merged(blocks: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _aligned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """For each later document: its aligned blocks with every document it is paired with. The
-    rows come sorted by document, then by the document it is paired with."""
-    cols = ["doc", "tkey", "odoc", "okey", "first", "last", "ofirst"]
-    rows = (r for pdf in batches for r in zip(*[pdf[c].tolist() for c in cols]))
-    out: list[tuple] = []
-    for key, mine in groupby(rows, key=lambda r: r[:2]):
-        blocks = [{"first": a, "last": b, "doc_id": owner[0]} for owner, pair in groupby(mine, key=lambda r: r[2:4])
-                  for a, b in align([r[4:] for r in pair])]
-        out.append((*key, blocks))
-        if len(out) == 1000:
-            yield pd.DataFrame(out, columns=["doc", "tkey", "blocks"])
-            out = []
-    yield pd.DataFrame(out, columns=["doc", "tkey", "blocks"])
+def _sequence(lines: bytes) -> tuple[list[tuple[int, int]], list[int]]:
+    """The hashes of a document's lines and their numbers of words."""
+    got = np.frombuffer(lines, LINE)
+    return list(zip(got["h1"].tolist(), got["h2"].tolist())), got["words"].tolist()
+
+
+def matched(mine: list, words: list[int], theirs: list) -> list[tuple[int, int]]:
+    """(line, line of the other) of a patience alignment of two whole sequences, ascending in
+    both; ``words`` of mine, as lines without words are no anchors."""
+    out, todo = [], [(0, len(mine), 0, len(theirs))]
+    while todo:
+        a, b, c, d = todo.pop()
+        while a < b and c < d and mine[a] == theirs[c]:
+            out.append((a, c))
+            a, c = a + 1, c + 1
+        while a < b and c < d and mine[b - 1] == theirs[d - 1]:
+            b, d = b - 1, d - 1
+            out.append((b, d))
+        if a == b or c == d:
+            continue
+        at, places = defaultdict(list), defaultdict(list)
+        for k in range(a, b):
+            if words[k]:
+                at[mine[k]].append(k)
+        for k in range(c, d):
+            if theirs[k] in at:
+                places[theirs[k]].append(k)
+        anchors = [(at[x][0], q[0]) for x, q in places.items() if len(at[x]) == len(q) == 1]
+        # nothing occurs once in both: the first of mine with the first of theirs, and so on
+        anchors = sorted(anchors or [m for x, q in places.items() for m in zip(at[x], q)])
+        anchors = [anchors[k] for k in chain([q for _, q in anchors])]
+        out += anchors
+        if anchors:
+            todo += [(i + 1, j, p + 1, q) for (i, p), (j, q) in zip([(a - 1, c - 1), *anchors], [*anchors, (b, d)])]
+    return sorted(out)
+
+
+def aligned_blocks(mine: list, words: list[int], theirs: list, min_words: int) -> list[tuple[int, int]]:
+    """Blocks (first, last) of aligned lines that are neighbours in both documents, without the
+    blank lines at their ends; none if all of them together have fewer than ``min_words`` words."""
+    pairs = matched(mine, words, theirs)
+    if sum(words[k] for k, _ in pairs) < min_words:
+        return []
+    blocks, at = [], None
+    for k, q in pairs:
+        near, at = at == (k - 1, q - 1), (k, q)
+        if near and blocks:
+            blocks[-1].append(k)
+        else:
+            blocks.append([k])
+    full = ([k for k in ks if words[k]] for ks in blocks)
+    return [(ks[0], ks[-1]) for ks in full if ks]
+
+
+def _aligned(min_words: int):
+    """For each later document: its common blocks with every document it is paired with. The rows
+    come sorted by document, its own lines first, then by the document it is paired with."""
+    cols = ["doc", "tkey", "odoc", "okey", "first", "last", "ofirst", "lines"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = (r for pdf in batches for r in zip(*[pdf[c].tolist() for c in cols]))
+        out: list[tuple] = []
+        for key, mine in groupby(rows, key=lambda r: r[:2]):
+            own, blocks = _sequence(next(mine)[7]), []
+            for owner, pair in groupby(mine, key=lambda r: r[2:4]):
+                runs, theirs = [], None
+                for *_, first, last, ofirst, lines in pair:
+                    if first < 0:
+                        theirs = lines
+                    else:
+                        runs.append((first, last, ofirst))
+                found = align(runs) + aligned_blocks(*own, _sequence(theirs)[0], min_words)
+                blocks += [{"first": a, "last": b, "doc_id": owner[0]} for a, b in merged(found)]
+            if blocks:
+                out.append((*key, blocks))
+            if len(out) == 1000:
+                yield pd.DataFrame(out, columns=["doc", "tkey", "blocks"])
+                out = []
+        yield pd.DataFrame(out, columns=["doc", "tkey", "blocks"])
+
+    return run
 
 
 def common_blocks(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -132,16 +211,28 @@ def common_blocks(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "do
     ship(docs.sparkSession)
     texts = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("tkey"), F.col(text_col).alias("text"))
-    found = materialize(texts.mapInPandas(_windows(min_words), WINDOWS), "line-runs")
+    every = materialize(texts.mapInPandas(_windows(min_words), WINDOWS), "line-runs")
+    found = every.where("first >= 0").drop("lines")
     owner = F.min(F.struct("doc", "tkey", "first")).alias("o")
     owners = found.groupBy("w1", "w2").agg(owner, F.max("doc").alias("high")).where(F.col("high") > F.col("o.doc"))
     owners = materialize(owners.select("w1", "w2", F.col("o.doc").alias("odoc"), F.col("o.tkey").alias("okey"),
                                        F.col("o.first").alias("ofirst")), "run-owners")
-    pairs = found.join(owners, ["w1", "w2"]).where(F.col("doc") > F.col("odoc"))
-    keys = ["doc", "tkey"]
-    pairs = (pairs.select(*keys, "first", "last", "odoc", "okey", "ofirst").repartition(*keys)
-             .sortWithinPartitions(*keys, "odoc", "okey"))
-    return pairs.mapInPandas(_aligned, BLOCKS)
+    keys, okeys = ["doc", "tkey"], ["odoc", "okey"]
+    shared = found.join(owners, ["w1", "w2"]).where(F.col("doc") > F.col("odoc"))
+    shared = materialize(shared.select(*keys, *okeys, "first", "last", "ofirst", "run"), "line-pairs")
+    sequences = every.where("first < 0").select(*keys, "lines").dropDuplicates(keys)
+    sequences = materialize(sequences, "line-sequences")
+    # an owner of a frequent line is in many pairs: both sides are dealt for this join alone, so that partition can be split
+    theirs = shared.select(*keys, *okeys).distinct()
+    theirs = materialize(theirs, "document-pairs").join(sequences.select(F.col("doc").alias("odoc"), F.col("tkey").alias("okey"), "lines"), okeys)
+    none, nowhere = F.lit(None).cast("binary").alias("lines"), [F.lit(-1).alias(c) for c in ("first", "last", "ofirst")]
+    rows = shared.where("run").select(*keys, F.lit(1).alias("part"), *okeys, "first", "last", "ofirst", none)
+    rows = rows.unionByName(theirs.select(*keys, F.lit(1).alias("part"), *okeys, *nowhere, "lines"))
+    later = shared.select(*keys).distinct()
+    own = sequences.join(later, keys, "left_semi")
+    rows = rows.unionByName(own.select(*keys, F.lit(0).alias("part"), *[F.lit(0).cast("long").alias(c) for c in okeys], *nowhere, "lines"))
+    rows = rows.repartition(*keys).sortWithinPartitions(*keys, "part", *okeys)
+    return rows.mapInPandas(_aligned(min_words), BLOCKS)
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -151,9 +242,9 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_
     "Earlier" is the smaller id. Lines are compared without surrounding white space; other
     lines keep their bytes. A deleted line is always still held by an earlier document.
     NULL, empty and word-less texts and NULL ids are left alone. Rows of one id are never
-    compared with each other; repeated rows get the same result each. Shared runs with fewer
-    than ``min_words`` words stay, so headers and short phrases of clean documents do. An
-    empty table gives an empty result.
+    compared with each other; repeated rows get the same result each. Lines stay where all
+    that is aligned with one other document has fewer than ``min_words`` words, so headers and
+    short phrases of clean documents do. An empty table gives an empty result.
     """
     blocks = materialize(common_blocks(docs, min_words, id_col, text_col), "line-blocks")
     blocks = blocks.select(F.col("doc").alias("__doc"), F.col("tkey").alias("__tkey"), F.col("blocks").alias("__blocks"))
