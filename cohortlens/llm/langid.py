@@ -23,6 +23,9 @@ DIM = 1 << DIM_BITS
 GRAMS = 3
 CHUNK = 1 << 20  # characters hashed at a time, so memory does not grow with a text
 UNDETERMINED = "und"
+ENOUGH = 120  # n-grams from which on a text is judged to be in none of the learned languages
+RARE = 0.001  # features in a smaller share of the training documents, and without weights, are unknown
+UNKNOWN = 0.08  # a text may have this share of unknown n-grams, or more where clean texts have
 
 
 @functools.lru_cache(maxsize=1)
@@ -68,7 +71,8 @@ def counts(text: str | None) -> np.ndarray | None:
 
 @dataclass(frozen=True)
 class Model:
-    """Languages, IDF of every feature, the features with weights, those, bias, temperature."""
+    """Languages, IDF of every feature, the features with weights, those, bias, temperature,
+    the known features, the largest share of unknown n-grams that fits each language."""
 
     langs: list[str]
     idf: np.ndarray
@@ -76,6 +80,8 @@ class Model:
     weights: np.ndarray
     bias: np.ndarray
     temperature: float
+    known: np.ndarray
+    limits: np.ndarray
 
     def dense(self) -> np.ndarray:
         w = np.zeros((DIM, len(self.langs)), np.float32)
@@ -130,6 +136,16 @@ def temperature(scores: np.ndarray, y: np.ndarray) -> float:
     return float(grid[int(np.argmin(loss))])
 
 
+def unknown_limits(shares: np.ndarray, y: np.ndarray, classes: int) -> np.ndarray:
+    """The largest share of unknown n-grams that fits each language: twice what 99% of its documents
+    not trained on have, ``UNKNOWN`` at least. All of them count where a language has none, and
+    without any everything fits."""
+    twice = lambda x: max(UNKNOWN, 2 * float(np.quantile(x, 0.99)))
+    if not len(shares):
+        return np.ones(classes)
+    return np.array([twice(shares[y == k] if (y == k).any() else shares) for k in range(classes)])
+
+
 def _frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """One task's document frequencies (at most DIM rows), and at feature -1 its documents."""
     df, n = np.zeros(DIM, np.int64), 0
@@ -182,40 +198,56 @@ def train(docs: DataFrame, learn: Column, text_col: str = "text", lang_col: str
     sample = rows.where(u < F.try_element_at(part, F.col("lang"))).limit(2 * sample_rows)
     data = sample.mapInPandas(_features, "lang string, features binary, counts binary").toPandas()
     data = data.sort_values(["lang", "features", "counts"])  # the same order whatever the tasks' order
-    fit, kept = [], []
+    fit, kept, times = [], [], []
     for k, (lang, f, c) in enumerate(zip(data["lang"], data["features"], data["counts"])):
         f = np.frombuffer(f, "<u2").astype(np.int64)
         row = (f, tf_idf(f, np.frombuffer(c, "<u4"), idf), names.index(lang))
-        (kept if k % 5 == 4 else fit).append(row)
+        if k % 5 == 4:
+            kept.append(row)
+            times.append(np.frombuffer(c, "<u4"))
+        else:
+            fit.append(row)
     w = ftrl(fit, len(names))
     scores = np.array([x @ w[f] + w[DIM] for f, x, _ in kept]).reshape(len(kept), len(names))
-    t = temperature(scores, np.array([y for *_, y in kept], dtype=np.int64))
-    used = np.flatnonzero(w[:DIM].any(1))
-    return Model(names, idf.astype(np.float32), used.astype(np.int32), w[used].astype(np.float32), w[DIM].astype(np.float32), t)
+    y = np.array([y for *_, y in kept], dtype=np.int64)
+    t = temperature(scores, y)
+    weighted = w[:DIM].any(1)
+    used = np.flatnonzero(weighted)
+    # a document kept aside does not make its own features known
+    shares = [float(c @ ~(weighted[f] | (df[f] - 1 > RARE * n_docs))) / c.sum() for (f, *_), c in zip(kept, times)]
+    judged = np.array([c.sum() >= ENOUGH for c in times], dtype=bool)
+    limits = unknown_limits(np.array(shares)[judged], y[judged], len(names))
+    return Model(names, idf.astype(np.float32), used.astype(np.int32), w[used].astype(np.float32), w[DIM].astype(np.float32), t,
+                 weighted | (df > RARE * n_docs), limits)
 
 
 def _predict(model: Model, texts: pd.Series, w: np.ndarray) -> pd.DataFrame:
-    langs, scores = [], []
+    langs, scores, fits = [], [], []
     for text in texts:
         c = counts(text)
         if c is None:
             langs.append(UNDETERMINED)
             scores.append(0.0)
+            fits.append(False)
             continue
         at = np.flatnonzero(c)
         p = _softmax((tf_idf(at, c[at], model.idf) @ w[at] + model.bias).astype(np.float64) / model.temperature)
-        langs.append(model.langs[int(np.argmax(p))])
+        best, total = int(np.argmax(p)), int(c.sum())
+        langs.append(model.langs[best])
         scores.append(float(p.max()))
-    return pd.DataFrame({"lang": langs, "score": scores})
+        fits.append(total < ENOUGH or int(c[~model.known].sum()) <= model.limits[best] * total)
+    return pd.DataFrame({"lang": langs, "score": scores, "fits": fits})
 
 
 def predict(model: Model | None, text: Column) -> Column:
-    """Struct (lang, score): the most probable learned language and its calibrated probability.
-    ``und`` with score 0 if the text is NULL or has no letter, or nothing was learned."""
+    """Struct (lang, score, fits): the most probable learned language, its calibrated probability,
+    and whether the text fits it: false where ``ENOUGH`` n-grams or more have too large a share that
+    no learned language has. ``und`` with score 0, and no fit, if the text is NULL or has no
+    letter, or nothing was learned."""
     if model is None:
-        return F.struct(F.lit(UNDETERMINED).alias("lang"), F.lit(0.0).alias("score"))
+        return F.struct(F.lit(UNDETERMINED).alias("lang"), F.lit(0.0).alias("score"), F.lit(False).alias("fits"))
 
-    @F.pandas_udf("lang string, score double")
+    @F.pandas_udf("lang string, score double, fits boolean")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         w = model.dense()
         for texts in batches:

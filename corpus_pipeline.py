@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cohortlens.llm.common import materialize
-from cohortlens.llm.langid import UNDETERMINED, held_out, predict, train
+from cohortlens.llm.langid import held_out, predict, train
 from cohortlens.llm.line_dedup import dedup_lines
 from cohortlens.llm.mixing import Mix, mixed_documents
 from cohortlens.llm.packing import packed_documents
@@ -19,11 +19,14 @@ from cohortlens.llm.queries import tokenizer_path
 from cohortlens.llm.simhash import keep_one
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the learned languages: texts that are NULL or have no letter go. A
-    short text is not rejected for a low score, so clean documents stay."""
+    """Documents in one of the learned languages: texts that are NULL or have no letter go, and those
+    long enough to judge that fit no learned language. Short texts stay, and where no document
+    has a language to learn from all texts with letters do."""
     model = train(docs, docs["doc_id"].isNotNull() & ~held_out(docs["doc_id"]))
+    if model is None:
+        return docs.where(docs["text"].rlike(r"\p{L}"))
     got = docs.withColumn("__p", predict(model, docs["text"]))
-    return got.where(F.col("__p.lang") != UNDETERMINED).select(*docs.columns)
+    return got.where("__p.fits").select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

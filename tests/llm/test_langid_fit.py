@@ -1,0 +1,36 @@
+import random
+import zlib
+
+import numpy as np
+import pytest
+
+import corpus_pipeline as P
+from cohortlens.llm import langid as L
+
+PLANTED = {
+    "greek": "Η γρήγορη καφέ αλεπού πηδάει πάνω από το τεμπέλικο σκυλί και τρέχει στο δάσος με τους φίλους της κάθε πρωί",
+    "russian": "Быстрая коричневая лиса прыгает через ленивую собаку и бежит в лес со своими друзьями каждое утро",
+    "chinese": "快速的棕色狐狸跳过懒狗然后每天早上和它的朋友们一起跑进森林里面去寻找食物并且在河边休息了很久时间",
+    "finnish": "Nopea ruskea kettu hyppää laiskan koiran yli ja juoksee metsään ystäviensä kanssa joka aamu etsimään ruokaa",
+    "gibberish": " ".join("".join(random.Random(k).choices("abcdefghijklmnopqrstuvwxyz", k=3 + k % 7)) for k in range(40)),
+}
+
+
+def test_texts_in_no_learned_language_go_and_all_others_stay(spark, make_docs):
+    whole = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang", "source").collect()]
+    held = [i for i in range(10 ** 6, 10 ** 6 + 99) if zlib.crc32(str(i).encode()) % 3 == 1]  # never learned from
+    planted = [(held[k], t, "en", "a") for k, t in enumerate(PLANTED.values())]
+    short = [(held[20 + k], t[:30], "en", "a") for k, t in enumerate(PLANTED.values())]
+    kept = P.language_id(spark, make_docs(whole + planted + short), "").collect()
+    assert sorted(r["doc_id"] for r in kept) == sorted(r[0] for r in whole + short)
+
+
+def test_documents_pass_when_nothing_is_learned(spark, make_docs):
+    docs = make_docs([(1, "words of a text", None, "a"), (2, "Ελληνικά", None, "a"), (3, None, None, "a"), (4, "12 !", None, "a")])
+    assert sorted(r["doc_id"] for r in P.language_id(spark, docs, "").collect()) == [1, 2]
+
+
+def test_limits_follow_what_clean_texts_have():
+    assert L.unknown_limits(np.zeros(0), np.zeros(0, int), 2).tolist() == [1, 1]
+    got = L.unknown_limits(np.array([0.0, 0.01, 0.2, 0.2]), np.array([0, 0, 1, 1]), 3)
+    assert got[0] == L.UNKNOWN and got[1] == pytest.approx(0.4) and got[2] == pytest.approx(0.4)
