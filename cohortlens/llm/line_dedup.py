@@ -17,7 +17,7 @@ run that has ``min_words`` words by itself is deleted wherever it stands (moved
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -93,22 +93,10 @@ def chain(places: list[int]) -> list[int]:
 
 
 def align(matches: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Blocks (first, last) of the later document that align with the earlier one, from the runs
-    they share: (first line, last line, first line in the earlier document)."""
-    left, blocks = sorted(set(matches)), []
-    while left:
-        # anchors: runs at a place of the earlier document that only one run here claims
-        claims = Counter(o for *_, o in left)
-        once = [m for m in left if claims[m[2]] == 1] or left
-        aligned = [once[k] for k in chain([o for *_, o in once])]
-        for first, last, _ in aligned:
-            if blocks and blocks[-1][0] <= first <= blocks[-1][1] + 1:
-                blocks[-1] = (blocks[-1][0], max(last, blocks[-1][1]))
-            else:
-                blocks.append((first, last))
-        done = set(aligned)
-        left = [m for m in left if m not in done]
-    return merged(blocks)
+    """Blocks (first, last) of the later document that are shared runs of enough words by themselves,
+    from (first line, last line, first line in the earlier document). They go wherever they stand
+    there, so moved and repeated passages do: what is in order is up to ``aligned_blocks``."""
+    return merged([(first, last) for first, last, _ in matches])
 
 
 def merged(blocks: list[tuple[int, int]]) -> list[tuple[int, int]]:

@@ -34,6 +34,14 @@ def test_the_word_minimum_is_that_of_the_pair(spark, docs_dir):
     assert got[3] == "\n".join(x for x in enough.split("\n") if x not in shared)  # 30
 
 
+def test_short_lines_out_of_order_stay_and_long_runs_go(spark, docs_dir):
+    """The alignment decides on scattered lines; an unbroken run of 30 words goes wherever it stands."""
+    rng = random.Random(3)
+    x, y, moved = sentence(rng, 40), sentence(rng, 9), sentence(rng, 31)
+    docs = [(1, f"{y}\n{x}\nown\n{moved}", "en", "a"), (2, f"{moved}\nmine\n{x}\n{y}", "en", "a")]
+    assert texts(spark, docs_dir(docs))[2] == f"mine\n{y}"
+
+
 @pytest.mark.parametrize("seed", range(20))
 def test_matched_is_a_common_subsequence(seed):
     rng = random.Random(seed)
