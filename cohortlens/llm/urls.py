@@ -161,13 +161,22 @@ def train(labelled: Sequence[tuple[str, str, int]], rounds: int = 500, rate: flo
 
 
 def fit(spark: SparkSession, labelled: DataFrame | None = None, max_rows: int = MAX_LABELLED) -> np.ndarray:
-    """Weights from a labelled url table (url string, blocked int), or from the built-in one. At most ``max_rows``
-    rows, the first by url, are taken; rows without a label teach nothing."""
+    """Weights from a labelled url table (url string, blocked int), or from the built-in one. Of more than
+    ``max_rows`` rows, that many different ones are taken, those with the smallest hashes of their
+    urls, half of them blocked unless there are fewer; rows without a label teach nothing."""
     if labelled is None:
         labelled = spark.createDataFrame(LABELLED, "url string, blocked int")
     rows = labelled.select(labelled["url"].alias("__url"), labelled["blocked"].alias("blocked")).where("blocked is not null")
     host, path = url_parts(F.col("__url"))
-    got = rows.select(host.alias("host"), path.alias("path"), "blocked").orderBy("host", "path", "blocked").limit(max_rows).collect()
+    parts = rows.select(host.alias("host"), path.alias("path"), "blocked")
+    if parts.count() > max_rows:
+        parts = parts.distinct()
+        bad = F.col("blocked") > 0
+        n, n_bad = parts.agg(F.count(F.lit(1)), F.count_if(bad)).first()
+        take_bad = min(n_bad, max(max_rows // 2, max_rows - (n - n_bad)))
+        order = [F.xxhash64("host", "path"), "host", "path", "blocked"]
+        parts = parts.where(bad).orderBy(*order).limit(take_bad).union(parts.where(~bad).orderBy(*order).limit(max_rows - take_bad))
+    got = sorted(parts.collect())  # max_rows rows at most
     return train([(r["host"], r["path"], r["blocked"]) for r in got])
 
 
