@@ -17,6 +17,7 @@ from cohortlens.llm.packing import packed_documents
 from cohortlens.llm.records import read_records, write_records
 from cohortlens.llm.sharding import hilbert_shards, text_code
 from cohortlens.llm.simhash import simhash_groups
+from cohortlens.llm import text_queries
 from cohortlens.llm.topk import top_k
 from cohortlens.llm.urls import fit, judge
 from cohortlens.sources.sinks import scratch_path
@@ -107,7 +108,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (op1_embedding_dups, op2_simhash, op3_hilbert_sharding, op4_exact_topk, op5_line_dedup, op6_fair_mixing, op7_packing,
-                                     op8_url_filter, op9_token_records, op10_language_id)}
+                                     op8_url_filter, op9_token_records, op10_language_id)} | text_queries.queries()
 
 
 OP6_SQL = r"""
@@ -178,4 +179,4 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_embedding_dups": OP1_SQL, "op4_exact_topk": OP4_SQL, "op6_fair_mixing": OP6_SQL}
+    return {"op1_embedding_dups": OP1_SQL, "op4_exact_topk": OP4_SQL, "op6_fair_mixing": OP6_SQL} | text_queries.oracle_sql()

@@ -27,7 +27,7 @@ def test_query_matches_sql(spark, name):
 
 def test_entry_registers_one_query_for_each_operator_and_the_pipeline():
     names = [n for n in E.queries() if n.startswith("op")]
-    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 14))
     assert "pipeline" in E.queries() and set(Q.oracle_sql()) <= set(E.oracle_sql())
 
 
