@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cohortlens.llm.common import read
 from cohortlens.llm.periodic import periodic_runs, strongest
+from cohortlens.llm.personal_data import IBAN_LENGTHS, MISLEADING, find_personal_data, iban_pattern, listed
 
 
 def with_planted_run(doc_id: int | None, words: list[bytes]) -> list[bytes]:
@@ -33,6 +34,15 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.col("collapsed").alias("collapsed_sha256"))
 
 
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents: counts and places of the four base kinds, and all spans."""
+    got = find_personal_data(read(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id", "__spans")
+    number = lambda kind: F.size(F.filter("__spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("__spans", lambda s: s["base"])
+    return got.select("doc_id", *[number(k) for k in ("email", "ip", "card", "phone")], F.sha2(listed(base), 256).alias("base_sha256"),
+                      listed(F.col("__spans")).alias("spans"))
+
+
 OP11_SQL = r"""
 WITH crc AS (
   SELECT list_transform(range(256), lambda b: list_reduce(range(8),
@@ -75,9 +85,55 @@ FROM z LEFT JOIN best USING (rid) LEFT JOIN listed USING (rid) LEFT JOIN kept US
 """
 
 
+# the patterns of the contract as they stand; the added kinds have no others
+OP13_SQL = r"""
+WITH kinds(kind, no, pattern, fitting) AS (VALUES
+  ('email', 1, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+', ''),
+  ('ip', 2, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)', ''),
+  ('card', 3, '[0-9]([\x20-]?[0-9])+', ''),
+  ('phone', 4, '\+[0-9][\x20().0-9-]+[0-9]', ''),
+  ('iban', 5, '@IBAN@', 'iban|bank|konto|account|cuenta|compte'),
+  ('local_phone', 6, '[(]?[0-9]{2,5}[)]?(?:[ /-]{1,2}[0-9]{2,5}){1,4}', '\btel\b|telefon|phone|\bcall\b|mobil|\bfax\b'),
+  ('spelled_email', 7, '[A-Za-z0-9._%+-]+ ?[(\[]at[)\]] ?[A-Za-z0-9-]+(?: ?[(\[]dot[)\]] ?[A-Za-z0-9-]+)+', 'mail|contact|kontakt|correo|courriel|write')),
+d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+m AS (SELECT rid, kind, no, fitting, regexp_extract_all(text, pattern) AS hits, string_split_regex(text, pattern) AS gaps FROM d, kinds),
+r AS (SELECT rid, kind, no, fitting, gaps, unnest(hits) AS hit, unnest(range(len(hits))) AS i FROM m),
+p AS (
+  SELECT *, CAST(sum(length(gaps[i + 1])) OVER w + coalesce(sum(length(hit)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS s,
+    right(gaps[i + 1], 40) AS bef, left(gaps[i + 2], 20) AS aft, regexp_replace(hit, '[^0-9]', '', 'g') AS dig, replace(hit, ' ', '') AS packed
+  FROM r WINDOW w AS (PARTITION BY rid, kind ORDER BY i)),
+good AS (
+  SELECT *, s + length(hit) AS e, lower(bef || chr(10) || aft) AS near FROM p WHERE CASE kind
+    WHEN 'ip' THEN len(list_filter(string_split(hit, '.'), lambda x: coalesce(TRY_CAST(x AS HUGEINT), 999) > 255)) = 0
+    WHEN 'card' THEN length(dig) BETWEEN 13 AND 19 AND list_sum(list_transform(range(length(dig)), lambda k:
+      CASE WHEN (length(dig) - k) % 2 = 1 THEN CAST(dig[k + 1] AS INTEGER)
+           ELSE CASE WHEN CAST(dig[k + 1] AS INTEGER) >= 5 THEN 2 * CAST(dig[k + 1] AS INTEGER) - 9 ELSE 2 * CAST(dig[k + 1] AS INTEGER) END END)) % 10 = 0
+    WHEN 'phone' THEN length(dig) BETWEEN 9 AND 15
+    WHEN 'iban' THEN list_reduce(list_transform(string_split(packed[5:] || packed[:4], ''), lambda c: CAST(ascii(c) AS BIGINT)),
+      lambda a, c: CASE WHEN c >= 65 THEN (a * 100 + c - 55) % 97 ELSE (a * 10 + c - 48) % 97 END, CAST(0 AS BIGINT)) = 1
+    WHEN 'local_phone' THEN length(dig) BETWEEN 7 AND 12
+    ELSE TRUE END),
+more AS (
+  SELECT * FROM good x WHERE no > 4
+    AND (kind = 'spelled_email' OR NOT (regexp_matches(bef, '[A-Za-z0-9+.,/-]\z') OR regexp_matches(aft, '\A[A-Za-z0-9]')))
+    AND CASE kind WHEN 'iban' THEN 7 WHEN 'local_phone' THEN 2 ELSE 6 END + CASE WHEN regexp_matches(near, fitting) THEN 4 ELSE 0 END
+      - CASE WHEN regexp_matches(near, '@MISLEADING@') THEN 3 ELSE 0 END >= 5
+    AND NOT EXISTS (SELECT 1 FROM good b WHERE b.rid = x.rid AND b.no <= 4 AND b.e > x.s AND b.s < x.e)),
+spans AS (SELECT rid, no, kind, s, e FROM good WHERE no <= 4 UNION ALL SELECT rid, no, kind, s, e FROM more),
+l AS (
+  SELECT rid, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY no, s) AS every,
+    string_agg(kind || ':' || s || ':' || e, ',' ORDER BY no, s) FILTER (no <= 4) AS base,
+    count(*) FILTER (no = 1) AS a, count(*) FILTER (no = 2) AS b, count(*) FILTER (no = 3) AS c, count(*) FILTER (no = 4) AS p
+  FROM spans GROUP BY rid)
+SELECT doc_id, coalesce(a, 0) AS n_email, coalesce(b, 0) AS n_ip, coalesce(c, 0) AS n_card, coalesce(p, 0) AS n_phone,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(every, '') AS spans
+FROM d LEFT JOIN l USING (rid)
+""".replace("@IBAN@", iban_pattern(IBAN_LENGTHS)).replace("@MISLEADING@", MISLEADING)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op11_periodic_runs,)}
+    return {f.__name__: f for f in (op11_periodic_runs, op13_personal_data)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op11_periodic_runs": OP11_SQL}
+    return {"op11_periodic_runs": OP11_SQL, "op13_personal_data": OP13_SQL}
