@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from cohortlens.llm.common import read
 from cohortlens.llm.periodic import periodic_runs, strongest
 from cohortlens.llm.personal_data import IBAN_LENGTHS, MISLEADING, find_personal_data, iban_pattern, listed
+from cohortlens.llm.phrases import Phrases, collocations
 
 
 def with_planted_run(doc_id: int | None, words: list[bytes]) -> list[bytes]:
@@ -34,6 +35,11 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.col("collapsed").alias("collapsed_sha256"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2000 phrases of 2 to 4 words of every language, from 30 occurrences on, in all documents."""
+    return collocations(read(spark, sf_dir, "documents", "lang", "text"), Phrases(min_count=30, max_words=4, share=80, unit=2_000_000, top=2000))
+
+
 def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in all documents: counts and places of the four base kinds, and all spans."""
     got = find_personal_data(read(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id", "__spans")
@@ -85,6 +91,32 @@ FROM z LEFT JOIN best USING (rid) LEFT JOIN listed USING (rid) LEFT JOIN kept US
 """
 
 
+OP12_SQL = r"""
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM d),
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: w[i:i + k - 1])) AS g FROM w, (VALUES (1), (2), (3), (4)) ks(k)),
+f AS (SELECT lang, k, g, CAST(count(*) AS BIGINT) AS a FROM g GROUP BY lang, k, g),
+n AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT * FROM f WHERE k > 1 AND a >= 30),
+cuts AS (SELECT lang, k, g, a, unnest(range(1, k)) AS cut FROM c),
+s AS (
+  SELECT c.lang, c.k, c.g, c.a, cut, x.a AS l, y.a AS r, CAST((CAST(2000000 AS HUGEINT) * c.a) // (x.a + y.a) AS BIGINT) AS score
+  FROM cuts c JOIN f x ON x.lang = c.lang AND x.g = c.g[1:cut] JOIN f y ON y.lang = c.lang AND y.g = c.g[cut + 1:]),
+b AS (SELECT *, row_number() OVER (PARTITION BY lang, g ORDER BY score, cut) AS pick FROM s),
+sub AS (
+  SELECT lang, a, unnest(flatten(list_transform(range(2, k), lambda m: list_transform(range(1, k - m + 2), lambda i: g[i:i + m - 1])))) AS g FROM c),
+m AS (SELECT lang, g, max(a) AS longer FROM sub GROUP BY lang, g),
+t AS (
+  SELECT b.*, array_to_string(b.g, ' ') AS phrase FROM b LEFT JOIN m ON m.lang = b.lang AND m.g = b.g
+  WHERE pick = 1 AND (longer IS NULL OR CAST(100 AS HUGEINT) * longer < CAST(80 AS HUGEINT) * b.a)),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM t)
+SELECT lang, rank, phrase, a, l, r, n, score FROM o JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+
 # the patterns of the contract as they stand; the added kinds have no others
 OP13_SQL = r"""
 WITH kinds(kind, no, pattern, fitting) AS (VALUES
@@ -132,8 +164,8 @@ FROM d LEFT JOIN l USING (rid)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op11_periodic_runs, op13_personal_data)}
+    return {f.__name__: f for f in (op11_periodic_runs, op12_collocations, op13_personal_data)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op11_periodic_runs": OP11_SQL, "op13_personal_data": OP13_SQL}
+    return {"op11_periodic_runs": OP11_SQL, "op12_collocations": OP12_SQL, "op13_personal_data": OP13_SQL}
