@@ -1,25 +1,32 @@
 """Line dedup by pairwise alignment: blocks of lines that an earlier document already has.
 
 Every line with words is hashed, and so are the smallest runs of lines with at least
-``min_words`` words from each line on and up to each line. Each hash is owned by the
-earliest document that holds it, and every later document is paired with the owners of its
-hashes only: no frequent line has to be capped, and a passage in thousands of documents
-gives thousands of pairs and not millions.
-
-The whole line sequences of a pair are aligned like a patience diff: lines that occur once
-in both are anchors, the longest chain of anchors in the order of both is kept, and what
-lies between two anchors is aligned in the same way. Where the aligned lines have at least
-``min_words`` words together, every aligned block is deleted from the later document, however
-short, so scattered edits do not save the text between them. Beyond the alignment, a shared
-run that has ``min_words`` words by itself is deleted wherever it stands (moved or repeated).
+``min_words`` words from each line on and up to each line.
+
+1. Two documents meet in a rare line (one that at most ``rare`` documents hold), whichever they are.
+   A frequent line or run is owned by the earliest document that holds it and pairs every later one
+   with that owner, so nothing is capped, and a passage in thousands of documents gives thousands of
+   pairs and not millions.
+2. Before any text travels, the words of all lines that a pair shares are summed from rows of
+   (document, line hash), looked up from the side with fewer shared lines. A pair that shares
+   fewer than ``min_words`` words is done: no alignment could reach them.
+3. The whole line sequences of the other pairs are aligned like a patience diff: lines that occur
+   once in both are anchors, the longest chain of anchors in the order of both is kept, and what
+   lies between two anchors is aligned in the same way. Where the aligned lines have at least
+   ``min_words`` words together, every aligned block is deleted from the later document, however
+   short, so scattered edits do not save the text between them. Each pair is a row of its
+   own: the pairs of one document are spread over tasks, only their blocks come together.
+
+Beyond the alignment, a run that has ``min_words`` words by itself and is owned by an earlier
+document is deleted wherever it stands (moved or repeated).
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
-from itertools import groupby
+from itertools import groupby, islice
 
 import numpy as np
 import pandas as pd
@@ -29,11 +36,15 @@ from pyspark.sql import DataFrame, functions as F
 from cohortlens.llm.common import materialize, ship
 
 MIN_WORDS = 30
+RARE = 8  # documents that may hold a line for all of them to be paired: 28 pairs a line at most
 
-# first is -1 in the row that holds a document's whole sequence of lines
-WINDOWS = "doc long, tkey long, first int, last int, w1 long, w2 long, run boolean, lines binary"
+# first is -1 in the row that holds a document's whole sequence of lines; n is how often a document has a line (in
+# the row of its first place, 0 in those of later ones and of runs of several lines)
+WINDOWS = "doc long, tkey long, first int, last int, w1 long, w2 long, run boolean, n int, words int, lines binary"
 LINE = np.dtype([("h1", "<u8"), ("h2", "<u8"), ("words", "<u4")])
-BLOCKS = "doc long, tkey long, blocks array<struct<first:int,last:int,doc_id:long>>"
+BLOCKS = "doc long, tkey long, first int, last int, doc_id long"
+MERGED = "doc long, tkey long, blocks array<struct<first:int,last:int,doc_id:long>>"
+_ROWS = 100_000  # rows given back at a time
 
 
 def windows(lines: list[str], min_words: int) -> list[tuple[int, int]]:
@@ -58,21 +69,28 @@ def _hash(lines: list[str]) -> tuple[int, int]:
     return h >> 64, h & (1 << 64) - 1
 
 
+def _rows_of(doc, tkey, text: str, min_words: int) -> Iterator[tuple]:
+    lines = [x.strip() for x in text.split("\n")]
+    hashes, words = [_hash([x]) for x in lines], [len(x.split()) for x in lines]
+    yield doc, tkey, -1, -1, 0, 0, False, 0, 0, np.array([(*h, n) for h, n in zip(hashes, words)], dtype=LINE).tobytes()
+    left = Counter(hashes)  # popped with a line's first place
+    for i, n in enumerate(words):
+        if n:
+            yield doc, tkey, i, i, *hashes[i], n >= min_words, left.pop(hashes[i], 0), n, None
+    for i, j in windows(lines, min_words):
+        if i < j:
+            yield doc, tkey, i, j, *_hash(lines[i:j + 1]), True, 0, 0, None
+
+
 def _windows(min_words: int):
+    cols = [c.split()[0] for c in WINDOWS.split(", ")]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out: list[tuple] = []
-            for doc, tkey, text in zip(pdf["doc"], pdf["tkey"], pdf["text"]):
-                lines = [x.strip() for x in text.split("\n")]
-                hashes, words = [_hash([x]) for x in lines], [len(x.split()) for x in lines]
-                whole = np.array([(*h, n) for h, n in zip(hashes, words)], dtype=LINE)
-                out.append((doc, tkey, -1, -1, 0, 0, False, whole.tobytes()))
-                out += [(doc, tkey, i, i, *hashes[i], False, None) for i, n in enumerate(words) if 0 < n < min_words]
-                for i, j in windows(lines, min_words):
-                    out.append((doc, tkey, i, j, *(hashes[i] if i == j else _hash(lines[i:j + 1])), True, None))
+        rows = (r for pdf in batches for d in zip(pdf["doc"], pdf["tkey"], pdf["text"]) for r in _rows_of(*d, min_words))
+        while out := list(islice(rows, _ROWS)):
             got = np.array([x[4:6] for x in out], dtype=np.uint64).reshape(-1, 2).view(np.int64)
-            frame = pd.DataFrame([x[:4] for x in out], columns=["doc", "tkey", "first", "last"])
-            yield frame.assign(w1=got[:, 0], w2=got[:, 1], run=[x[6] for x in out], lines=[x[7] for x in out])
+            frame = pd.DataFrame([x[:4] + x[6:] for x in out], columns=cols[:4] + cols[6:])
+            yield frame.assign(w1=got[:, 0], w2=got[:, 1])[cols]
 
     return run
 
@@ -92,13 +110,6 @@ def chain(places: list[int]) -> list[int]:
     return out[::-1]
 
 
-def align(matches: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Blocks (first, last) of the later document that are shared runs of enough words by themselves,
-    from (first line, last line, first line in the earlier document). They go wherever they stand
-    there, so moved and repeated passages do: what is in order is up to ``aligned_blocks``."""
-    return merged([(first, last) for first, last, _ in matches])
-
-
 def merged(blocks: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Disjoint blocks in order; those that overlap become one."""
     out: list[tuple[int, int]] = []
@@ -165,35 +176,55 @@ def aligned_blocks(mine: list, words: list[int], theirs: list, min_words: int) -
 
 
 def _aligned(min_words: int):
-    """For each later document: its common blocks with every document it is paired with. The rows
-    come sorted by document, its own lines first, then by the document it is paired with."""
-    cols = ["doc", "tkey", "odoc", "okey", "first", "last", "ofirst", "lines"]
-
+    """The common blocks of each pair of documents."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = (r for pdf in batches for r in zip(*[pdf[c].tolist() for c in cols]))
-        out: list[tuple] = []
-        for key, mine in groupby(rows, key=lambda r: r[:2]):
-            own, blocks = _sequence(next(mine)[7]), []
-            for owner, pair in groupby(mine, key=lambda r: r[2:4]):
-                runs, theirs = [], None
-                for *_, first, last, ofirst, lines in pair:
-                    if first < 0:
-                        theirs = lines
-                    else:
-                        runs.append((first, last, ofirst))
-                found = align(runs) + aligned_blocks(*own, _sequence(theirs)[0], min_words)
-                blocks += [{"first": a, "last": b, "doc_id": owner[0]} for a, b in merged(found)]
-            if blocks:
-                out.append((*key, blocks))
-            if len(out) == 1000:
-                yield pd.DataFrame(out, columns=["doc", "tkey", "blocks"])
-                out = []
-        yield pd.DataFrame(out, columns=["doc", "tkey", "blocks"])
+        for pdf in batches:
+            out: list[tuple] = []
+            for doc, tkey, other, mine, theirs in zip(*[pdf[c].tolist() for c in ("doc", "tkey", "odoc", "lines", "olines")]):
+                found = aligned_blocks(*_sequence(mine), _sequence(theirs)[0], min_words)
+                out += [(doc, tkey, first, last, other) for first, last in found]
+            yield pd.DataFrame(out, columns=["doc", "tkey", "first", "last", "doc_id"])
 
     return run
 
 
-def common_blocks(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _together(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """All blocks of a document in one row, those of each other document merged. The rows come sorted by both."""
+    rows = (r for pdf in batches for r in zip(*[pdf[c].tolist() for c in ("doc", "tkey", "doc_id", "first", "last")]))
+    whole = ((*key, [{"first": a, "last": b, "doc_id": other} for other, part in groupby(mine, key=lambda r: r[2])
+                     for a, b in merged([r[3:] for r in part])]) for key, mine in groupby(rows, key=lambda r: r[:2]))
+    while out := list(islice(whole, 1000)):
+        yield pd.DataFrame(out, columns=["doc", "tkey", "blocks"])
+
+
+def meeting_pairs(hits: DataFrame, rare: int) -> DataFrame:
+    """(doc, tkey, odoc, okey) of the later and the earlier document of every pair to look at: an owner with each
+    later holder, and all holders of a rare line with each other."""
+    owned = hits.where("doc > odoc").select("doc", "tkey", "odoc", "okey")
+    few = hits.where((F.col("n") > 0) & (F.col("holders") <= rare)).groupBy("w1", "w2").agg(F.collect_set(F.struct("doc", "tkey")).alias("d"))
+    one = few.select("d", F.explode("d").alias("x"))
+    met = one.select("x.*", F.explode(F.filter("d", lambda y: y["doc"] < F.col("x.doc"))).alias("y"))
+    return owned.union(met.select("doc", "tkey", "y.doc", "y.tkey")).distinct()
+
+
+def sharing_pairs(pairs: DataFrame, hits: DataFrame, min_words: int) -> DataFrame:
+    """The pairs whose common lines have ``min_words`` words; a line counts as often as both documents have it."""
+    lines = materialize(hits.where("n > 0").select("doc", "tkey", "w1", "w2", "n", "words"), "shared-lines")
+    sizes = materialize(lines.groupBy("doc", "tkey").agg(F.count("*").alias("size")), "shared-sizes")
+    size = lambda doc, key, name: sizes.withColumnsRenamed({"doc": doc, "tkey": key, "size": name})
+    sized = pairs.join(size("doc", "tkey", "mine"), ["doc", "tkey"]).join(size("odoc", "okey", "theirs"), ["odoc", "okey"])
+    # each pair is looked up from the document with fewer such lines: a long one is not sent to everybody who has its title
+    small = F.col("mine") <= F.col("theirs")
+    pick = lambda a, b, name: F.when(small, F.col(a)).otherwise(F.col(b)).alias(name)
+    asked = sized.select("doc", "tkey", "odoc", "okey", pick("doc", "odoc", "sdoc"), pick("tkey", "okey", "skey"),
+                         pick("odoc", "doc", "ldoc"), pick("okey", "tkey", "lkey"))
+    asked = asked.join(lines.withColumnsRenamed({"doc": "sdoc", "tkey": "skey", "n": "sn"}), ["sdoc", "skey"])
+    both = asked.join(lines.drop("words").withColumnsRenamed({"doc": "ldoc", "tkey": "lkey", "n": "ln"}), ["ldoc", "lkey", "w1", "w2"])
+    words = both.groupBy("doc", "tkey", "odoc", "okey").agg(F.sum(F.least("sn", "ln").cast("long") * F.col("words")).alias("common"))
+    return words.where(F.col("common") >= min_words).drop("common")
+
+
+def common_blocks(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", rare: int = RARE) -> DataFrame:
     """(doc, tkey, blocks) of every document that repeats lines of an earlier one: blocks of
     line numbers and the document they were aligned with. tkey is the text's xxhash64."""
     ship(docs.sparkSession)
@@ -201,40 +232,35 @@ def common_blocks(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "do
         F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("tkey"), F.col(text_col).alias("text"))
     every = materialize(texts.mapInPandas(_windows(min_words), WINDOWS), "line-runs")
     found = every.where("first >= 0").drop("lines")
-    owner = F.min(F.struct("doc", "tkey", "first")).alias("o")
-    owners = found.groupBy("w1", "w2").agg(owner, F.max("doc").alias("high")).where(F.col("high") > F.col("o.doc"))
-    owners = materialize(owners.select("w1", "w2", F.col("o.doc").alias("odoc"), F.col("o.tkey").alias("okey"),
-                                       F.col("o.first").alias("ofirst")), "run-owners")
+    owners = found.groupBy("w1", "w2").agg(F.min(F.struct("doc", "tkey")).alias("o"), F.max("doc").alias("high"),
+                                           F.sum((F.col("n") > 0).cast("long")).alias("holders")).where(F.col("high") > F.col("o.doc"))
+    owners = owners.select("w1", "w2", F.col("o.doc").alias("odoc"), F.col("o.tkey").alias("okey"), "holders")
+    hits = materialize(found.join(owners, ["w1", "w2"]), "line-hits")
+    pairs = materialize(meeting_pairs(hits, rare), "document-pairs")
+    pairs = materialize(sharing_pairs(pairs, hits, min_words), "sharing-pairs")
     keys, okeys = ["doc", "tkey"], ["odoc", "okey"]
-    shared = found.join(owners, ["w1", "w2"]).where(F.col("doc") > F.col("odoc"))
-    shared = materialize(shared.select(*keys, *okeys, "first", "last", "ofirst", "run"), "line-pairs")
-    sequences = every.where("first < 0").select(*keys, "lines").dropDuplicates(keys)
-    sequences = materialize(sequences, "line-sequences")
-    # an owner of a frequent line is in many pairs: both sides are dealt for this join alone, so that partition can be split
-    theirs = shared.select(*keys, *okeys).distinct()
-    theirs = materialize(theirs, "document-pairs").join(sequences.select(F.col("doc").alias("odoc"), F.col("tkey").alias("okey"), "lines"), okeys)
-    none, nowhere = F.lit(None).cast("binary").alias("lines"), [F.lit(-1).alias(c) for c in ("first", "last", "ofirst")]
-    rows = shared.where("run").select(*keys, F.lit(1).alias("part"), *okeys, "first", "last", "ofirst", none)
-    rows = rows.unionByName(theirs.select(*keys, F.lit(1).alias("part"), *okeys, *nowhere, "lines"))
-    later = shared.select(*keys).distinct()
-    own = sequences.join(later, keys, "left_semi")
-    rows = rows.unionByName(own.select(*keys, F.lit(0).alias("part"), *[F.lit(0).cast("long").alias(c) for c in okeys], *nowhere, "lines"))
-    rows = rows.repartition(*keys).sortWithinPartitions(*keys, "part", *okeys)
-    return rows.mapInPandas(_aligned(min_words), BLOCKS)
-
-
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    sequences = materialize(every.where("first < 0").select(*keys, "lines").dropDuplicates(keys), "line-sequences")
+    # the owner of a frequent passage is in many pairs: both sides are dealt for each join alone, so its partition can be split
+    theirs = sequences.select(F.col("doc").alias("odoc"), F.col("tkey").alias("okey"), F.col("lines").alias("olines"))
+    aligned = pairs.join(sequences, keys).join(theirs, okeys).mapInPandas(_aligned(min_words), BLOCKS)
+    runs = hits.where(F.col("run") & (F.col("doc") > F.col("odoc"))).select(*keys, "first", "last", F.col("odoc").alias("doc_id"))
+    blocks = aligned.unionByName(runs).repartition(*keys).sortWithinPartitions(*keys, "doc_id")
+    return blocks.mapInPandas(_together, MERGED)
+
+
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", rare: int = RARE) -> DataFrame:
     """All columns of ``docs``, the text without its aligned common blocks, plus __blocks (array,
     NULL if none), __lines and __deleted (line counts) and __empty: every line with words is gone.
 
     "Earlier" is the smaller id. Lines are compared without surrounding white space; other
     lines keep their bytes. A deleted line is always still held by an earlier document.
+    ``rare``: rows that may hold a line for all their documents to be paired with each other.
     NULL, empty and word-less texts and NULL ids are left alone. Rows of one id are never
     compared with each other; repeated rows get the same result each. Lines stay where all
     that is aligned with one other document has fewer than ``min_words`` words, so headers and
     short phrases of clean documents do. An empty table gives an empty result.
     """
-    blocks = materialize(common_blocks(docs, min_words, id_col, text_col), "line-blocks")
+    blocks = materialize(common_blocks(docs, min_words, id_col, text_col, rare), "line-blocks")
     blocks = blocks.select(F.col("doc").alias("__doc"), F.col("tkey").alias("__tkey"), F.col("blocks").alias("__blocks"))
     # always dealt by document, so the plan is the same at every size and only this small side is held in memory
     df = docs.join(blocks.hint("shuffle_hash"), (F.col(id_col) == F.col("__doc")) & (F.xxhash64(text_col) == F.col("__tkey")), "left")

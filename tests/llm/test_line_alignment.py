@@ -57,3 +57,35 @@ def test_blocks_are_neighbours_in_both_without_blank_ends():
     words = [0 if x == "_" else 1 for x in mine]
     assert D.aligned_blocks(mine, words, theirs, 4) == [(0, 3), (5, 5)]
     assert D.aligned_blocks(mine, words, theirs, 5) == []
+
+
+def test_documents_meet_although_others_own_every_line(spark, docs_dir):
+    """Twelve earlier documents have one of the twelve shared lines each; the two that share all of them are paired."""
+    rng = random.Random(4)
+    shared = [sentence(rng, 5) for _ in range(12)]
+    mixed = lambda: "\n".join(x for s in shared for x in (sentence(rng, 6), s))
+    docs = [(i, f"{sentence(rng, 9)}\n{s}", "en", "a") for i, s in enumerate(shared)] + [(50, mixed(), "en", "a"), (60, mixed(), "en", "a")]
+    got = texts(spark, docs_dir(docs))
+    assert got[50] == docs[-2][1]
+    assert got[60] == "\n".join(x for x in docs[-1][1].split("\n") if x not in shared)
+
+
+def test_a_heading_moves_no_sequences(spark, make_docs):
+    """One line in all documents, the first of them very long: no pair shares enough words, so none is aligned."""
+    rng = random.Random(5)
+    long = "\n".join(["Contents", *[sentence(rng, 3) for _ in range(5000)]])
+    docs = make_docs([(0, long, "en", "a")] + [(i, f"Contents\n{sentence(rng, 12)}", "en", "a") for i in range(1, 400)])
+    seen = {}
+    real = D.sharing_pairs
+
+    def watch(pairs, hits, min_words):
+        seen["asked"], out = pairs.count(), real(pairs, hits, min_words)
+        seen["looked up"], seen["left"] = hits.where("n > 0").count(), out.count()
+        return out
+
+    D.sharing_pairs = watch
+    try:
+        assert D.dedup_lines(docs).where("__deleted > 0").count() == 0
+    finally:
+        D.sharing_pairs = real
+    assert seen == {"asked": 399, "looked up": 400, "left": 0}  # 400 rows of one line hash, not 399 times 5001 lines

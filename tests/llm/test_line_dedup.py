@@ -81,9 +81,9 @@ def test_chain_is_the_longest_ascending_one():
     assert len(got_places) == 4 and got_places == sorted(set(got_places))
 
 
-def test_alignment_takes_moved_blocks_too():
-    assert D.align([(0, 1, 10), (2, 3, 0)]) == [(0, 1), (2, 3)]
-    assert D.align([(0, 1, 10), (1, 2, 11), (7, 8, 10)]) == [(0, 2), (7, 8)]
+def test_merged_blocks_are_disjoint():
+    assert D.merged([(2, 3), (0, 1)]) == [(0, 1), (2, 3)]
+    assert D.merged([(0, 1), (1, 2), (7, 8)]) == [(0, 2), (7, 8)]
 
 
 def test_removed_flag_needs_words(spark, make_docs):
