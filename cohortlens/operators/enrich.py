@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.functions.clocks import cal_month, calendar_x, user_month, user_x
-from cohortlens.operators.skew import salted_join
+from cohortlens.operators.skew import ROW, numbered, salted_join
 from cohortlens.spec import CohortSpec
 
 META_COLUMNS = (
@@ -63,7 +63,10 @@ def enrich_posts(
     spec: CohortSpec,
     skew: dict | None = None,
 ) -> DataFrame:
-    """The wide post table: posts ⋈ users ⋈ subreddits plus both clocks."""
+    """The wide post table: posts ⋈ users ⋈ subreddits plus both clocks. With ``skew`` the posts are
+    numbered once, in their scan, and both joins salt by that number."""
+    if skew is not None:
+        posts, skew = numbered(posts), {**skew, "row": ROW}
     with_user = attach_users(posts, users, skew)
     s = subreddits.select(
         "subreddit", F.col("min_created_utc").alias("s_min_created_utc"), F.col("n_posts").alias("s_posts")

@@ -17,9 +17,11 @@ shuffle, replicated ``LOOKUPS`` times and read by that many parts of each key, s
 up the salts is spread as well.
 
 No row is dropped or sampled; the result equals the plain inner join. How many hot keys
-there are is counted over the dimension when the plan is built. The fact side must be a
-scan with narrow steps on top (a saved table): then a retried task numbers its rows the
-same way.
+there are is counted over the dimension when the plan is built. Rows are numbered by
+``numbered`` on a scan with narrow steps on top (a saved table), where a retried task
+numbers its rows the same way. Behind a shuffle it would not: rows arrive in another order
+after a lost executor, and a recomputed map task could salt them differently. So a second
+join takes the numbers of the first scan along (``row``).
 """
 
 from __future__ import annotations
@@ -30,9 +32,15 @@ from pyspark.sql import functions as F
 SALT = "_salt"
 N_SALTS = "_n_salts"
 LOOK = "_look"
+ROW = "_row"
 LOOKUPS = 64
 
 
+def numbered(scan: DataFrame) -> DataFrame:
+    """A saved table with a number for each row (column ``_row``), the same whenever a task is run again."""
+    return scan.withColumn(ROW, F.monotonically_increasing_id())
+
+
 def hot_keys(dim: DataFrame, key: str, weight: str, rows_per_task: int) -> DataFrame:
     """(key, _n_salts) for all keys heavier than ``rows_per_task``."""
     return dim.where(F.col(weight) > rows_per_task).select(
@@ -47,23 +55,27 @@ def salted_join(
     weight: str,
     rows_per_task: int = 4_000_000,
     max_hot: int = 10_000,
+    row: str | None = None,
 ) -> DataFrame:
     """Inner join ``big`` with ``dim`` on ``key`` (N:1), splitting heavy keys.
 
+    ``row``: the column of ``big`` that numbers its rows (kept in the result); None: ``big``
+    is a scan with narrow steps and is numbered here.
+
     ``dim`` must have one row per key and a column ``weight`` = rows of ``big`` per key
     (an upper bound is enough).
     """
     hot = hot_keys(dim, key, weight, rows_per_task)
-    row = F.monotonically_increasing_id()
-    numbered = big.withColumn("_row", row)
+    rows = big if row else numbered(big)
+    number = F.col(row or ROW)
     if hot.count() <= max_hot:
-        looked_up = numbered.join(F.broadcast(hot), key, "left")
+        looked_up = rows.join(F.broadcast(hot), key, "left")
         known = dim.join(F.broadcast(hot), key, "left")
     else:
         copies = hot.withColumn(LOOK, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(LOOKUPS - 1).cast("long"))))
-        looked_up = numbered.withColumn(LOOK, F.pmod(F.col("_row"), F.lit(LOOKUPS).cast("long"))).join(copies, [key, LOOK], "left")
+        looked_up = rows.withColumn(LOOK, F.pmod(number, F.lit(LOOKUPS).cast("long"))).join(copies, [key, LOOK], "left")
         known = dim.join(hot, key, "left")
     n_salts = F.coalesce(F.col(N_SALTS), F.lit(1))
-    big_s = looked_up.select(*big.columns, F.pmod(F.col("_row"), n_salts.cast("long")).cast("int").alias(SALT))
+    big_s = looked_up.select(*big.columns, F.pmod(number, n_salts.cast("long")).cast("int").alias(SALT))
     dim_s = known.select(*dim.columns, F.explode(F.sequence(F.lit(0), n_salts - 1)).alias(SALT))
     return big_s.join(dim_s, [key, SALT]).drop(SALT)

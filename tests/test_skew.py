@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from cohortlens.operators.skew import N_SALTS, hot_keys, salted_join
+from cohortlens.operators.enrich import enrich_posts
+from cohortlens.operators.skew import N_SALTS, ROW, SALT, hot_keys, numbered, salted_join
 from tests.conftest import rows
 
 
@@ -80,3 +81,24 @@ def test_no_hot_key(spark):
     big, dim = _frames(spark)
     joined = salted_join(big, dim, "k", "w", rows_per_task=10_000, max_hot=10)
     assert rows(joined, "k", "v", "w", "first") == rows(big.join(dim, "k"), "k", "v", "w", "first")
+
+
+def test_salts_do_not_depend_on_the_order_behind_a_shuffle(spark):
+    """Rows that reach the second join in any order, as after a lost executor, get the salts of their first scan."""
+    big, dim = _frames(spark)
+    scan = spark.createDataFrame(numbered(big).collect(), "k string, v long, _row long")
+    salts = []
+    for n in (3, 7):
+        shuffled = scan.repartition(n, F.rand(n))
+        joined = salted_join(shuffled, dim, "k", "w", rows_per_task=100, row=ROW)
+        assert joined.count() == 3000 and "monotonically_increasing_id" not in joined._jdf.queryExecution().optimizedPlan().toString()
+        salts.append(rows(joined.select("v", F.pmod(F.col(ROW), F.ceil(F.col("w") / 100)).alias(SALT)), "v", SALT))
+    assert salts[0] == salts[1]
+
+
+def test_enriched_posts_are_numbered_once_in_their_scan(spark, small_community):
+    c = small_community
+    for skew in ({}, {"rows_per_task": 50, "max_hot": 10}):
+        df = enrich_posts(c.posts, c.users, c.subreddits, c.spec, skew)
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("monotonically_increasing_id") == 1
+        assert ROW not in df.columns and rows(df) == rows(enrich_posts(c.posts, c.users, c.subreddits, c.spec, None))
