@@ -21,6 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -28,8 +29,8 @@ from cohortlens.llm import quotient as Q
 from cohortlens.llm.common import materialize, rows_per_bucket, runs, ship
 from cohortlens.llm.running import running_before
 
-CHUNK = 1 << 20  # words of a chunk; a longer document is one chunk
-FILTER = 1 << 21  # phrases that a filter counts before it is handed on, or one chunk's if more
+CHUNK = 1 << 21  # words of a chunk; a longer document is one chunk
+FILTER = 1 << 22  # phrases that a filter counts before it is handed on, or one chunk's if more
 SHARD = 1 << 21  # phrases, repeated ones included, for which a range of quotients is laid out
 BREAK = -1
 CHUNKS = "chunk long, place int, lang string, word string, n long, ids binary"
@@ -62,6 +63,17 @@ def tokens(text: str) -> list[bytes]:
     return [w for w in data.split(b" ") if w]
 
 
+def squeezed(places: list[int]) -> bytes:
+    """Places of a dictionary in little space: the bytes of equal weight stand together, most of the upper ones are zero."""
+    planes = np.array(places, dtype="<i4").view(np.uint8).reshape(-1, 4).T
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def unsqueezed(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<i4").reshape(-1)
+
+
 def _chunked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     base, seq = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32, 0
     index, places = {}, []
@@ -74,7 +86,7 @@ def _chunked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             keys = list(index)[k:k + 50_000]
             yield pd.DataFrame({"chunk": chunk, "place": np.arange(k, k + len(keys), dtype=np.int32), "lang": [x[0] for x in keys],
                                 "word": [x[1].decode("utf-8", "surrogatepass") for x in keys], "n": n[k:k + len(keys)].astype(np.int64), "ids": None})
-        yield pd.DataFrame({"chunk": [chunk], "place": [BREAK], "lang": [None], "word": [None], "n": [None], "ids": [ids.tobytes()]})
+        yield pd.DataFrame({"chunk": [chunk], "place": [BREAK], "lang": [None], "word": [None], "n": [None], "ids": [squeezed(places)]})
 
     for pdf in batches:
         for lang, text in zip(pdf["lang"], pdf["text"]):
@@ -111,7 +123,7 @@ def _filters(most: int, width: int, bits: int):
             return pd.DataFrame({"prefix": [p for p, _ in blocks], "filter": (part << 20) + number, "block": [b for _, b in blocks]})
 
         for pdf in runs(batches, "chunk"):
-            places = np.frombuffer(pdf["ids"].iloc[0], "<i4")
+            places = unsqueezed(pdf["ids"].iloc[0])
             ids = np.zeros(int(places.max(initial=-1)) + 2, np.int64)  # the last entry is that of a break
             ids[pdf["place"].to_numpy()[1:]] = pdf["id"].to_numpy()[1:]
             found = Q.pack(grams(ids[places], most), width)

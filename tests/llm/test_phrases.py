@@ -104,3 +104,8 @@ def test_scores_are_exact_beyond_64_bits(spark):
 def test_tokens():
     assert P.tokens("Ab\tcD, e\r\nÄ") == [b"ab", b"cd", b"\n", b"e", b"\n", b"\n", "Ä".encode()]
     assert P.tokens("") == [] and P.tokens(" . ") == [b"\n"]
+
+
+def test_places_come_back():
+    for places in ([], [P.BREAK], [0, 1, 70_000, P.BREAK, 1 << 24]):
+        assert P.unsqueezed(P.squeezed(places)).tolist() == places
