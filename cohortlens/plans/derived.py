@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from cohortlens.functions.clocks import cal_year, calendar_x, ratio, user_x
 from cohortlens.functions.names import drop_reason
 from cohortlens.operators.clean import union_raw
+from cohortlens.operators.heavy import top_keys
 from cohortlens.operators.series import as_series, normalize, ordered
 from cohortlens.plans.analyses import (
     active_counts,
@@ -124,14 +125,11 @@ def heavy_authors(c: Community, k: int = 20) -> DataFrame:
     """The k authors with the most raw posts (before cleaning), ties by name, with their
     share of all raw posts.
 
-    One pass over the raw logs counts posts per author (NULL too); the total and a top-k
-    that keeps k rows per task are then taken from the counts, which a materializing
-    community saves; the limit is the report itself."""
+    The authors of a bounded sketch are counted exactly; where that does not prove the top k, all
+    authors are (``operators/heavy.py``). The limit is the report itself."""
     raw = union_raw(c.raw_comments, c.raw_submissions)
-    counts = c._keep(raw.groupBy("author").agg(F.count(F.lit(1)).alias("n_posts")), "author-counts")
-    total = counts.agg(F.sum("n_posts")).scalar()
-    top = counts.where(F.col("author").isNotNull()).orderBy(F.desc("n_posts"), F.asc("author")).limit(k)
-    return top.select("author", "n_posts", ratio(F.col("n_posts"), total).alias("share"))
+    top, total, _ = top_keys(raw.select("author"), "author", k)
+    return top.select("author", F.col("n").alias("n_posts"), ratio(F.col("n"), F.lit(total)).alias("share"))
 
 
 def simpson_check(series: DataFrame) -> DataFrame:

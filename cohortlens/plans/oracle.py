@@ -11,6 +11,7 @@ from __future__ import annotations
 from cohortlens.spec import FIXTURE, YEAR_S
 
 S = FIXTURE
+THRESHOLD = 250  # of the active_threshold query
 O, M, Y, B = S.origin, S.month_s, S.year_s, S.base_year
 SEL = ", ".join(str(y) for y in S.selected_cohorts)
 
@@ -414,5 +415,20 @@ FROM counts""",
 }
 
 
+MAINTAINED = {
+    "active_threshold": with_base("""v AS (
+  SELECT 'users' AS kind, cal_month, author AS v FROM meta UNION ALL SELECT 'subreddits', cal_month, subreddit FROM meta)""",
+                                  """k AS (
+  SELECT 'month' AS grain, kind, cal_month AS period, count(DISTINCT v) AS k FROM v GROUP BY kind, cal_month
+  UNION ALL SELECT 'year', kind, cal_month // 12, count(DISTINCT v) FROM v GROUP BY kind, cal_month // 12)""")
+    + f"""
+SELECT grain, kind, CAST(period AS BIGINT) AS period, k <= {THRESHOLD} AS exact, CASE WHEN k <= {THRESHOLD} THEN k END AS n, TRUE AS within FROM k""",
+    "incremental_users": with_base() + "SELECT author, min_created_utc, year, time_active, time_active // " + str(Y) + """ AS survival,
+       (SELECT count(*) FROM posts p WHERE p.author = users.author) AS n_posts FROM users""",
+    "incremental_user_cells": BLOCKS["user_cells"],
+    "truncate_from_itself": with_base() + f"SELECT author, min_created_utc, year, time_active FROM users WHERE time_active >= {Y}",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {**BLOCKS, **Q, **DERIVED}
+    return {**BLOCKS, **Q, **DERIVED, **MAINTAINED}

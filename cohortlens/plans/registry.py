@@ -14,6 +14,7 @@ from cohortlens.plans.analyses import ANALYSES
 from cohortlens.plans.blocks import BLOCKS
 from cohortlens.plans.derived import DERIVED
 from cohortlens.plans.community import Community
+from cohortlens.plans.maintained import MAINTAINED
 from cohortlens.session import input_bytes, tune
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,6 +49,6 @@ def _on_community(fn, **kw) -> Query:
 
 def queries() -> dict[str, Query]:
     out: dict[str, Query] = {}
-    for name, fn in {**BLOCKS, **ANALYSES, **DERIVED}.items():
+    for name, fn in {**BLOCKS, **ANALYSES, **DERIVED, **MAINTAINED}.items():
         out[name] = _on_community(fn)
     return out
