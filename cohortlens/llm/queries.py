@@ -15,7 +15,7 @@ from cohortlens.llm.line_dedup import dedup_lines
 from cohortlens.llm.mixing import Mix, narrow, weighted_fair_mix
 from cohortlens.llm.packing import packed_documents
 from cohortlens.llm.records import read_records, write_records
-from cohortlens.llm.sharding import hilbert_shards, text_code
+from cohortlens.llm.sharding import hilbert_shards
 from cohortlens.llm.simhash import simhash_groups
 from cohortlens.llm import text_queries
 from cohortlens.llm.topk import top_k
@@ -43,7 +43,7 @@ def op3_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents", "doc_id", "text", "source", "lang")
     rows = materialize(docs.select("doc_id", (utf8_bytes(docs["text"]) + 1).alias("size"), crc32_of(docs["text"]).alias("text_crc32"),
                                    "source", "lang"), "shard-rows")  # the text itself is read once and never shuffled
-    dims = {"source": text_code(rows["source"]), "lang": text_code(rows["lang"]), "size": rows["size"].cast("double")}
+    dims = {"source": rows["source"], "lang": rows["lang"], "size": rows["size"].cast("double")}
     out = hilbert_shards(rows, dims, F.xxhash64("doc_id", "text_crc32"), rows["size"], n_shards=8, law="rows")
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
                       F.lit(None).cast("int").alias("grown_shard"), "hilbert")

@@ -9,16 +9,22 @@ most files.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StringType
 
-from cohortlens.llm.common import rows_per_bucket
+from cohortlens.llm.common import materialize, rows_per_bucket
 from cohortlens.llm.running import running_before, spread
 
 BITS = 4  # steps per dimension as a power of two: 16
 
 
-def text_code(c: Column) -> Column:
-    """Order-preserving number of a text's first six bytes, for quantile cuts; NULL stays NULL."""
-    return F.conv(F.hex(F.rpad(F.substring(c.cast("binary"), 1, 6), 6, F.lit(b"\x00"))), 16, 10).cast("double")
+def text_steps(df: DataFrame, name: str, steps: int) -> DataFrame:
+    """(name, __step) of every different non-null text of a column: which ``steps``-th of the rows its middle row lies in,
+    in order of the whole texts. Rows are counted per text first and only those counts are ordered."""
+    counts = df.where(F.col(name).isNotNull()).groupBy(name).agg(F.count(F.lit(1)).alias("__n"))
+    counts = materialize(counts.repartitionByRange(name).withColumn("__part", F.spark_partition_id()), "shard-texts")
+    total = counts.agg(F.sum("__n")).first()[0] or 1
+    ranked = running_before(counts, None, "__part", [F.col(name)], {"__before": F.col("__n")})
+    return materialize(ranked.select(name, F.expr(f"cast((2 * __before + __n) * {steps} div {2 * total} as int)").alias("__step")), "shard-steps")
 
 
 def hilbert_index(coords: Column, dims: int, bits: int) -> Column:
@@ -52,7 +58,7 @@ def hilbert_shards(df: DataFrame, dims: dict[str, Column], key: Column, size: Co
                    bits: int = BITS, law: str = "rows") -> DataFrame:
     """All columns of ``df`` plus hilbert (long), shard (int) and slot (long).
 
-    ``dims`` are numeric expressions (``text_code`` for texts), NULL in the lowest step;
+    ``dims`` are texts or numeric expressions, each cut into steps of about equal row counts, NULL in the lowest step;
     ``key`` is a non-null long that spreads rows evenly inside a cell. ``law`` is "rows" (shard counts at most one
     apart) or "bytes" (shards end as near as whole rows allow to equal totals of ``size``, a
     positive long). A cell with many rows (a hot source) is cut into buckets by ``key``; only
@@ -65,11 +71,14 @@ def hilbert_shards(df: DataFrame, dims: dict[str, Column], key: Column, size: Co
     steps, names = 1 << bits, [f"__d{i}" for i in range(len(dims))]
     df = df.drop("hilbert", "shard", "slot").withColumns(
         {**dict(zip(names, dims.values())), "__size": size, "__key": key})
+    texts = [c for c in names if isinstance(df.schema[c].dataType, StringType)]
     cuts_at = [k / steps for k in range(1, steps)]
     stats = df.agg(F.count(F.lit(1)).alias("n"), F.sum("__size").alias("bytes"),
-                   *[F.percentile_approx(c, cuts_at, 10000).alias(c) for c in names]).first()  # one row of bounded size
+                   *[F.percentile_approx(c, cuts_at, 10000).alias(c) for c in names if c not in texts]).first()  # one row of bounded size
     n, total = stats["n"], stats["bytes"] or 0
-    step = {c: sum([F.when(F.col(c) > F.lit(v), 1).otherwise(0) for v in stats[c] or []], F.lit(0)) for c in names}
+    for c in texts:
+        df = df.join(text_steps(df, c, steps), c, "left").drop(c).withColumn(c, F.coalesce("__step", F.lit(0))).drop("__step")
+    step = {c: F.col(c) if c in texts else sum([F.when(F.col(c) > F.lit(v), 1).otherwise(0) for v in stats[c] or []], F.lit(0)) for c in names}
     cell = F.lit(0)
     for c in names:
         cell = cell * steps + step[c]
@@ -102,7 +111,7 @@ def document_shards(docs: DataFrame, n_shards: int = 8, law: str = "rows") -> Da
     (needs doc_id, text, source, lang) plus hilbert, shard and slot. NULLs sort lowest; a
     NULL text has no bytes."""
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1
-    dims = {"source": text_code(F.col("source")), "lang": text_code(F.col("lang")), "size": size.cast("double")}
+    dims = {"source": F.col("source"), "lang": F.col("lang"), "size": size.cast("double")}
     return hilbert_shards(docs, dims, F.xxhash64("doc_id", F.coalesce(F.col("text"), F.lit(""))), size, n_shards, law=law)
 
 

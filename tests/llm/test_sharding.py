@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortlens.llm.queries import op3_hilbert_sharding
-from cohortlens.llm.sharding import document_shards, hilbert_index, write_shards
+from cohortlens.llm.sharding import document_shards, hilbert_index, text_steps, write_shards
 
 
 @pytest.mark.parametrize("dims,bits", [(2, 1), (2, 3), (3, 2), (3, 3)])
@@ -69,3 +69,22 @@ def test_files_are_narrow_in_every_dimension(spark, make_docs, tmp_path):
     assert back.count() == 2000 and set(docs.columns) <= set(back.columns)
     langs = back.groupBy("shard").agg(F.countDistinct("lang").alias("l"), F.countDistinct("source").alias("s")).collect()
     assert sum(r["l"] for r in langs) < 4 * 8 * 0.8 and sum(r["s"] for r in langs) < 16 * 8 * 0.8
+
+
+def sources_per_shard(docs):
+    rows = document_shards(docs, 8).groupBy("shard").agg(F.countDistinct("source").alias("s")).collect()
+    return sum(r["s"] for r in rows) / 8
+
+
+@pytest.mark.parametrize("name", ["common_crawl_{}", "{}_common_crawl", "https://example.org/a/very/long/path/{}"])
+def test_sources_with_a_long_common_prefix_are_told_apart(make_docs, name):
+    docs = [(i, "x" * (i * 7919 % 1000), ["de", "en", "fr", "it"][i % 4], name.format("abcdefgh"[i * 31 % 8])) for i in range(1600)]
+    assert sources_per_shard(make_docs(docs)) <= 4
+
+
+def test_steps_follow_the_rows_of_each_text(spark, make_docs):
+    docs = make_docs([(i, "t", "en", "hot" if i < 500 else f"s{i % 100:03d}" if i < 980 else None) for i in range(1000)])
+    steps = {r["source"]: r["__step"] for r in text_steps(docs, "source", 16).collect()}
+    assert None not in steps and steps["hot"] == 4 and min(steps.values()) == 4 and max(steps.values()) == 15 and len(steps) == 101
+    assert [steps[k] for k in sorted(steps)] == sorted(steps.values())
+    assert text_steps(make_docs([]), "source", 16).count() == 0
