@@ -14,9 +14,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from cohortlens.llm.common import ship
+from cohortlens.llm.common import materialize, ship
 
 DIM_BITS = 15
 DIM = 1 << DIM_BITS
@@ -24,6 +24,8 @@ GRAMS = 3
 CHUNK = 1 << 20  # characters hashed at a time, so memory does not grow with a text
 UNDETERMINED = "und"
 ENOUGH = 120  # n-grams from which on a text is judged to be in none of the learned languages
+MOST_LANGS = 2000  # a dense weight table of so many has 256 MB
+LEAST_TEXTS = 20  # of a language, however many there are
 RARE = 0.001  # features in a smaller share of the training documents, and without weights, are unknown
 UNKNOWN = 0.08  # a text may have this share of unknown n-grams, or more where clean texts have
 
@@ -170,20 +172,34 @@ def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["lang", "features", "counts"])
 
 
-def train(docs: DataFrame, learn: Column, text_col: str = "text", lang_col: str = "lang", sample_rows: int = 2000,
-          max_langs: int = 256) -> Model | None:
+def sample_texts(rows: DataFrame, sample_rows: int, least: int = LEAST_TEXTS) -> tuple[list[str], DataFrame]:
+    """All languages of ``rows`` (lang, text), and of each the different texts with the smallest hashes: an equal share of
+    ``sample_rows``, ``least`` at least, or all it has. How often a text is repeated makes no difference."""
+    keyed = rows.withColumn("h", F.shiftrightunsigned(F.xxhash64("text"), 11))
+    keys = materialize(keyed.select("lang", "h").distinct(), "text-hashes")
+    number = {r["lang"]: r["n"] for r in keys.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy("lang").limit(MOST_LANGS + 1).collect()}
+    if len(number) > MOST_LANGS:
+        raise ValueError(f"more than {MOST_LANGS} languages to learn: the weights of all would not fit into a task")
+    share = max(least, -(-sample_rows // max(1, len(number))))
+    # about four times the share by hash before any ranking, so that no language is sorted as a whole
+    rate = F.create_map(*[x for k, n in number.items() for x in (F.lit(k), F.lit(int(min(1.0, 4 * share / n) * (1 << 53))))]) if number else F.create_map()
+    near = keys.where(F.col("h") <= F.try_element_at(rate, F.col("lang"))) if number else keys
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    chosen = near.withColumn("k", rank).where(F.col("k") <= share).select("lang", "h")  # share rows a language: bounded
+    return list(number), keyed.join(F.broadcast(chosen), ["lang", "h"]).dropDuplicates(["lang", "h"]).select("lang", "text")
+
+
+def train(docs: DataFrame, learn: Column, text_col: str = "text", lang_col: str = "lang", sample_rows: int = 2000) -> Model | None:
     """Fit on the rows where ``learn`` holds, with text and a language; None if there are none.
 
-    ``sample_rows`` (about; twice that at most) bounds the labelled documents the weights are
-    fitted on: an equal share for every language, chosen by a hash of the text. Document
-    frequencies cover every training document. Texts without a letter teach nothing. At most
-    ``max_langs`` languages, those with the most documents, are learned.
+    Every language is learned (more than ``MOST_LANGS`` raise a ValueError). The weights are fitted on a bounded sample of
+    different texts, about ``sample_rows`` in equal shares for all languages, but ``LEAST_TEXTS`` of each. Document
+    frequencies cover every training document. Texts without a letter teach nothing.
     """
     ship(docs.sparkSession)
     rows = docs.where(learn).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null")
-    langs = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs)
-    langs = {r["lang"]: r["n"] for r in langs.collect()}
-    if not langs:
+    names, sample = sample_texts(rows, sample_rows)
+    if not names:
         return None
     freq = rows.select("text").mapInPandas(_frequencies, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n"))
     freq = freq.toPandas()  # DIM + 1 rows at most
@@ -192,10 +208,6 @@ def train(docs: DataFrame, learn: Column, text_col: str = "text", lang_col: str
     seen = freq[freq["feature"] >= 0]
     df[seen["feature"].to_numpy()] = seen["n"].to_numpy()
     idf = np.log((1 + n_docs) / (1 + df)) + 1
-    names, share = sorted(langs), sample_rows / len(langs)
-    part = F.create_map(*[x for k, n in langs.items() for x in (F.lit(k), F.lit(min(1.0, share / n)))])
-    u = F.shiftrightunsigned(F.xxhash64("text"), 11) / F.lit(float(1 << 53))
-    sample = rows.where(u < F.try_element_at(part, F.col("lang"))).limit(2 * sample_rows)
     data = sample.mapInPandas(_features, "lang string, features binary, counts binary").toPandas()
     data = data.sort_values(["lang", "features", "counts"])  # the same order whatever the tasks' order
     fit, kept, times = [], [], []

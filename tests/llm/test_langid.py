@@ -87,7 +87,70 @@ def test_sample_is_bounded_and_frequencies_are_not(spark, make_docs):
     assert model.idf.min() == pytest.approx(1.0, abs=1e-6)  # in all 400 documents, not only in the sample
 
 
-def test_only_the_most_frequent_languages_are_learned(spark, make_docs):
-    docs = make_docs([(i, f"text {'abc'[i % 3] * 4}", ["en", "en", "de", "fr"][i % 4] if i else "xx", "a") for i in range(80)])
-    assert L.train(docs, F.lit(True), max_langs=2).langs == ["de", "en"]  # ties by name
-    assert L.train(docs, F.lit(True), max_langs=9).langs == ["de", "en", "fr", "xx"]
+def test_every_language_is_learned(spark, make_docs, monkeypatch):
+    letters = "abcdefghijklmnopqrst"
+    word = lambda k: letters[k % 20] + letters[k // 20] + letters[(k * 7) % 20]
+    docs = make_docs([(k * 30 + i, f"{word(k)} {word(k)}{i} {letters[i % 20]}{word(k)}", f"lang{k:03d}", "a") for k in range(300) for i in range(30)])
+    model = L.train(docs, F.lit(True), sample_rows=2000)
+    assert model.langs == [f"lang{k:03d}" for k in range(300)]
+    got = docs.where("doc_id % 30 = 0").select("lang", L.predict(model, F.col("text")).alias("p")).where("lang = p.lang").count()
+    assert got > 285
+    monkeypatch.setattr(L, "MOST_LANGS", 299)
+    with pytest.raises(ValueError, match="299 languages"):
+        L.train(docs, F.lit(True))
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_a_language_of_a_few_copied_texts_is_learned(spark, make_docs, seed):
+    """20,000 rows of ten texts: all of them are in the sample, whatever their hashes."""
+    copied = [f"кот {seed} и {k} шляпа {chr(0x430 + k)}{chr(0x440 - k)}" for k in range(10)]
+    docs = make_docs([(i, f"the cat number {i * 31 % 977} sat on hat {seed}", "en", "a") for i in range(3000)])
+    more = spark.range(20_000).select(F.col("id").alias("doc_id"), F.get(F.array(*map(F.lit, copied)), F.col("id") % 10).alias("text"), F.lit("ru").alias("lang"))
+    docs = docs.select("doc_id", "text", "lang").unionByName(more)
+    model = L.train(docs, F.lit(True), sample_rows=2000)
+    assert model.langs == ["en", "ru"]
+    assert more.dropDuplicates(["text"]).select(L.predict(model, F.col("text")).alias("p")).where("p.lang = 'ru'").count() == 10
+
+
+def test_the_sample_has_the_smallest_hashes_of_different_texts(spark, make_docs):
+    docs = make_docs([(i, f"text {i % 500}", "en", "a") for i in range(2000)] + [(i, f"mot {i % 7}", "fr", "a") for i in range(700)])
+    names, sample = L.sample_texts(docs.select("lang", "text"), 100, least=5)
+    rows = [tuple(r) for r in sample.collect()]
+    assert names == ["en", "fr"] and len(rows) == len(set(rows)) == 57 and sum(r[0] == "fr" for r in rows) == 7
+    order = docs.where("lang = 'en'").select("text").distinct().orderBy(F.shiftrightunsigned(F.xxhash64("text"), 11)).limit(50)
+    assert {r["text"] for r in order.collect()} == {t for lang, t in rows if lang == "en"}
+
+
+def plain_counts(text):
+    """Counts of hashed n-grams, one n-gram after the other."""
+    padded = [32]
+    for c in text.lower():
+        code = ord(c) if c.isalpha() else 32
+        if code != 32 or padded[-1] != 32:
+            padded.append(code)
+    if padded[-1] != 32:
+        padded.append(32)
+    out, m = {}, 1 << 32
+    for n in range(1, 4):
+        for i in range(len(padded) - n + 1):
+            h = 0
+            for k, code in enumerate(padded[i:i + n]):
+                h = (h * 0x01000193 + code * 0x9E3779B1 + k + 1) % m
+            at = ((h ^ h >> 15) * 0x85EBCA6B % m) >> 17
+            out[at] = out.get(at, 0) + 1
+    return out
+
+
+def test_predictions_against_a_plain_computation(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("doc_id < 60")
+    model = L.train(docs, F.lit(True), sample_rows=80)
+    weight = {int(f): model.weights[k].astype(float) for k, f in enumerate(model.features)}
+    for text, got in docs.select("text", L.predict(model, F.col("text")).alias("p")).collect():
+        if not any(c.isalpha() for c in text):
+            assert got["lang"] == "und"
+            continue
+        x = {f: np.log1p(n) * float(model.idf[f]) for f, n in plain_counts(text).items()}
+        norm = sum(v * v for v in x.values()) ** 0.5
+        score = [float(model.bias[k]) + sum(v / norm * weight[f][k] for f, v in x.items() if f in weight) for k in range(len(model.langs))]
+        e = [np.exp((s - max(score)) / model.temperature) for s in score]
+        assert got["lang"] == model.langs[int(np.argmax(score))] and got["score"] == pytest.approx(max(e) / sum(e), abs=1e-4)
