@@ -23,6 +23,8 @@ from cohortlens.llm.components import connected_components, local_roots
 CLOSE = 0.15  # the radius is this at least: unit vectors nearer than it (cosine 0.989) always meet
 SAMPLE = 20_000  # vectors the codebooks and the search radius are fitted on
 MOST_CENTROIDS = 256
+QUERIES = 512  # vectors of the sample whose true neighbours are searched among all
+BINS = 2000  # of border distances, up to 2
 BLOCK = 2048  # vectors of a cell on each side of one comparison task
 
 
@@ -109,6 +111,46 @@ def fit_grid(sample: np.ndarray, centroids: int, threshold: float, recall: float
     return Grid(grid.first, grid.second, max(CLOSE, float(np.quantile(need, recall))))
 
 
+def border_distances(grid: Grid, queries: np.ndarray, x: np.ndarray, threshold: float, pairs: np.ndarray | None = None) -> np.ndarray:
+    """How far each query has to look (the distance to the border of the other's cell) to meet its neighbours among ``x``:
+    one number for each pair of unit vectors from ``threshold`` on that are not nearer than ``CLOSE`` (those
+    always meet). ``pairs`` masks which may be compared at all."""
+    cos = queries @ x.T
+    hit = (cos >= threshold) & (2 - 2 * cos > CLOSE ** 2)
+    q, k = np.nonzero(hit if pairs is None else hit & pairs)
+    (_, g1), (_, g2) = grid.borders(queries)
+    (a, _), (b, _) = grid.borders(x)
+    return np.sqrt(g1[q, a[k]] ** 2 + g2[q, b[k]] ** 2)
+
+
+def _searched(grid: Grid, dims: int, threshold: float, queries: pd.DataFrame):
+    """Histogram of the border distances between the queries and all vectors of a task."""
+    q = _vectors(queries, dims)
+    q /= np.linalg.norm(q, axis=1)[:, None]
+    labels, lengths = queries["label"].to_numpy(), queries["vec"].map(len).to_numpy()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(BINS, np.int64)
+        for pdf in batches:
+            for at in range(0, len(pdf), BLOCK):
+                part = pdf.iloc[at:at + BLOCK]
+                x = _vectors(part, dims)
+                x /= np.linalg.norm(x, axis=1)[:, None]
+                same = (labels[:, None] == part["label"].to_numpy()) & (lengths[:, None] == part["vec"].map(len).to_numpy())
+                far = border_distances(grid, q, x, threshold, same)
+                total += np.bincount(np.minimum((far * (BINS / 2)).astype(np.int64), BINS - 1), minlength=BINS)
+        on = np.flatnonzero(total)
+        yield pd.DataFrame({"bin": on, "n": total[on]})
+
+    return run
+
+
+def radius_for(histogram: np.ndarray, recall: float) -> float:
+    """The smallest radius (a bin's upper end) within which ``recall`` of the counted pairs are; 0 without any."""
+    upto = np.cumsum(histogram)
+    return float(np.searchsorted(upto, recall * upto[-1]) + 1) * 2 / BINS if upto[-1] else 0.0
+
+
 def _vectors(pdf: pd.DataFrame, dims: int) -> np.ndarray:
     """The rows' vectors in double precision, shorter ones padded with zeros."""
     out = np.zeros((len(pdf), dims))
@@ -186,8 +228,9 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.93, recall: float = 0.
     all linked with each other, compared with others once. Rows with a NULL id count as
     links and never name a component. Repeated rows are separate rows. An empty table gives
     an empty result. No pair below the threshold is linked; ``recall`` is aimed at for pairs
-    right at it, closer ones are found more surely, those nearer than ``CLOSE`` always. Codebooks and radius are fitted on about
-    ``sample_rows`` classes; every vector is indexed. Crowded cells are cut into blocks.
+    right at it, closer ones are found more surely, those nearer than ``CLOSE`` always. Codebooks are fitted on about
+    ``sample_rows`` classes; the radius on random neighbours of those and on all true neighbours of ``QUERIES`` vectors, searched
+    among all in blocks. Every vector is indexed. Crowded cells are cut into blocks.
     """
     spark = rows.sparkSession
     ship(spark)
@@ -210,6 +253,13 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.93, recall: float = 0.
         # about 128 vectors of a label in a cell, as long as the sample supports that many centroids
         centroids = int(min(MOST_CENTROIDS, max(2, round(np.sqrt(n / (128 * max(1, head["labels"])))))))
         grid = fit_grid(x, centroids, threshold, recall)
+        # real neighbours may differ in few dimensions and cross borders more often than random ones: the radius serves both
+        queries = classes.select("label", "vec", F.xxhash64("label", "vec").alias("h")).orderBy("h").limit(QUERIES).drop("h").toPandas()
+        seen = classes.select("label", "vec").mapInPandas(_searched(grid, dims, threshold, queries), "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n"))
+        histogram = np.zeros(BINS, np.int64)
+        for r in seen.collect():  # BINS rows at most
+            histogram[r["bin"]] = r["n"]
+        grid = Grid(grid.first, grid.second, max(grid.radius, radius_for(histogram, recall)))
         dealt = classes.withColumn("dim", F.size("vec")).select("label", "dim", "cid", "copies", "vec").mapInPandas(
             _deal(grid, dims), classes.select("label", F.lit(1).alias("dim"), "cid", "copies", "vec").schema.add("cell", "long").add("home", "boolean"))
         dealt = materialize(dealt, "vector-cells")

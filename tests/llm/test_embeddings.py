@@ -163,3 +163,35 @@ def test_rows_are_left_out_only_on_proof():
         got = block.search(int(ids[0]), q, 5, proven)
         want = sorted((-s, i) for s, i in zip(scores[others], ids[others]) if s >= proven)[:5]
         assert list(zip((-got[1]).tolist(), got[0].tolist())) == [(int(s), int(i)) for s, i in want]
+
+
+@pytest.mark.parametrize("inner", [3, 6])
+@pytest.mark.parametrize("centroids", [16, 64, 256])
+def test_recall_where_vectors_differ_in_few_dimensions(inner, centroids):
+    """The radius from true neighbours of some vectors finds those of others."""
+    rng = np.random.default_rng(inner)
+    x = rng.standard_normal((6000, inner)) @ rng.standard_normal((inner, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    grid = E.fit_grid(x, centroids, 0.93, 0.999)
+    far = E.border_distances(grid, x[:E.QUERIES], x, 0.93)
+    hist = np.bincount(np.minimum((far * (E.BINS / 2)).astype(int), E.BINS - 1), minlength=E.BINS)
+    radius = max(grid.radius, E.radius_for(hist, 0.999))
+    others = E.border_distances(grid, x[3000:3000 + E.QUERIES], x, 0.93)
+    assert len(others) > 1000 and (others <= radius).mean() >= 0.99
+
+
+def test_all_links_of_a_flat_cloud(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((1500, 3)) @ rng.standard_normal((3, 32))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    df = spark.createDataFrame([(i, [float(c) for c in v], 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: r["n_links"] for r in E.near_duplicates(df, sample_rows=700).collect()}
+    want = (x @ x.T >= 0.93).sum(1) - 1
+    assert sum(got.values()) >= 0.99 * want.sum() and all(got[i] <= want[i] for i in got)
+
+
+def test_radius_of_a_histogram():
+    h = np.zeros(E.BINS, int)
+    assert E.radius_for(h, 0.99) == 0
+    h[10], h[500] = 99, 1
+    assert E.radius_for(h, 0.99) == pytest.approx(11 * 2 / E.BINS) and E.radius_for(h, 0.999) == pytest.approx(501 * 2 / E.BINS)
