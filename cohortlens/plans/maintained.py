@@ -1,4 +1,5 @@
-"""Registered queries on tables that are kept and changed: stored distinct states, added shards, atomic writes."""
+"""Registered queries on tables that are kept and changed (stored distinct states, added shards, atomic writes, pages)
+and on dumps that are checked or taken apart as they are read (declared schemas, drifting objects, windows)."""
 
 from __future__ import annotations
 
@@ -9,7 +10,10 @@ from cohortlens.operators.distinct import LG_K, distinct_count, distinct_states,
 from cohortlens.operators.dims import USER_COLUMNS
 from cohortlens.plans.community import Community
 from cohortlens.plans.incremental import extended
-from cohortlens.sources.files import shard_year
+from cohortlens.operators.clean import clean_posts, clean_submissions
+from cohortlens.sources.declared import Declared, read_declared, shredded
+from cohortlens.sources.files import read_shards, shard_year, write_shards
+from cohortlens.sources.pages import fetch_page, page_index, save_pages
 from cohortlens.sources.sinks import scratch_path
 from cohortlens.sources.tables import Table
 from cohortlens.spec import YEAR_S
@@ -26,7 +30,7 @@ def active_states(c: Community, n: int, lg_k: int = LG_K) -> DataFrame:
     return c._keep(distinct_states(active_values(c), ["kind", "cal_month"], "value", n, lg_k, unique=True), "active-states")
 
 
-def active_threshold(c: Community, n: int = 250) -> DataFrame:
+def active_threshold(c: Community, n: int = 100) -> DataFrame:
     """Active authors and communities by month and, by merging the months' states, by year: exact up to ``n``; for
     larger counts whether the sketch is ``within`` three standard deviations of the exact one."""
     states = active_states(c, n)
@@ -72,4 +76,67 @@ def truncate_from_itself(c: Community) -> DataFrame:
     return table.read()
 
 
-MAINTAINED = {f.__name__: f for f in (active_threshold, incremental_users, incremental_user_cells, truncate_from_itself)}
+PAGE_SIZE = 500
+
+
+def page_fetch(c: Community) -> DataFrame:
+    """The users table in pages of 500 rows by time of first post and name: every page of the index, and how many rows
+    fetching the first, the middle and the last of them gives."""
+    spark, path = c.users.sparkSession, scratch_path(c.users.sparkSession, "user-pages")
+    save_pages(c.users.select(*USER_COLUMNS), path, ["min_created_utc", "author"], PAGE_SIZE)
+    index = page_index(spark, path).select(F.col("_page").alias("page"), "n_rows", F.col("first_key.author").alias("first_author"))
+    last = index.agg(F.max("page")).first()[0] or 0
+    fetched = [fetch_page(spark, path, p).select(F.lit(p).cast("long").alias("page"), F.lit(1).alias("x")) for p in sorted({0, last // 2, last})]
+    counts = fetched[0]
+    for f in fetched[1:]:
+        counts = counts.unionByName(f)
+    return index.join(counts.groupBy("page").agg(F.sum("x").alias("n_fetched")), "page", "left")
+
+
+SUBMISSION_FIELDS = [
+    Declared("who", "RECORD", "REQUIRED", (Declared("author", "STRING", "REQUIRED"), Declared("subreddit"))),
+    Declared("texts", "STRING", "REPEATED"),
+    Declared("created_utc", "INTEGER"),
+]
+ANY_NUMBER = 1 << 62  # of bad records
+
+
+def declared_json(c: Community) -> DataFrame:
+    """Submissions as nested JSON lines under a declared schema: records without the required author, with a null among the
+    texts, or with a time that is no number are bad."""
+    spark, path, t = c.raw_submissions.sparkSession, scratch_path(c.raw_submissions.sparkSession, "submissions-nested"), F.col("created_utc")
+    nested = lambda time: F.to_json(F.struct(F.struct("author", "subreddit").alias("who"), F.array("title", "selftext").alias("texts"),
+                                             time.alias("created_utc")))
+    c.raw_submissions.select(F.when(t % 7 == 0, nested(F.lit("soon"))).otherwise(nested(t)).alias("value")).write.mode("errorifexists").text(path)
+    got = read_declared(spark, path, SUBMISSION_FIELDS, max_bad_records=ANY_NUMBER)
+    return got.select(F.col("texts")[0].alias("title"), F.col("texts")[1].alias("selftext"), "who.author", "created_utc", "who.subreddit")
+
+
+def variant_ingest(c: Community) -> DataFrame:
+    """Submissions whose objects drift: some authors are objects with a name, some times are digits in a text or decimal numbers,
+    some texts are nested. Shredded and cleaned, they are the posts they were."""
+    spark, path = c.raw_submissions.sparkSession, scratch_path(c.raw_submissions.sparkSession, "submissions-drift")
+    t, author = F.col("created_utc"), F.col("author")
+    line = lambda who, text, time, name: F.to_json(F.struct("title", who, text, time.alias(name), "subreddit", F.lit(3).alias("score")))
+    selftext, nested = F.col("selftext"), F.struct(F.col("selftext").alias("text")).alias("body")
+    named = F.struct(author.alias("name")).alias("author")
+    value = F.when(t % 3 == 0, line(author, selftext, t.cast("string"), "created_utc")).when(t % 5 == 0, line(named, selftext, t, "created")).when(
+        t % 7 == 0, line(named, nested, t.cast("double"), "created_utc")).otherwise(line(author, nested, t, "created_utc"))
+    c.raw_submissions.select(value.alias("value")).write.mode("errorifexists").text(path)
+    return clean_submissions(shredded(spark.read.text(path), ["title", "selftext", "author", "created_utc", "subreddit"]))
+
+
+SPAN = (820476000, 915145200)  # 1996-01-01 06:00 to 1998-12-31 23:00
+
+
+def window_shards(c: Community) -> DataFrame:
+    """Both raw logs as yearly shards, read back through an observation window that selects the shards by itself."""
+    spark, spec = c.raw_comments.sparkSession, c.spec.with_window(*SPAN)
+    paths = scratch_path(spark, "comment-shards"), scratch_path(spark, "submission-shards")
+    for raw, path in zip((c.raw_comments, c.raw_submissions), paths):
+        write_shards(raw, path, spec)
+    return clean_posts(*[read_shards(spark, p, spec=spec) for p in paths])
+
+
+MAINTAINED = {f.__name__: f for f in (active_threshold, incremental_users, incremental_user_cells, truncate_from_itself, page_fetch, declared_json,
+                                    variant_ingest, window_shards)}

@@ -11,7 +11,7 @@ from __future__ import annotations
 from cohortlens.spec import FIXTURE, YEAR_S
 
 S = FIXTURE
-THRESHOLD = 250  # of the active_threshold query
+THRESHOLD = 100  # of the active_threshold query
 O, M, Y, B = S.origin, S.month_s, S.year_s, S.base_year
 SEL = ", ".join(str(y) for y in S.selected_cohorts)
 
@@ -426,6 +426,14 @@ SELECT grain, kind, CAST(period AS BIGINT) AS period, k <= {THRESHOLD} AS exact,
     "incremental_users": with_base() + "SELECT author, min_created_utc, year, time_active, time_active // " + str(Y) + """ AS survival,
        (SELECT count(*) FROM posts p WHERE p.author = users.author) AS n_posts FROM users""",
     "incremental_user_cells": BLOCKS["user_cells"],
+    "page_fetch": with_base("""r AS (SELECT author, row_number() OVER (ORDER BY min_created_utc, author) - 1 AS n FROM users)""",
+                            """k AS (SELECT n // 500 AS page, count(*) AS n_rows, min_by(author, n) AS first_author FROM r GROUP BY n // 500)""")
+    + """
+SELECT page, n_rows, first_author, CASE WHEN page IN (0, (SELECT max(page) // 2 FROM k), (SELECT max(page) FROM k)) THEN n_rows END AS n_fetched FROM k""",
+    "declared_json": with_base() + """SELECT title, selftext, author, created_utc, subreddit FROM raw_submissions
+WHERE author IS NOT NULL AND title IS NOT NULL AND selftext IS NOT NULL AND (created_utc IS NULL OR created_utc % 7 <> 0)""",
+    "variant_ingest": with_base() + "SELECT * FROM submissions",
+    "window_shards": with_base() + "SELECT * FROM posts WHERE created_utc >= 820476000 AND created_utc < 915145200",
     "truncate_from_itself": with_base() + f"SELECT author, min_created_utc, year, time_active FROM users WHERE time_active >= {Y}",
 }
 

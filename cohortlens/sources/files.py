@@ -8,12 +8,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortlens.functions.clocks import cal_month, cal_year
+from cohortlens.operators.clean import apply_window
 from cohortlens.sources.sinks import materialize
 from cohortlens.spec import CohortSpec
 
@@ -49,25 +51,44 @@ def shard_year(created: str, spec: CohortSpec):
 
 
 def write_shards(df: DataFrame, path: str, spec: CohortSpec, mode: str = "errorifexists") -> None:
-    """Store a raw log as one dataset partitioned by year (the yearly shards)."""
+    """Store a raw log as one dataset partitioned by year (the yearly shards), each file in order of time, so that
+    its row groups cover narrow spans."""
     (
         df.withColumn(SHARD_COLUMN, shard_year("created_utc", spec))
+        .sortWithinPartitions(SHARD_COLUMN, "created_utc")
         .write.mode(mode)
         .partitionBy(SHARD_COLUMN)
         .parquet(path)
     )
 
 
-def read_shards(spark: SparkSession, path: str, years: Iterable[int] | None = None) -> DataFrame:
-    """Union of the selected yearly shards.
+def window_years(spec: CohortSpec) -> tuple[int, int] | None:
+    """The first and the last shard that the spec's observation window [start, end) reaches; None without a window."""
+    if spec.window is None:
+        return None
+    ends = spec.window[0], max(spec.window[0], spec.window[1] - 1)
+    if spec.calendar == "gregorian":
+        low, high = (int(datetime(y, 1, 1, tzinfo=timezone.utc).timestamp()) for y in (1, 9999))
+        first, last = (datetime.fromtimestamp(min(max(t, low), high), timezone.utc).year for t in ends)
+    else:  # as the shard key does, months before the origin are cut toward zero
+        first, last = (spec.base_year + int(int((t - spec.origin) / spec.month_s) / 12) for t in ends)
+    return first, last
+
+
+def read_shards(spark: SparkSession, path: str, years: Iterable[int] | None = None, spec: CohortSpec | None = None) -> DataFrame:
+    """Union of the selected yearly shards, or of those that the window of ``spec`` reaches.
 
     The year filter is on the partition column, so Spark lists and reads only the
-    selected directories (partition pruning) instead of opening every shard.
+    selected directories (partition pruning) instead of opening every shard. With a window, the rows are
+    also cut to it, a filter on the time that skips row groups inside the first and last shard.
     """
     df = spark.read.parquet(path)
     if years is not None:
         df = df.where(F.col(SHARD_COLUMN).isin([int(y) for y in years]))
-    return df.drop(SHARD_COLUMN)
+    elif spec is not None and spec.window is not None:
+        df = df.where(F.col(SHARD_COLUMN).between(*window_years(spec)))
+    df = df.drop(SHARD_COLUMN)
+    return df if spec is None else apply_window(df, spec)
 
 
 def _within_cap(parsed: DataFrame, max_bad_records: int, name: str) -> DataFrame:

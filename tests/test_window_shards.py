@@ -1,0 +1,42 @@
+"""The observation window alone selects the shards, and row groups inside them."""
+
+from dataclasses import replace
+from datetime import datetime, timezone
+
+import pytest
+from pyspark.sql import functions as F
+
+from cohortlens.sources.files import read_shards, window_years, write_shards
+from cohortlens.spec import FIXTURE
+from tests.conftest import rows
+
+
+def at(*day):
+    return int(datetime(*day, tzinfo=timezone.utc).timestamp())
+
+
+@pytest.mark.parametrize("calendar", ["julian", "gregorian"])
+def test_window_keeps_exactly_its_rows(spark, tmp_path, calendar):
+    spec = replace(FIXTURE, calendar=calendar)
+    days = spark.range(3000).select((F.col("id") * 86_400 + 780_000_000 + F.col("id") % 86_400).alias("created_utc"), "id")
+    days = days.unionByName(spark.createDataFrame([(None, 9)], "created_utc long, id long"))
+    write_shards(days, f"{tmp_path}/s", spec)
+    start = spec.year_start(1997)
+    for window in ((start, start + 1), (start - 1, start), (at(1996, 1, 1), at(1998, 12, 31, 23)), (0, 1 << 40), (790_000_000, 789_000_000)):
+        inside = spec.with_window(*window)
+        want = days.where(F.col("created_utc").between(window[0], window[1] - 1))
+        assert rows(read_shards(spark, f"{tmp_path}/s", spec=inside), "id") == rows(want, "id"), window
+    assert read_shards(spark, f"{tmp_path}/s", spec=spec).count() == 3001
+
+
+def test_window_gives_partition_and_row_group_filters(spark, tmp_path):
+    days = spark.range(2000).select((F.col("id") * 86_400 + FIXTURE.origin).alias("created_utc"))
+    write_shards(days, f"{tmp_path}/s", FIXTURE)
+    spec = FIXTURE.with_window(FIXTURE.year_start(1996) + 5, FIXTURE.year_start(1998))
+    assert window_years(spec) == (1996, 1997) and window_years(FIXTURE) is None
+    df = read_shards(spark, f"{tmp_path}/s", spec=spec)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [year" in plan.replace("isnotnull(year", "year") and "GreaterThanOrEqual(created_utc," in plan and "LessThan(created_utc," in plan
+    read = {r["f"] for r in df.select(F.input_file_name().alias("f")).distinct().collect()}
+    assert read and all("year=1996" in f or "year=1997" in f for f in read)
