@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from cohortlens.operators.distinct import LG_K, distinct_count, distinct_states, is_exact, merged_states, relative_error
 from cohortlens.operators.dims import USER_COLUMNS
 from cohortlens.plans.community import Community
+from cohortlens.plans.clustered import save_clustered
 from cohortlens.plans.incremental import extended
 from cohortlens.operators.clean import clean_posts, clean_submissions
 from cohortlens.sources.declared import Declared, read_declared, shredded
@@ -76,6 +77,14 @@ def truncate_from_itself(c: Community) -> DataFrame:
     return table.read()
 
 
+def clustered_user_cells(c: Community) -> DataFrame:
+    """User cells from catalog tables laid out by author, those with more than 50 posts apart."""
+    path = scratch_path(c.users.sparkSession, "clustered")
+    tables = Community.from_posts(c.posts, c.spec, rows_per_task=50)
+    tables.__dict__["users"] = c.users
+    return save_clustered(tables, f"cohortlens_{path[-32:]}", path, buckets=8).user_cells()
+
+
 PAGE_SIZE = 500
 
 
@@ -138,5 +147,5 @@ def window_shards(c: Community) -> DataFrame:
     return clean_posts(*[read_shards(spark, p, spec=spec) for p in paths])
 
 
-MAINTAINED = {f.__name__: f for f in (active_threshold, incremental_users, incremental_user_cells, truncate_from_itself, page_fetch, declared_json,
+MAINTAINED = {f.__name__: f for f in (active_threshold, incremental_users, incremental_user_cells, truncate_from_itself, clustered_user_cells, page_fetch, declared_json,
                                     variant_ingest, window_shards)}

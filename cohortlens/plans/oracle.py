@@ -426,6 +426,7 @@ SELECT grain, kind, CAST(period AS BIGINT) AS period, k <= {THRESHOLD} AS exact,
     "incremental_users": with_base() + "SELECT author, min_created_utc, year, time_active, time_active // " + str(Y) + """ AS survival,
        (SELECT count(*) FROM posts p WHERE p.author = users.author) AS n_posts FROM users""",
     "incremental_user_cells": BLOCKS["user_cells"],
+    "clustered_user_cells": BLOCKS["user_cells"],
     "page_fetch": with_base("""r AS (SELECT author, row_number() OVER (ORDER BY min_created_utc, author) - 1 AS n FROM users)""",
                             """k AS (SELECT n // 500 AS page, count(*) AS n_rows, min_by(author, n) AS first_author FROM r GROUP BY n // 500)""")
     + """
