@@ -13,10 +13,11 @@ from __future__ import annotations
 import struct
 
 import numpy as np
+import zstandard
 
 MAX_WIDTH = 31
 _ROUNDS = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)  # any odd numbers
-_HEAD = struct.Struct("<BBBQQ")  # remainder bytes, quotient bits, bytes of an occupancy, entries, large counts
+_HEAD = struct.Struct("<BBBQQQ")  # remainder bytes, quotient bits, bytes of an occupancy, entries, large counts, bytes of the packed part
 
 Numbers = tuple[np.ndarray, np.ndarray]  # high and low 64 bits
 
@@ -101,21 +102,21 @@ def encode(x: Numbers, counts: np.ndarray, bits: int) -> bytes:
         rest = rest.copy()
         rest[:, -1] &= (1 << bits % 8) - 1
     large = counts[counts >= 255]
-    return b"".join([_HEAD.pack(whole, quotients, size, m, len(large)), filled.astype(f"<u{size}").tobytes(), rest.tobytes(),
-                     np.minimum(counts, 255).astype(np.uint8).tobytes(), large.astype("<i8").tobytes()])
+    # occupancies and counts are small numbers, most of them 0 or 1, and packed; remainders are as good as random
+    packed = zstandard.ZstdCompressor(level=1).compress(filled.astype(f"<u{size}").tobytes() + np.minimum(counts, 255).astype(np.uint8).tobytes())
+    return b"".join([_HEAD.pack(whole, quotients, size, m, len(large), len(packed)), packed, rest.tobytes(), large.astype("<i8").tobytes()])
 
 
 def decode(block: bytes, prefix: int, bits: int) -> tuple[Numbers, np.ndarray]:
     """The numbers of a filter, with the prefix above their last ``bits`` bits, and their counts."""
-    whole, quotients, size, m, n_large = _HEAD.unpack_from(block)
-    at = _HEAD.size
-    filled = np.frombuffer(block, f"<u{size}", 1 << quotients, at)
-    at += size << quotients
+    whole, quotients, size, m, n_large, n_packed = _HEAD.unpack_from(block)
+    at = _HEAD.size + n_packed
+    small = zstandard.ZstdDecompressor().decompress(block[_HEAD.size:at])
+    filled = np.frombuffer(small, f"<u{size}", 1 << quotients)
     rest = np.zeros((m, 16), np.uint8)
     rest[:, :whole] = np.frombuffer(block, np.uint8, m * whole, at).reshape(m, whole)
-    at += m * whole
-    counts = np.frombuffer(block, np.uint8, m, at).astype(np.int64)
-    counts[counts == 255] = np.frombuffer(block, "<i8", n_large, at + m)
+    counts = np.frombuffer(small, np.uint8, m, size << quotients).astype(np.int64)
+    counts[counts == 255] = np.frombuffer(block, "<i8", n_large, at + m * whole)
     low = rest.reshape(-1).view("<u8").reshape(m, 2)
     quotient = np.repeat(np.arange(1 << quotients, dtype=np.uint64), filled.astype(np.int64))
     q = shift_left((np.zeros_like(quotient), quotient), min(8 * whole, 127))

@@ -32,4 +32,4 @@ def test_counts_of_filters_add_up():
 def test_a_filter_is_smaller_than_its_numbers():
     rng = np.random.default_rng(1)
     x, n = Q.counted(Q.pack([rng.integers(1, 1 << 15, 100_000) for _ in range(4)], 15))
-    assert len(Q.encode(x, n, 60)) < 7.5 * len(n)  # 60 bits and a count in less than 7.5 bytes
+    assert len(Q.encode(x, n, 60)) < 6.5 * len(n)  # 60 bits and a count in less than 6.5 bytes
