@@ -233,6 +233,19 @@ def train(docs: DataFrame, learn: Column, text_col: str = "text", lang_col: str
                  weighted | (df > RARE * n_docs), limits)
 
 
+def _fits(model: Model, best: int, c: np.ndarray) -> bool:
+    """Whether a text's share of unknown n-grams is one that texts of the language have, or it is too short to tell."""
+    total = int(c.sum())
+    return total < ENOUGH or int(c[~model.known].sum()) <= model.limits[best] * total
+
+
+def _fits_but_for_a_word(model: Model, best: int, text: str) -> bool:
+    """The same without the longest word (a key, a name, an address), which by itself is too short to tell."""
+    word = max(text.split(), key=len)
+    own, rest = counts(word), counts(text.replace(word, " ", 1))
+    return (own is None or int(own.sum()) < ENOUGH) and (rest is None or _fits(model, best, rest))
+
+
 def _predict(model: Model, texts: pd.Series, w: np.ndarray) -> pd.DataFrame:
     langs, scores, fits = [], [], []
     for text in texts:
@@ -244,17 +257,17 @@ def _predict(model: Model, texts: pd.Series, w: np.ndarray) -> pd.DataFrame:
             continue
         at = np.flatnonzero(c)
         p = _softmax((tf_idf(at, c[at], model.idf) @ w[at] + model.bias).astype(np.float64) / model.temperature)
-        best, total = int(np.argmax(p)), int(c.sum())
+        best = int(np.argmax(p))
         langs.append(model.langs[best])
         scores.append(float(p.max()))
-        fits.append(total < ENOUGH or int(c[~model.known].sum()) <= model.limits[best] * total)
+        fits.append(_fits(model, best, c) or _fits_but_for_a_word(model, best, text))
     return pd.DataFrame({"lang": langs, "score": scores, "fits": fits})
 
 
 def predict(model: Model | None, text: Column) -> Column:
     """Struct (lang, score, fits): the most probable learned language, its calibrated probability,
     and whether the text fits it: false where ``ENOUGH`` n-grams or more have too large a share that
-    no learned language has. ``und`` with score 0, and no fit, if the text is NULL or has no
+    no learned language has, also when the longest word (of fewer than ``ENOUGH``) is left out. ``und`` with score 0, and no fit, if the text is NULL or has no
     letter, or nothing was learned."""
     if model is None:
         return F.struct(F.lit(UNDETERMINED).alias("lang"), F.lit(0.0).alias("score"), F.lit(False).alias("fits"))
