@@ -11,6 +11,9 @@ the segments are used up, these possible members are scored exactly.
 Every row of dense vectors has a posting in every dimension, so the postings are stored by
 row (the number of its segment in each dimension): taking segments then is one table
 lookup for each posting of the rows that are still in.
+
+Blocks stand on shelves, more on one the larger the table, and queries travel to a shelf in
+packs. A query's own best scores so far prove more with every block of the shelf.
 """
 
 from __future__ import annotations
@@ -27,12 +30,27 @@ BLOCK_ROWS = 4096
 LEVELS = 32
 ROUNDS = 5  # times that bounds are looked at while the segments are taken
 SEEDS = 2048  # rows whose exact scores give the first proven k-th score
+SHELVES = 256  # up to so many blocks each stands alone; beyond, a shelf holds several
+SHELF_BYTES = 64 << 20  # of vectors and postings on one shelf
+PACK_BYTES = 8192  # of queries that travel as one row
+UNPROVEN = np.iinfo(np.int64).min
 
 
 def quantised(vec: Column, scale: int) -> Column:
     return F.transform(vec, lambda x: F.floor(x.cast("double") * scale).cast("long"))
 
 
+def small(x: np.ndarray) -> np.ndarray:
+    """Whole numbers in the narrowest of 2, 4 and 8 bytes that holds them all."""
+    low, high = (int(x.min()), int(x.max())) if x.size else (0, 0)
+    return x.astype(next(t for t in ("<i2", "<i4", "<i8") if np.iinfo(t).min <= low and high <= np.iinfo(t).max))
+
+
+def widened(data: bytes, rows: int, dims: int, kind: str) -> np.ndarray:
+    """The matrix of ``rows`` rows behind the bytes; the width of a number follows from their length."""
+    return np.frombuffer(data, f"<{kind}{len(data) // (rows * dims)}").reshape(rows, dims).astype(np.int64)
+
+
 def build_block(ids: np.ndarray, vecs: np.ndarray) -> tuple[bytes, bytes, bytes, bytes]:
     """Ids, vectors, postings (each row's segment number in each dimension) and segment table
     (size, lowest and highest value by dimension and level) of one block, as bytes."""
@@ -47,7 +65,8 @@ def build_block(ids: np.ndarray, vecs: np.ndarray) -> tuple[bytes, bytes, bytes,
         table[1, d], table[2, d] = high, low
         np.minimum.at(table[1, d], level, v)
         np.maximum.at(table[2, d], level, v)
-    return ids.astype("<i8").tobytes(), vecs.astype("<i8").tobytes(), post.astype("<u4").tobytes(), table.astype("<i8").tobytes()
+    post = post.astype("<u2" if dims * LEVELS <= 1 << 16 else "<u4")
+    return ids.astype("<i8").tobytes(), small(vecs).tobytes(), post.tobytes(), table.astype("<i8").tobytes()
 
 
 class Block:
@@ -55,11 +74,9 @@ class Block:
 
     def __init__(self, a: bytes, b: bytes, c: bytes, d: bytes):
         self.ids = np.frombuffer(a, "<i8")
-        n = len(self.ids)
-        self.vecs = np.frombuffer(b, "<i8").reshape(n, -1)
-        dims = self.vecs.shape[1]
-        self.post = np.frombuffer(c, "<u4").astype(np.intp).reshape(n, dims)
-        self.sizes, self.low, self.high = np.frombuffer(d, "<i8").reshape(3, dims, LEVELS)
+        self.sizes, self.low, self.high = np.frombuffer(d, "<i8").reshape(3, -1, LEVELS)
+        self.vecs = widened(b, len(self.ids), len(self.sizes), "i")
+        self.post = widened(c, len(self.ids), len(self.sizes), "u")
 
     def search(self, own: int, q: np.ndarray, k: int, proven: int | None) -> tuple[np.ndarray, np.ndarray]:
         """(ids, scores) of this block's rows among the ``k`` best of the query, without its
@@ -67,7 +84,7 @@ class Block:
         n, dims = self.vecs.shape
         alive = None
         if proven is not None and n > 64:
-            nothing = np.iinfo(np.int64).min
+            nothing = UNPROVEN
             most = np.where(self.sizes > 0, np.maximum(self.low * q[:, None], self.high * q[:, None]), nothing)
             least = np.where(self.sizes > 0, most, np.iinfo(np.int64).max).min(1)
             segments = np.flatnonzero(self.sizes)
@@ -113,14 +130,14 @@ def _seeded(seeds: dict[int, tuple[np.ndarray, np.ndarray]], k: int):
         for pdf in batches:
             for at in range(0, len(pdf), 512):
                 part = pdf.iloc[at:at + 512].copy()
-                proven = np.full(len(part), np.iinfo(np.int64).min)
+                proven = np.full(len(part), UNPROVEN)
                 for dim, rows in part.groupby("dim").indices.items():
                     ids, vecs = seeds.get(dim, (np.zeros(0, np.int64), np.zeros((0, dim), np.int64)))
                     if len(ids) > k:
                         q = _matrix(part["vec"].iloc[rows])
                         s = (q.astype(float) @ vecs.T.astype(float)).astype(np.int64) if np.abs(q).max() < 1 << 20 and np.abs(
                             vecs).max() < 1 << 20 else q @ vecs.T
-                        s[part["id"].to_numpy()[rows][:, None] == ids] = np.iinfo(np.int64).min
+                        s[part["id"].to_numpy()[rows][:, None] == ids] = UNPROVEN
                         proven[rows] = np.partition(s, len(ids) - k, axis=1)[:, len(ids) - k]
                 part["proven"] = proven
                 yield part
@@ -128,26 +145,63 @@ def _seeded(seeds: dict[int, tuple[np.ndarray, np.ndarray]], k: int):
     return run
 
 
+def _better(one: tuple[np.ndarray, np.ndarray], two: tuple[np.ndarray, np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``k`` best of two lists of (ids, scores); ties go to the smaller id."""
+    ids, scores = np.concatenate([one[0], two[0]]), np.concatenate([one[1], two[1]])
+    best = np.lexsort((ids, -scores))[:k]
+    return ids[best], scores[best]
+
+
+def search_shelf(shelf: list[tuple], ids: np.ndarray, vecs: np.ndarray, proven: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each query of a pack, (ids, scores) of the shelf's rows that are among its ``k`` best
+    there and reach its proven score. Blocks are opened one at a time."""
+    best = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(ids)
+    for parts in shelf:
+        block = Block(*parts)
+        for i, own in enumerate(ids):
+            score = max(proven[i], best[i][1][-1] if len(best[i][1]) == k else UNPROVEN)
+            best[i] = _better(best[i], block.search(own, vecs[i], k, None if score == UNPROVEN else score), k)
+    return best
+
+
 def _search(k: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        block = None
+        number, shelf = None, []
         for pdf in batches:
-            out = []
-            for role, own, proven, a, b, c, d in zip(*[pdf[x] for x in ("role", "id", "proven", "a", "b", "c", "d")]):
+            for at, role, a, b, c, d in zip(*[pdf[x] for x in ("shelf", "role", "a", "b", "c", "d")]):
+                if at != number:
+                    number, shelf = at, []
                 if role == 0:
-                    block = Block(a, b, c, d)
-                else:
-                    ids, scores = block.search(own, np.frombuffer(a, "<i8"), k, None if proven == np.iinfo(np.int64).min else proven)
-                    out.append(pd.DataFrame({"query_id": own, "vec_id": ids, "score": scores}))
-            if out:
-                yield pd.concat(out, ignore_index=True)
+                    shelf.append((a, b, c, d))
+                    continue
+                ids = np.frombuffer(a, "<i8")
+                if not shelf:
+                    continue
+                dims = len(shelf[0][3]) // (24 * LEVELS)
+                found = search_shelf(shelf, ids, widened(b, len(ids), dims, "i"), np.frombuffer(c, "<i8"), k)
+                yield pd.DataFrame({"query_id": np.repeat(ids, [len(f[0]) for f in found]),
+                                    "vec_id": np.concatenate([f[0] for f in found]), "score": np.concatenate([f[1] for f in found])})
 
     return run
 
 
 def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Queries of one vector length in rows of some: ids, vectors and proven scores as bytes."""
     for pdf in batches:
-        yield pdf.assign(a=[np.asarray(v, dtype="<i8").tobytes() for v in pdf["vec"]]).drop(columns="vec")
+        out = []
+        for (dim, shelves), part in pdf.groupby(["dim", "shelves"]):
+            n = max(1, PACK_BYTES // (16 + 2 * dim))
+            for at in range(0, len(part), n):
+                p = part.iloc[at:at + n]
+                out.append((dim, shelves, p["id"].to_numpy("<i8").tobytes(), small(_matrix(p["vec"])).tobytes(),
+                            p["proven"].to_numpy("<i8").tobytes()))
+        if out:
+            yield pd.DataFrame(out, columns=["dim", "shelves", "a", "b", "c"])
+
+
+def shelf_blocks(dims: int, blocks: int, block_rows: int) -> int:
+    """Blocks on one shelf: one while there are few, at most what ``SHELF_BYTES`` hold."""
+    return max(1, min(-(-blocks // SHELVES), SHELF_BYTES // (block_rows * dims * 4)))
 
 
 def top_k(rows: DataFrame, is_query: Column, k: int = 5, scale: int = 256, id_col: str = "vec_id", vec_col: str = "embedding",
@@ -160,7 +214,10 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 5, scale: int = 256, id_co
     or non-finite components, and rows without an id, take no part; a zero vector does.
     Vectors meet only those of their own length. Repeated rows of one id count as one, the
     smallest vector of several. Components must stay below 2^23 in size for whole scores to
-    fit. The queries are sent to every block of rows, a stated query set against all rows.
+    fit. Input columns other than the two named are not read, so their names never clash. An
+    empty table gives no rows. The queries are sent to every shelf of blocks, a stated query
+    set against all rows: a shelf holds ``SHELF_BYTES`` at most, and one row carries a pack of
+    queries, so what is shuffled is queries x shelves, packed, and ``k`` rows of each.
     """
     spark = rows.sparkSession
     ship(spark)
@@ -173,8 +230,10 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 5, scale: int = 256, id_co
     sizes = rows.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()  # one row for each vector length
     if not sizes:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    dims = spark.createDataFrame([(r["dim"], -(-r["n"] // block_rows)) for r in sizes], "dim int, blocks long")
-    n_blocks = sum(-(-r["n"] // block_rows) for r in sizes)
+    counts = [(r["dim"], -(-r["n"] // block_rows)) for r in sizes]
+    per = [shelf_blocks(dim, blocks, block_rows) for dim, blocks in counts]
+    dims = spark.createDataFrame([(d, b, p, -(-b // p)) for (d, b), p in zip(counts, per)], "dim int, blocks long, per long, shelves long")
+    n_blocks, n_shelves = sum(b for _, b in counts), sum(-(-b // p) for (_, b), p in zip(counts, per))
     rows = rows.join(F.broadcast(dims), "dim")
     number = F.shiftright(F.shiftrightunsigned(F.xxhash64("id"), 33) * F.col("blocks"), 31)
     block = F.shiftleft(F.col("dim").cast("long"), 32)
@@ -185,15 +244,16 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 5, scale: int = 256, id_co
     u = F.shiftrightunsigned(F.xxhash64("id", F.lit(1)), 11) / F.lit(float(1 << 53))
     sample = rows.where(u <= min(1.0, seed_rows / total)).select("id", "vec", "dim").limit(2 * seed_rows).toPandas()
     seeds = {int(dim): (g["id"].to_numpy(), _matrix(g["vec"])) for dim, g in sample.groupby("dim")}
-    queries = rows.where("is_query").select("id", "vec", "dim", "blocks").mapInPandas(
-        _seeded(seeds, k), "id long, vec array<long>, dim int, blocks long, proven long")
-    queries = queries.mapInPandas(_packed, "id long, dim int, blocks long, proven long, a binary")
-    none = F.lit(None).cast("binary")
-    asked = queries.withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(
-        (block + F.col("b")).alias("block"), F.lit(1).alias("role"), "id", "proven", "a", none.alias("b"), none.alias("c"), none.alias("d"))
-    zero = F.lit(0).cast("long")
-    work = index.select("block", F.lit(0).alias("role"), zero.alias("id"), zero.alias("proven"), "a", "b", "c", "d").unionByName(asked)
-    found = work.repartition(4 * n_blocks, "block").sortWithinPartitions("block", "role").mapInPandas(
+    queries = rows.where("is_query").select("id", "vec", "dim", "shelves").mapInPandas(
+        _seeded(seeds, k), "id long, vec array<long>, dim int, shelves long, proven long")
+    packs = queries.mapInPandas(_packed, "dim int, shelves long, a binary, b binary, c binary")
+    place = F.shiftleft(F.col("dim").cast("long"), 32)
+    asked = packs.withColumn("s", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shelves") - 1))).select(
+        (place + F.col("s")).alias("shelf"), F.lit(1).alias("role"), "a", "b", "c", F.lit(None).cast("binary").alias("d"))
+    number = F.col("block").bitwiseAND(F.lit((1 << 32) - 1))
+    shelved = index.withColumn("dim", F.shiftright("block", 32).cast("int")).join(F.broadcast(dims), "dim").select(
+        (place + F.floor(number / F.col("per"))).alias("shelf"), F.lit(0).alias("role"), "a", "b", "c", "d")
+    found = shelved.unionByName(asked).repartition(4 * n_shelves, "shelf").sortWithinPartitions("shelf", "role").mapInPandas(
         _search(k), "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 
 from brute import components
@@ -148,6 +149,37 @@ def test_topk_with_many_blocks(spark, block_rows, seeds):
     assert got_topk(got) == brute_topk(rows)
 
 
+@pytest.mark.parametrize("shelves", [1, 2, 3])
+def test_topk_with_blocks_on_shelves(spark, monkeypatch, shelves):
+    """Several blocks on a shelf, packs of a few queries, components of two and of four bytes, two vector lengths."""
+    monkeypatch.setattr(K, "SHELVES", shelves)
+    rows = clusters(500, 16, seed=9) + [(3000 + i, [300.0 * c for c in v], 0) for i, v, _ in clusters(120, 8, seed=3)]
+    df = spark.createDataFrame([(*r, "x", "y") for r in rows], SCHEMA)
+    assert K.shelf_blocks(16, 10, 50) == -(-10 // shelves)
+    assert got_topk(K.top_k(df, df["vec_id"] % 50 == 0, block_rows=50, seed_rows=30)) == brute_topk(rows)
+
+
+def test_shelves_are_bounded():
+    assert K.shelf_blocks(64, 13, 4096) == 1  # a small table: blocks stand alone
+    assert K.shelf_blocks(64, 10 ** 6, 4096) * 4096 * 64 * 4 <= K.SHELF_BYTES
+    assert K.shelf_blocks(10 ** 6, 10 ** 6, 4096) == 1
+
+
+def test_queries_travel_in_packs():
+    pdf = pd.DataFrame({"id": range(1000), "vec": [np.arange(64) - i % 7 for i in range(1000)], "dim": 64, "shelves": 3, "proven": 5})
+    packs = pd.concat(K._packed(iter([pdf])))
+    assert len(packs) <= 1000 * (16 + 2 * 64) // K.PACK_BYTES + 2
+    ids = np.concatenate([np.frombuffer(a, "<i8") for a in packs["a"]])
+    back = np.concatenate([K.widened(b, len(a) // 8, 64, "i") for a, b in zip(packs["a"], packs["b"])])
+    assert ids.tolist() == list(range(1000)) and (back == np.stack(pdf["vec"])).all()
+
+
+@pytest.mark.parametrize("most,width", [(100, 2), (1 << 15, 4), (1 << 31, 8)])
+def test_numbers_take_the_bytes_they_need(most, width):
+    x = np.array([[most, -most], [0, 1]])
+    assert len(K.small(x).tobytes()) == 4 * width and (K.widened(K.small(x).tobytes(), 2, 2, "i") == x).all()
+
+
 def test_rows_are_left_out_only_on_proof():
     """Whatever the proven score, a block returns all rows that reach it, up to k."""
     rng = np.random.default_rng(0)
