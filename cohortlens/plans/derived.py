@@ -199,6 +199,19 @@ def low_activity_survivors(c: Community, k: int = 2) -> DataFrame:
     )
 
 
+def low_activity_months(c: Community, k: int = 2) -> DataFrame:
+    """Per cohort and survival, among authors active for at least a year: in how many of
+    their active calendar months they post at most ``k`` times."""
+    g = (
+        c.calendar_cells.where(F.col("u_survival") >= 1)
+        .groupBy(F.col("u_year").alias("cohort"), F.col("u_survival").alias("survival"))
+        .agg(F.count(F.lit(1)).alias("n_months"), F.count_if(F.col("n_posts") <= F.lit(k)).alias("n_low"))
+    )
+    return g.select("cohort", "survival", "n_months", "n_low", ratio("n_low", "n_months").alias("share_low")).orderBy(
+        "cohort", "survival"
+    )
+
+
 def initial_level_by_survival(c: Community) -> DataFrame:
     """The three measures in each author's first user month, by cohort and survival."""
     g = (
@@ -296,6 +309,7 @@ DERIVED = {
     "cohort_retention": cohort_retention,
     "survival_distribution": survival_distribution,
     "low_activity_survivors": low_activity_survivors,
+    "low_activity_months": low_activity_months,
     "initial_level_by_survival": initial_level_by_survival,
     "first_year_growth": first_year_growth_ratio,
     "entry_vs_prior_overall": entry_vs_prior_overall,

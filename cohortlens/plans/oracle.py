@@ -360,6 +360,15 @@ FROM g""",
 SELECT u_year AS cohort, count(*) AS n_survivors, count(*) FILTER (WHERE n <= 2 * months) AS n_low,
        CAST(count(*) FILTER (WHERE n <= 2 * months) AS DOUBLE) / CAST(count(*) AS DOUBLE) AS share_low
 FROM pa GROUP BY u_year""",
+    "low_activity_months": with_base(
+        """am AS (
+  SELECT author, u_year, survival, cal_month, count(*) AS n
+  FROM meta WHERE survival >= 1 GROUP BY author, u_year, survival, cal_month)"""
+    )
+    + """
+SELECT u_year AS cohort, survival, count(*) AS n_months, count(*) FILTER (WHERE n <= 2) AS n_low,
+       CAST(count(*) FILTER (WHERE n <= 2) AS DOUBLE) / CAST(count(*) AS DOUBLE) AS share_low
+FROM am GROUP BY u_year, survival""",
     "initial_level_by_survival": with_base()
     + f"""
 SELECT u_year AS cohort, survival, {PPU} AS posts_per_user,

@@ -6,7 +6,7 @@ from cohortlens.sources.files import (
     read_shards,
     write_shards,
 )
-from cohortlens.sources.sinks import fetch_columns, fetch_pages, materialize, save, scratch_path, scratch_root
+from cohortlens.sources.sinks import fetch_columns, fetch_pages, materialize, save, scratch_path, scratch_root, scratch_run
 
 __all__ = [
     "RAW_COMMENT_SCHEMA",
@@ -20,5 +20,6 @@ __all__ = [
     "save",
     "scratch_path",
     "scratch_root",
+    "scratch_run",
     "write_shards",
 ]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,9 +40,34 @@ def scratch_root(spark: SparkSession) -> str:
     return root
 
 
+# folders of the runs that are on, by application; the last one takes the new tables
+_RUNS: dict[str, list[str]] = {}
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh, unique path under the scratch root."""
-    return f"{scratch_root(spark)}/cohortlens/{name}-{uuid.uuid4().hex}"
+    """A fresh, unique path under the scratch root, or in the folder of the run that is on."""
+    on = _RUNS.get(spark.conf.get("spark.app.id", ""))
+    return f"{on[-1] if on else scratch_root(spark) + '/cohortlens'}/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def scratch_run(spark: SparkSession, name: str = "run") -> Iterator[str]:
+    """Tables materialised inside go to one folder, which is removed at the end, after a failure too.
+
+    Results must be saved (or collected) inside: a DataFrame that still reads such a table fails
+    afterwards, a community that was built inside as well. Tables saved under other paths
+    stay. Runs may be nested; each removes its own folder. The folder is the application's,
+    so threads that share a session share it.
+    """
+    folder = scratch_path(spark, name)
+    on = _RUNS.setdefault(spark.conf.get("spark.app.id", ""), [])
+    on.append(folder)
+    try:
+        yield folder
+    finally:
+        on.remove(folder)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def save(df: DataFrame, path: str, disposition: str = "empty", fmt: str = "parquet",
