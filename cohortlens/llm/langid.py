@@ -21,7 +21,7 @@ from cohortlens.llm.common import materialize, ship
 DIM_BITS = 15
 DIM = 1 << DIM_BITS
 GRAMS = 3
-CHUNK = 1 << 20  # characters hashed at a time, so memory does not grow with a text
+CHUNK = 1 << 17  # characters hashed at a time, so memory does not grow with a text
 UNDETERMINED = "und"
 ENOUGH = 120  # n-grams from which on a text is judged to be in none of the learned languages
 MOST_LANGS = 2000  # a dense weight table of so many has 256 MB
