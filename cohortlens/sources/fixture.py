@@ -43,6 +43,12 @@ def _author(custkey: Column, account: Column) -> Column:
     )
 
 
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """A column that is worked out once a row. Filters on a plain column are pushed below it, with its whole expression in
+    the place of its name, once for each mention: here, a time and a name of many steps for every rule on names."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def account_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All orders with author (the customer's account at that time), community and time."""
     o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
@@ -54,12 +60,13 @@ def account_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     account = F.when(t < t_join, 0).when(t < t_leave, 1).otherwise(2)
     key = F.col("o_orderkey")
     day = idiv(t - F.lit(ORIGIN), 86400)
-    return o.withColumn("t", epoch_seconds("o_orderdate")).select(
+    timed = once(o, "t", epoch_seconds("o_orderdate"))
+    return once(timed, "author", _author(cust, account)).select(
         "o_orderkey",
         "o_orderstatus",
         "o_orderpriority",
         "t",
-        _author(cust, account).alias("author"),
+        "author",
         F.when(key % 211 == 0, F.lit(None).cast("string"))
         .otherwise(F.concat(F.lit("sub_"), idiv(day * (key % 100 + 1), 1000).cast("string")))
         .alias("subreddit"),
