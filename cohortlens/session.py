@@ -4,6 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+# Files and shuffled rows are compressed, and a raw post's text grows several times over behind its last shuffle: 16 MB
+# of files gave sorts of 480 to 660 MB a task (``window_shards`` over 10 and 30 times sf0.1, six cores).
+TARGET_PARTITION_BYTES = 16 * 1024 * 1024
+
 # Runtime SQL settings: adaptive execution re-plans joins and partition counts from the
 # real shuffle sizes; small partitions are coalesced, skewed join partitions split. The
 # per-post join feeds an aggregation keyed by the join key, so splitting a skewed
@@ -11,19 +15,17 @@ from pyspark.sql import SparkSession
 ADAPTIVE = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": f"{TARGET_PARTITION_BYTES}b",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
 }
 
 
-TARGET_PARTITION_BYTES = 128 * 1024 * 1024
-
-
 def shuffle_partitions_for(input_bytes: int, cores: int, target_bytes: int = TARGET_PARTITION_BYTES) -> int:
     """Initial shuffle partition count for an input of ``input_bytes``: about one
-    partition per ``target_bytes`` (so a partition fits in task memory without spilling
-    much), never fewer than the cores. AQE coalesces what turns out smaller."""
+    partition per ``target_bytes`` (so a partition fits in task memory without
+    spilling), never fewer than the cores. AQE coalesces what turns out smaller."""
     return max(cores, -(-int(input_bytes) // target_bytes))
 
 
