@@ -65,8 +65,17 @@ class Clustered:
         return c
 
 
+ROWS_PER_BUCKET = 1_000_000
+
+
+def buckets_for(c: Community, least: int = 1) -> int:
+    """Buckets of about a million posts, some 100 MB when sorted, but no fewer than ``least``."""
+    posts = c.users.agg(F.sum("n_posts")).first()[0] or 0
+    return max(least, -(-posts // ROWS_PER_BUCKET))
+
+
 def save_clustered(c: Community, name: str, root: str, buckets: int = 200, mode: str = "errorifexists") -> Clustered:
-    """Saves posts and users of ``c`` as catalog tables, their files under ``root``. ``buckets``: about all posts' bytes / 128 MB; the
+    """Saves posts and users of ``c`` as catalog tables, their files under ``root``. ``buckets``: see ``buckets_for``; the
     posts are shuffled by author here, once."""
     skew = c.skew or {"rows_per_task": 4_000_000, "max_hot": 10_000}
     out = Clustered(c.posts.sparkSession, name, c.spec, **skew)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from cohortlens.operators.distinct import LG_K, distinct_count, distinct_states, is_exact, merged_states, relative_error
 from cohortlens.operators.dims import USER_COLUMNS
 from cohortlens.plans.community import Community
-from cohortlens.plans.clustered import save_clustered
+from cohortlens.plans.clustered import buckets_for, save_clustered
 from cohortlens.plans.incremental import extended
 from cohortlens.operators.clean import clean_posts, clean_submissions
 from cohortlens.sources.declared import Declared, read_declared, shredded
@@ -82,7 +82,7 @@ def clustered_user_cells(c: Community) -> DataFrame:
     path = scratch_path(c.users.sparkSession, "clustered")
     tables = Community.from_posts(c.posts, c.spec, rows_per_task=50)
     tables.__dict__["users"] = c.users
-    return save_clustered(tables, f"cohortlens_{path[-32:]}", path, buckets=8).user_cells()
+    return save_clustered(tables, f"cohortlens_{path[-32:]}", path, buckets=buckets_for(c, least=8)).user_cells()
 
 
 PAGE_SIZE = 500
@@ -116,7 +116,7 @@ def declared_json(c: Community) -> DataFrame:
     spark, path, t = c.raw_submissions.sparkSession, scratch_path(c.raw_submissions.sparkSession, "submissions-nested"), F.col("created_utc")
     nested = lambda time: F.to_json(F.struct(F.struct("author", "subreddit").alias("who"), F.array("title", "selftext").alias("texts"),
                                              time.alias("created_utc")))
-    c.raw_submissions.select(F.when(t % 7 == 0, nested(F.lit("soon"))).otherwise(nested(t)).alias("value")).write.mode("errorifexists").text(path)
+    c.raw_submissions.select(F.when(t % 7 == 0, nested(F.lit("soon"))).otherwise(nested(t)).alias("value")).write.mode("errorifexists").text(path, compression="gzip")
     got = read_declared(spark, path, SUBMISSION_FIELDS, max_bad_records=ANY_NUMBER)
     return got.select(F.col("texts")[0].alias("title"), F.col("texts")[1].alias("selftext"), "who.author", "created_utc", "who.subreddit")
 
@@ -131,7 +131,7 @@ def variant_ingest(c: Community) -> DataFrame:
     named = F.struct(author.alias("name")).alias("author")
     value = F.when(t % 3 == 0, line(author, selftext, t.cast("string"), "created_utc")).when(t % 5 == 0, line(named, selftext, t, "created")).when(
         t % 7 == 0, line(named, nested, t.cast("double"), "created_utc")).otherwise(line(author, nested, t, "created_utc"))
-    c.raw_submissions.select(value.alias("value")).write.mode("errorifexists").text(path)
+    c.raw_submissions.select(value.alias("value")).write.mode("errorifexists").text(path, compression="gzip")
     return clean_submissions(shredded(spark.read.text(path), ["title", "selftext", "author", "created_utc", "subreddit"]))
 
 
