@@ -79,8 +79,8 @@ def json_ingest(c: Community) -> DataFrame:
     spark = c.raw_comments.sparkSession
     paths = scratch_path(spark, "comments-json"), scratch_path(spark, "submissions-json")
     for raw, path in zip((c.raw_comments, c.raw_submissions), paths):
-        raw.write.mode("errorifexists").json(path)
-    return clean_posts(read_json(spark, f"{paths[0]}/*.json", "comment"), read_json(spark, f"{paths[1]}/*.json", "submission"))
+        raw.write.mode("errorifexists").json(path, compression="gzip")
+    return clean_posts(read_json(spark, f"{paths[0]}/*.json.gz", "comment"), read_json(spark, f"{paths[1]}/*.json.gz", "submission"))
 
 
 NULL_MARK = "\\N"
@@ -92,9 +92,9 @@ def csv_ingest(c: Community) -> DataFrame:
     spark = c.raw_submissions.sparkSession
     paths = scratch_path(spark, "comments-csv"), scratch_path(spark, "submissions-csv")
     for raw, path in zip((c.raw_comments, c.raw_submissions), paths):
-        raw.write.mode("errorifexists").option("header", True).option("nullValue", NULL_MARK).csv(path)
-    return clean_posts(read_csv(spark, f"{paths[0]}/*.csv", "comment", null_value=NULL_MARK),
-                       read_csv(spark, f"{paths[1]}/*.csv", "submission", null_value=NULL_MARK))
+        raw.write.mode("errorifexists").option("header", True).option("nullValue", NULL_MARK).csv(path, compression="gzip")
+    return clean_posts(read_csv(spark, f"{paths[0]}/*.csv.gz", "comment", null_value=NULL_MARK),
+                       read_csv(spark, f"{paths[1]}/*.csv.gz", "submission", null_value=NULL_MARK))
 
 
 def json_cells(c: Community) -> DataFrame:
@@ -123,7 +123,7 @@ def json_bad_records(c: Community) -> DataFrame:
     line = F.when(t % 7 == 0, F.regexp_replace(line, '"created_utc":[0-9]+', '"created_utc":"soon"')).when(
         t % 11 == 0, F.expr("substring(line, 1, 20)")).otherwise(line)
     c.raw_comments.withColumn("line", F.to_json(F.struct("body", "author", "created_utc", "subreddit"))).select(
-        line.alias("value")).write.mode("errorifexists").text(path)
+        line.alias("value")).write.mode("errorifexists").text(path, compression="gzip")
     return clean_comments(read_json(spark, path, "comment", max_bad_records=ANY_NUMBER))
 
 
@@ -138,7 +138,7 @@ def csv_bad_records(c: Community) -> DataFrame:
     bad_time = [F.lit("soon").alias(x) if x == "created_utc" else F.col(x) for x in cols]
     line = F.when(t % 7 == 0, F.to_csv(F.struct(*bad_time), options)).when(t % 11 == 0, F.to_csv(F.struct(*cols[:4]), options)).when(
         t % 13 == 0, F.to_csv(F.struct(*cols, F.lit("more").alias("x")), options)).otherwise(F.to_csv(F.struct(*cols), options))
-    c.raw_submissions.select(line.alias("value")).write.mode("errorifexists").text(path)
+    c.raw_submissions.select(line.alias("value")).write.mode("errorifexists").text(path, compression="gzip")
     return clean_submissions(read_csv(spark, path, "submission", header=False, null_value=NULL_MARK,
                                       max_bad_records=ANY_NUMBER, ignore_unknown_values=True))
 
@@ -185,7 +185,7 @@ def stream_ingest(c: Community, files_per_trigger: int = 2) -> DataFrame:
     spark = c.raw_submissions.sparkSession
     src = scratch_path(spark, "submissions-dump")
     sink = scratch_path(spark, "submissions-stream")
-    c.raw_submissions.write.mode("errorifexists").json(src)
+    c.raw_submissions.write.mode("errorifexists").json(src, compression="gzip")
     q = ingest(spark, src, "submission", sink, scratch_path(spark, "stream-checkpoint"), files_per_trigger)
     q.awaitTermination()
     return spark.read.parquet(sink)
