@@ -17,6 +17,7 @@ import numpy as np
 from tokenizers import Tokenizer
 
 REMEMBERED = 150_000  # words in each of the two halves of a cache
+LONGEST = 64  # bytes or letters of a remembered word: a text without white space is one word of any length
 
 # The pipeline of tokenizer files for which words are independent.
 WORDWISE_NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
@@ -26,12 +27,14 @@ _TAIL = string.punctuation.replace("'", "")  # an apostrophe may start an ending
 
 
 class _Memory(dict):
-    """Remembers what ``make`` gives; when full, forgets what was not used since the last time."""
+    """Remembers what ``make`` gives for words that are not too long; when full, forgets what was not used since the last time."""
 
     def __init__(self, make):
         self.make, self.old = make, {}
 
     def __missing__(self, word):
+        if isinstance(word, (bytes, str)) and len(word) > LONGEST:
+            return self.make(word)
         if len(self) >= REMEMBERED:
             self.old = dict(self)
             self.clear()
